@@ -1,0 +1,359 @@
+"""Named queries: each takes (spark, sf_dir) and returns a DataFrame over the driver tables.
+
+Array results are rendered as delimited strings and timestamps as ISO-8601 text so that they compare
+exactly with the DuckDB oracle (``plans/oracle.py``).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import slugify
+from ..functions.urls import canonical_url, is_domain_url
+from ..operators import articles as art
+from ..operators import authors as auth
+from ..operators import categories as cat
+from ..operators import extract, labels, merge, reports, sequence, taxonomy
+from ..sources import posts as src
+from . import fixtures as fx
+from .fixtures import DOMAIN, LABELER_DID
+
+ISO = reports.iso
+
+
+@dataclass
+class Flow:
+    """The labelling flow over one scale directory, built lazily (each property is a logical plan)."""
+
+    spark: SparkSession
+    sf_dir: str
+    domain: str = DOMAIN
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return src.parse_messages(fx.post_lines(self.spark, self.sf_dir))
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        """Processed commits (P1) with the create flag (P2) and URI."""
+        return src.commit_posts(self.messages)
+
+    @cached_property
+    def creates(self) -> DataFrame:
+        return self.posts.where(F.col("is_create"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return extract.extract_links(self.creates, self.domain).select(
+            "uri", "author_did", "ts", F.col("record.text").alias("text"), "url_ord", "url", "canonical_url",
+            "carrier")
+
+    @cached_property
+    def articles(self) -> DataFrame:
+        return fx.articles(self.spark, self.sf_dir)
+
+    @cached_property
+    def authors(self) -> DataFrame:
+        return fx.authors(self.spark, self.sf_dir)
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        return fx.bridge(self.spark, self.sf_dir)
+
+    @cached_property
+    def active_authors(self) -> DataFrame:
+        return auth.active_authors(self.articles, self.bridge, self.authors)
+
+    @cached_property
+    def dimension(self) -> DataFrame:
+        return art.label_dimension(self.articles, self.bridge, self.authors, art.active_slugs(self.active_authors))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return labels.labelled_entries(art.match_links(self.links, self.dimension))
+
+    @cached_property
+    def label_log(self) -> DataFrame:
+        """Token rows numbered per environment in emission order (event time, post, link, token)."""
+        rows = labels.label_rows(self.entries).withColumn("environment", fx.environment_of(F.col("author_did")))
+        numbered = sequence.assign_sequence(rows, ["ts", "uri", "url_ord", "token_ord"])
+        return numbered.select("environment", "id", F.lit(LABELER_DID).alias("src"), "uri",
+                               F.lit(None).cast("string").alias("cid"), "val", F.lit(False).alias("neg"),
+                               F.col("ts").alias("cts"), F.lit(None).cast("timestamp").alias("exp"),
+                               F.lit(None).cast("binary").alias("sig"))
+
+    @cached_property
+    def resent_log(self) -> DataFrame:
+        """Second log slice: ids divisible by 4 re-sent with ``neg`` flipped; ids divisible by 5 re-emitted
+        above the environment's current maximum."""
+        log = self.label_log
+        flipped = log.where(F.col("id") % 4 == 0).withColumn("neg", ~F.col("neg"))
+        top = sequence.max_sequence(log)
+        fresh = (log.where(F.col("id") % 5 == 0).join(F.broadcast(top), "environment")
+                 .withColumn("id", F.col("id") + F.col("max_id")).drop("max_id"))
+        return flipped.unionByName(fresh)
+
+
+def _flow(spark, sf_dir) -> Flow:
+    return Flow(spark, sf_dir)
+
+
+def _entries_out(entries: DataFrame) -> DataFrame:
+    return entries.select("entry_id", "uri", "author_did", ISO(F.col("ts")).alias("ts"), "text",
+                          F.col("url_ord").cast("long").alias("url_ord"), "url", "article_id", "title",
+                          F.array_join("labels", ",").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
+
+
+def _log_out(log: DataFrame) -> DataFrame:
+    return log.select("environment", "id", "src", "uri", "val", "neg", ISO(F.col("cts")).alias("cts"))
+
+
+# ---------------------------------------------------------------- sources and filters
+
+def q_firehose_parse(spark, sf_dir):
+    m = _flow(spark, sf_dir).messages
+    return m.select("malformed", "kind", "did", "time_us", F.col("commit.collection").alias("collection"),
+                    F.col("commit.operation").alias("operation"), F.col("commit.rkey").alias("rkey"),
+                    F.col("commit.record").isNotNull().alias("has_record"),
+                    F.when(F.col("malformed"), F.col("raw")).alias("dead_letter"))
+
+
+def q_commit_filter(spark, sf_dir):
+    p = _flow(spark, sf_dir).posts
+    return p.select("uri", "author_did", "operation", "is_create", ISO(F.col("ts")).alias("ts"))
+
+
+def q_extract_links(spark, sf_dir):
+    return _flow(spark, sf_dir).links.select("uri", F.col("url_ord").cast("long").alias("url_ord"), "url", "carrier")
+
+
+def url_variants(spark, sf_dir) -> DataFrame:
+    """Spellings of every page URL: as is, upper case, padded, with userinfo, with a port, with a space in
+    the path, a suffix spoof and a userinfo spoof."""
+    p = fx.read(spark, sf_dir, "pages").select("page_id", "url")
+    u = F.col("url")
+    host = r"^([A-Za-z]+://[^/?#]+)"
+    forms = [
+        (0, u),
+        (1, F.upper(u)),
+        (2, F.concat(F.lit("  "), u, F.lit(" "))),
+        (3, F.regexp_replace(u, "://", "://user:pw@")),
+        (4, F.regexp_replace(u, host, "$1:8080")),
+        (5, F.regexp_replace(u, host + "/", "$1/a b/")),
+        (6, F.regexp_replace(u, host, "$1.evil.org")),
+        (7, F.regexp_replace(u, r"^([A-Za-z]+)://", f"$1://{DOMAIN}@")),
+    ]
+    parts = [p.select("page_id", F.lit(v).alias("variant"), expr.alias("raw")) for v, expr in forms]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def q_is_domain_url(spark, sf_dir):
+    v = url_variants(spark, sf_dir)
+    return v.select("page_id", "variant", "raw", is_domain_url(F.col("raw"), DOMAIN).alias("is_domain"))
+
+
+def q_canonical_url(spark, sf_dir):
+    v = url_variants(spark, sf_dir)
+    return v.select("page_id", "variant", "raw", canonical_url(F.col("raw")).alias("canonical"))
+
+
+def q_slugify(spark, sf_dir):
+    parts = fx.read(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("key"),
+                                                 F.col("p_name").alias("input"))
+    docs = fx.read(spark, sf_dir, "documents").select(F.lit("document").alias("source"),
+                                                     F.col("doc_id").cast("long").alias("key"),
+                                                     F.col("text").alias("input"))
+    names = fx.authors(spark, sf_dir).select(F.lit("author").alias("source"), F.col("id").alias("key"),
+                                             F.col("name").alias("input"))
+    allin = parts.unionByName(docs).unionByName(names)
+    return allin.select("source", "key", slugify(F.col("input")).alias("slug"))
+
+
+# ---------------------------------------------------------------- dimensions
+
+def q_article_lookup(spark, sf_dir):
+    a = art.article_lookup(fx.order_articles(spark, sf_dir), fx.lineitem_bridge(spark, sf_dir),
+                           fx.authors(spark, sf_dir))
+    return a.select("id", "url", "section", "subsection", "title", F.array_join("authors", "|").alias("authors"),
+                    F.size("authors").cast("long").alias("n_authors"))
+
+
+def q_active_authors(spark, sf_dir):
+    a = auth.active_authors(fx.order_articles(spark, sf_dir), fx.order_customer_bridge(spark, sf_dir),
+                            fx.customer_authors(spark, sf_dir), opinion=fx.LARGE_OPINION, us=fx.LARGE_US,
+                            politics=fx.LARGE_POLITICS)
+    return auth.order_active_authors(a)
+
+
+def q_distinct_categories(spark, sf_dir):
+    return cat.distinct_categories(fx.category_articles(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- labelling
+
+def q_label_posts(spark, sf_dir):
+    return _entries_out(_flow(spark, sf_dir).entries)
+
+
+def q_unmatched_links(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    u = art.unmatched_links(f.links, f.dimension)
+    return u.select("uri", F.col("url_ord").cast("long").alias("url_ord"), "url", "canonical_url")
+
+
+def q_label_sequence(spark, sf_dir):
+    return _log_out(_flow(spark, sf_dir).label_log)
+
+
+def q_max_sequence(spark, sf_dir):
+    envs = spark.createDataFrame([(e,) for e in fx.ENVIRONMENTS], "environment string")
+    return sequence.max_sequence(_flow(spark, sf_dir).label_log, envs)
+
+
+def q_latest_label(spark, sf_dir):
+    ll = sequence.latest_label(_flow(spark, sf_dir).label_log)
+    return ll.select("environment", "uri", "val", "latest_id", ISO(F.col("latest_cts")).alias("latest_cts"),
+                     F.col("n_emitted").cast("long").alias("n_emitted"))
+
+
+def q_label_upsert(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    return _log_out(merge.upsert(f.label_log, f.resent_log, ["environment", "id"]))
+
+
+def q_label_insert_ignore(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    return _log_out(merge.insert_ignore(f.label_log, f.resent_log, ["environment", "id"]))
+
+
+def q_label_env_scan(spark, sf_dir):
+    log = _flow(spark, sf_dir).label_log
+    return _log_out(log.where(F.col("environment") == "development")).orderBy("id")
+
+
+def q_sequence_pad(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    maxes = sequence.max_sequence(f.label_log)
+    cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, maxes), pick="max")
+    return sequence.pad_sequence(maxes, cursors)
+
+
+def q_replay_from_cursor(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, sequence.max_sequence(f.label_log)),
+                                         pick="min")
+    replay = sequence.replay_from_cursor(f.label_log, cursors)
+    return replay.select("environment", "id", "uri", "val").orderBy("environment", "id")
+
+
+# ---------------------------------------------------------------- reports
+
+def q_recent_labels(spark, sf_dir):
+    return _entries_out(reports.recent_labels(_flow(spark, sf_dir).entries, 500))
+
+
+def q_history_search(spark, sf_dir):
+    return _entries_out(reports.history_search(_flow(spark, sf_dir).entries, " Opinion "))
+
+
+def q_history_report(spark, sf_dir):
+    return reports.history_report(_flow(spark, sf_dir).entries, DOMAIN).withColumn(
+        "label_ord", F.col("label_ord").cast("long"))
+
+
+def _taxonomy_inputs(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    return cat.distinct_categories(f.articles), f.active_authors
+
+
+def q_taxonomy_definitions(spark, sf_dir):
+    cats, people = _taxonomy_inputs(spark, sf_dir)
+    d = taxonomy.taxonomy_definitions(cats, people)
+    return d.select("position", "identifier", "family", "locale_name", "description", "severity", "blurs",
+                    "default_setting", "lang")
+
+
+def q_service_record(spark, sf_dir):
+    cats, people = _taxonomy_inputs(spark, sf_dir)
+    return taxonomy.service_record(taxonomy.taxonomy_definitions(cats, people), fx.CREATED_AT)
+
+
+def q_universe_counts(spark, sf_dir):
+    cats, people = _taxonomy_inputs(spark, sf_dir)
+    return taxonomy.universe_counts(cats, people)
+
+
+def q_stream_counters(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    return reports.stream_counters(extract.with_links(f.posts, f.domain), f.entries)
+
+
+def q_throughput_1s(spark, sf_dir):
+    return reports.throughput_1s(_flow(spark, sf_dir).posts)
+
+
+def q_throughput_last40(spark, sf_dir):
+    return reports.throughput_last40(_flow(spark, sf_dir).posts)
+
+
+def q_stall_gaps(spark, sf_dir):
+    return reports.stall_gaps(_flow(spark, sf_dir).posts)
+
+
+def q_feed_status(spark, sf_dir):
+    return reports.feed_report(_flow(spark, sf_dir).posts, fx.AS_OF)
+
+
+def q_settings_upsert(spark, sf_dir):
+    first, second = fx.settings_batches(spark, sf_dir)
+    return merge.upsert(first, second, ["environment", "key"])
+
+
+def q_settings_lookup(spark, sf_dir):
+    first, second = fx.settings_batches(spark, sf_dir)
+    table = merge.upsert(first, second, ["environment", "key"])
+    return merge.lookup_with_default(table, fx.settings_probes(spark, sf_dir), ["environment", "key"], "value",
+                                     "true")
+
+
+QUERIES = {
+    "firehose_parse": q_firehose_parse,
+    "commit_filter": q_commit_filter,
+    "extract_links": q_extract_links,
+    "is_domain_url": q_is_domain_url,
+    "canonical_url": q_canonical_url,
+    "slugify": q_slugify,
+    "article_lookup": q_article_lookup,
+    "active_authors": q_active_authors,
+    "distinct_categories": q_distinct_categories,
+    "label_posts": q_label_posts,
+    "unmatched_links": q_unmatched_links,
+    "label_sequence": q_label_sequence,
+    "max_sequence": q_max_sequence,
+    "latest_label": q_latest_label,
+    "label_upsert": q_label_upsert,
+    "label_insert_ignore": q_label_insert_ignore,
+    "label_env_scan": q_label_env_scan,
+    "sequence_pad": q_sequence_pad,
+    "replay_from_cursor": q_replay_from_cursor,
+    "recent_labels": q_recent_labels,
+    "history_search": q_history_search,
+    "history_report": q_history_report,
+    "taxonomy_definitions": q_taxonomy_definitions,
+    "service_record": q_service_record,
+    "universe_counts": q_universe_counts,
+    "stream_counters": q_stream_counters,
+    "throughput_1s": q_throughput_1s,
+    "throughput_last40": q_throughput_last40,
+    "stall_gaps": q_stall_gaps,
+    "feed_status": q_feed_status,
+    "settings_upsert": q_settings_upsert,
+    "settings_lookup": q_settings_lookup,
+}
