@@ -13,6 +13,10 @@ whole-stage codegen. The rules follow the WHATWG URL parser for the cases that o
 
 Not modelled (documented in README): IDNA/punycode of non-ASCII hosts, percent-decoding of hosts, IPv4
 number normalisation, and ``file:`` URLs.
+
+The parser is generated as one Spark SQL expression (a chain of ``transform`` steps over an array of
+structs): each field is computed once and later steps reference it cheaply, and the whole expression is
+built with a single ``expr`` call instead of thousands of Column calls.
 """
 
 from __future__ import annotations
@@ -37,167 +41,143 @@ USERINFO_SAFE_RE = r"^[\x21\x23-\x2E\x30-\x39\x41-\x5A\x5F\x61-\x7A\x7E]*$"
 DOT_SEGMENT_RE = r"(^|/)(\.|%2[eE]){1,2}(/|$)"
 
 
-def _lit(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+# ---------------------------------------------------------------- SQL text helpers
 
+def raw(pattern: str) -> str:
+    """A Spark SQL raw string literal (backslashes kept as written)."""
+    if "'" in pattern:
+        raise ValueError("raw literal cannot contain a single quote")
+    return f"r'{pattern}'"
 
-def js_trim(col: Column) -> Column:
-    """String.prototype.trim: strip JavaScript whitespace at both ends (Spark's trim strips only U+0020)."""
-    return F.regexp_replace(col, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def _strip(col: Column) -> Column:
-    no_tabs = F.regexp_replace(col, r"[\t\n\r]", "")
-    return F.regexp_replace(no_tabs, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
+def js_trim_sql(v: str) -> str:
+    return f"regexp_replace({v}, {raw(f'^[{JS_SPACE}]+|[{JS_SPACE}]+$')}, '')"
 
-def _pct_encode(col: Column, safe_re: str) -> Column:
-    """Percent-encode (UTF-8, upper-case hex) every code point of ``col`` outside ``safe_re``.
 
-    Only strings that contain such a code point take the per-character path.
-    """
-    chars = F.regexp_extract_all(col, F.lit(r"(?s)."), 0)
+def _pct_sql(v: str, safe_re: str) -> str:
     char_safe = safe_re.replace("*$", "$")
-    encoded = F.array_join(
-        F.transform(chars, lambda c: F.when(c == " ", F.lit("%20"))
-                    .when(c.rlike(char_safe), c)
-                    .otherwise(F.url_encode(c))),
-        "")
-    return F.when(col.rlike(safe_re), col).otherwise(encoded)
-
-
-def _remove_dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments the way the URL parser's path state does."""
-    segs = F.split(F.substring(path, 2, 1 << 30), "/")
-    n = F.size(segs)
-    tagged = F.transform(segs, lambda s, i: F.struct(s.alias("s"), (i == n - 1).alias("last")))
-
-    def step(acc, x):
-        seg = F.lower(x["s"])
-        is_up = seg.isin("..", ".%2e", "%2e.", "%2e%2e")
-        is_cur = seg.isin(".", "%2e")
-        popped = F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
-        return (F.when(is_up, F.when(x["last"], F.concat(popped, F.array(F.lit("")))).otherwise(popped))
-                .when(is_cur, F.when(x["last"], F.concat(acc, F.array(F.lit("")))).otherwise(acc))
-                .otherwise(F.concat(acc, F.array(x["s"]))))
-
-    folded = F.aggregate(tagged, F.array().cast("array<string>"), step)
-    return F.when(path.rlike(DOT_SEGMENT_RE), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
-
-
-def _stage(arr: Column, keep: list[str], **new: Column) -> Column:
-    """One step of the parse: each array element is a struct; keep some fields and add new ones.
-
-    Every step is its own ``transform``, so a field computed once is referenced cheaply by later steps
-    (re-using a Column object instead would copy its whole expression tree into every use).
-    """
-    def fn(x):
-        fields = [x[k].alias(k) for k in keep]
-        fields += [expr(x).alias(name) for name, expr in new.items()]
-        return F.struct(*fields)
-    return F.transform(arr, fn)
-
-
-def parse_urls(urls: Column) -> Column:
-    """array<string> → array<struct<raw, scheme, userinfo, host, port, path, valid>>."""
-    a = F.transform(urls, lambda u: F.struct(u.alias("raw"), _strip(u).alias("s")))
+    return (f"CASE WHEN {v} RLIKE {raw(safe_re)} THEN {v} ELSE array_join(transform("
+            f"regexp_extract_all({v}, {raw('(?s).')}, 0), ch -> CASE WHEN ch = ' ' THEN '%20' "
+            f"WHEN ch RLIKE {raw(char_safe)} THEN ch ELSE url_encode(ch) END), '') END")
+
+
+def _dot_segments_sql(p: str) -> str:
+    segs = f"split(substring({p}, 2), '/')"
+    tagged = f"transform({segs}, (sg, i) -> named_struct('s', sg, 'last', i = size({segs}) - 1))"
+    popped = "CASE WHEN size(acc) > 0 THEN slice(acc, 1, size(acc) - 1) ELSE acc END"
+    step = (f"(acc, y) -> CASE "
+            f"WHEN lower(y.s) IN ('..', '.%2e', '%2e.', '%2e%2e') THEN "
+            f"CASE WHEN y.last THEN concat({popped}, array('')) ELSE {popped} END "
+            f"WHEN lower(y.s) IN ('.', '%2e') THEN CASE WHEN y.last THEN concat(acc, array('')) ELSE acc END "
+            f"ELSE concat(acc, array(y.s)) END")
+    folded = f"aggregate({tagged}, CAST(array() AS ARRAY<STRING>), {step})"
+    return f"CASE WHEN {p} RLIKE {raw(DOT_SEGMENT_RE)} THEN concat('/', array_join({folded}, '/')) ELSE {p} END"
+
+
+def _stage(arr: str, keep: list[str], **new: str) -> str:
+    """One parse step: every element is a struct; keep some fields (as ``x.f``) and add new ones."""
+    fields = [f"'{k}', x.{k}" for k in keep] + [f"'{k}', {v}" for k, v in new.items()]
+    return f"transform({arr}, x -> named_struct({', '.join(fields)}))"
+
+
+def parse_urls_sql(arr: str) -> str:
+    """array<string> SQL → array<struct<raw, scheme, path, userinfo, host, port, valid>> SQL."""
+    strip = (f"regexp_replace(regexp_replace(u, {raw(r'[\t\n\r]')}, ''), "
+             f"{raw(r'^[\x00-\x20]+|[\x00-\x20]+$')}, '')")
+    a = f"transform({arr}, u -> named_struct('raw', u, 's', {strip}))"
     a = _stage(a, ["raw"],
-               scheme=lambda x: F.lower(F.regexp_extract(x["s"], URL_RE, 1)),
-               auth=lambda x: F.regexp_extract(x["s"], URL_RE, 2),
-               path=lambda x: F.regexp_replace(F.regexp_extract(x["s"], URL_RE, 3), r"\\", "/"))
+               scheme=f"lower(regexp_extract(x.s, {raw(URL_RE)}, 1))",
+               auth=f"regexp_extract(x.s, {raw(URL_RE)}, 2)",
+               path=f"regexp_replace(regexp_extract(x.s, {raw(URL_RE)}, 3), {raw(r'\\')}, '/')")
     a = _stage(a, ["raw", "scheme", "path"],
-               userinfo=lambda x: F.when(x["auth"].contains("@"), F.regexp_extract(x["auth"], r"^(.*)@", 1))
-               .otherwise(F.lit("")),
-               hostport=lambda x: F.regexp_extract(x["auth"], r"([^@]*)$", 1))
+               userinfo=f"CASE WHEN instr(x.auth, '@') > 0 THEN regexp_extract(x.auth, {raw('^(.*)@')}, 1) ELSE '' END",
+               hostport=f"regexp_extract(x.auth, {raw('([^@]*)$')}, 1)")
     a = _stage(a, ["raw", "scheme", "path", "userinfo"],
-               host_raw=lambda x: F.regexp_extract(x["hostport"], r"^(\[[^\]]*\]|[^:]*)", 1),
-               port_raw=lambda x: F.regexp_extract(x["hostport"], r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1))
+               host_raw=f"regexp_extract(x.hostport, {raw(r'^(\[[^\]]*\]|[^:]*)')}, 1)",
+               port_raw=f"regexp_extract(x.hostport, {raw(r'^(?:\[[^\]]*\]|[^:]*):(.*)$')}, 1)")
     a = _stage(a, ["raw", "scheme", "path", "userinfo", "host_raw", "port_raw"],
-               port_digits=lambda x: F.regexp_replace(x["port_raw"], r"^0+", ""))
-
-    def port_ok(x):
-        digits = x["port_digits"]
-        small = F.when(digits == "", F.lit(0)).otherwise(digits.cast("int")) <= 65535
-        return (x["port_raw"] == "") | (x["port_raw"].rlike(r"^[0-9]+$") & (F.length(digits) <= 5) & small)
+               port_digits=f"regexp_replace(x.port_raw, {raw('^0+')}, '')")
+    small = "coalesce(try_cast(nullif(x.port_digits, '') AS INT), 0) <= 65535"
+    port_ok = (f"(x.port_raw = '' OR (x.port_raw RLIKE {raw('^[0-9]+$')} AND length(x.port_digits) <= 5 "
+               f"AND {small}))")
+    special = ", ".join(f"'{s}'" for s in DEFAULT_PORTS)
+    valid = (f"coalesce(x.scheme IN ({special}) AND x.host_raw != '' AND x.host_raw RLIKE {raw(HOST_OK_RE)} "
+             f"AND {port_ok}, false)")
+    port = ("CASE WHEN x.port_raw = '' THEN CAST(NULL AS INT) WHEN x.port_digits = '' THEN 0 "
+            "ELSE try_cast(x.port_digits AS INT) END")
+    return _stage(a, ["raw", "scheme", "path", "userinfo"], host="lower(x.host_raw)", port=port, valid=valid)
+
+
+def in_domain_sql(x: str, domain: str) -> str:
+    d = domain.lower()
+    return (f"({x}.valid AND {x}.scheme IN ('http', 'https') AND ({x}.host = {raw(d)} OR "
+            f"endswith({x}.host, {raw('.' + d)})))")
 
-    def valid(x):
-        ok = (x["scheme"].isin(*DEFAULT_PORTS) & (x["host_raw"] != "") & x["host_raw"].rlike(HOST_OK_RE)
-              & port_ok(x))
-        return F.coalesce(ok, F.lit(False))
 
-    def port(x):
-        return (F.when(x["port_raw"] == "", F.lit(None).cast("int"))
-                .when(x["port_digits"] == "", F.lit(0))
-                .otherwise(x["port_digits"].cast("int")))
+def canonical_pairs_sql(parsed: str) -> str:
+    """F1 rendering of parsed URL structs → array<struct<url (raw input), canonical_url>> SQL."""
+    base = ["raw", "scheme", "userinfo", "host", "port", "valid"]
+    a = _stage(parsed, base, path="CASE WHEN x.path = '' THEN '/' ELSE x.path END")
+    a = _stage(a, base, path=_dot_segments_sql("x.path"))
+    a = _stage(a, base, path=_pct_sql("x.path", PATH_SAFE_RE),
+               user=f"regexp_extract(x.userinfo, {raw('^([^:]*)')}, 1)",
+               password=f"regexp_extract(x.userinfo, {raw('^[^:]*:(.*)$')}, 1)")
+    default = "CASE x.scheme " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DEFAULT_PORTS.items()) + " END"
+    port_out = (f"CASE WHEN x.port IS NULL OR x.port = {default} OR x.port = 443 THEN '' "
+                f"ELSE concat(':', CAST(x.port AS STRING)) END")
+    ui_out = (f"CASE WHEN x.user = '' AND x.password = '' THEN '' ELSE concat({_pct_sql('x.user', USERINFO_SAFE_RE)}, "
+              f"CASE WHEN x.password = '' THEN '' ELSE concat(':', {_pct_sql('x.password', USERINFO_SAFE_RE)}) END, "
+              f"'@') END")
+    host_out = "CASE WHEN startswith(x.host, 'www.') THEN x.host ELSE concat('www.', x.host) END"
+    canon = (f"CASE WHEN x.valid THEN concat('https://', {ui_out}, {host_out}, {port_out}, x.path) "
+             f"ELSE {js_trim_sql('x.raw')} END")
+    return f"transform({a}, x -> named_struct('url', x.raw, 'canonical_url', {canon}))"
+
+
+# ---------------------------------------------------------------- Column API (arguments are column names)
 
-    return _stage(a, ["raw", "scheme", "path", "userinfo"],
-                  host=lambda x: F.lower(x["host_raw"]), port=port, valid=valid)
+def js_trim(col: Column) -> Column:
+    """String.prototype.trim: strip JavaScript whitespace at both ends (Spark's trim strips only U+0020)."""
+    return F.regexp_replace(col, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
-def in_domain(x: Column, domain: str) -> Column:
-    """P5 on a parsed URL struct."""
-    d = domain.lower()
-    host = x["host"]
-    return x["valid"] & x["scheme"].isin("http", "https") & ((host == d) | host.endswith("." + d))
+def parse_urls(array_col: str) -> Column:
+    """Parsed URL structs for an array<string> column (see :func:`parse_urls_sql`)."""
+    return F.expr(parse_urls_sql(ident(array_col)))
 
 
-def url_parts(col: Column) -> Column:
-    """The parsed struct of one URL (see :func:`parse_urls`)."""
-    return F.element_at(parse_urls(F.array(col)), 1)
+def url_parts(col: str) -> Column:
+    """The parsed struct of one URL column."""
+    return F.expr(f"element_at({parse_urls_sql(f'array({ident(col)})')}, 1)")
 
 
-def filter_domain_urls(urls: Column, domain: str) -> Column:
-    """Keep the URLs of an array that pass the domain predicate, in order."""
-    return F.transform(F.filter(parse_urls(urls), lambda x: in_domain(x, domain)), lambda x: x["raw"])
+def is_domain_url(col: str, domain: str) -> Column:
+    """P5: http(s) URL whose host is ``domain`` or a sub-domain of it (spoof-safe, case-insensitive)."""
+    flags = f"transform({parse_urls_sql(f'array({ident(col)})')}, x -> {in_domain_sql('x', domain)})"
+    return F.expr(f"coalesce(element_at({flags}, 1), false)")
 
 
-def is_domain_url(col: Column, domain: str) -> Column:
-    """P5: http(s) URL whose host is ``domain`` or a sub-domain of it (spoof-safe, case-insensitive)."""
-    flags = F.transform(parse_urls(F.array(col)), lambda x: in_domain(x, domain))
-    return F.coalesce(F.element_at(flags, 1), F.lit(False))
+def canonical_url(col: str) -> Column:
+    """F1 for one URL column; an input the parser rejects comes back trimmed (JavaScript whitespace)."""
+    pairs = canonical_pairs_sql(parse_urls_sql(f"array({ident(col)})"))
+    return F.expr(f"element_at({pairs}, 1).canonical_url")
 
 
-def canonical_urls(urls: Column) -> Column:
-    """F1 over an array: https scheme, ``www.``-prefixed lower-case host, no query/fragment, default port
-    dropped, normalised path. An input the parser rejects comes back trimmed (JavaScript whitespace)."""
-    return F.transform(canonical_pairs(parse_urls(urls)), lambda x: x["canonical_url"])
+def filter_domain_urls(array_col: str, domain: str) -> Column:
+    """The URLs of an array<string> column that pass the domain predicate, in order."""
+    kept = f"filter({parse_urls_sql(ident(array_col))}, x -> {in_domain_sql('x', domain)})"
+    return F.expr(f"transform({kept}, x -> x.raw)")
 
 
-def canonical_pairs(a: Column) -> Column:
-    """F1 rendering of an array of parsed URL structs (see :func:`parse_urls`) as
-    array<struct<url (the raw input), canonical_url>>."""
-    base = ["raw", "scheme", "userinfo", "host", "port", "valid"]
-    a = _stage(a, base, path=lambda x: F.when(x["path"] == "", F.lit("/")).otherwise(x["path"]))
-    a = _stage(a, base, path=lambda x: _remove_dot_segments(x["path"]))
-    a = _stage(a, base, path=lambda x: _pct_encode(x["path"], PATH_SAFE_RE),
-               user=lambda x: F.regexp_extract(x["userinfo"], r"^([^:]*)", 1),
-               password=lambda x: F.regexp_extract(x["userinfo"], r"^[^:]*:(.*)$", 1))
-
-    def render(x):
-        host = x["host"]
-        host_out = F.when(host.startswith("www."), host).otherwise(F.concat(F.lit("www."), host))
-        default_port = F.lit(None).cast("int")
-        for name, num in DEFAULT_PORTS.items():
-            default_port = F.when(x["scheme"] == name, F.lit(num)).otherwise(default_port)
-        port = x["port"]
-        port_out = (F.when(port.isNull() | (port == default_port) | (port == 443), F.lit(""))
-                    .otherwise(F.concat(F.lit(":"), port.cast("string"))))
-        user, password = x["user"], x["password"]
-        ui_out = F.when((user == "") & (password == ""), F.lit("")).otherwise(
-            F.concat(_pct_encode(user, USERINFO_SAFE_RE),
-                     F.when(password == "", F.lit("")).otherwise(
-                         F.concat(F.lit(":"), _pct_encode(password, USERINFO_SAFE_RE))),
-                     F.lit("@")))
-        canon = F.when(x["valid"], F.concat(F.lit("https://"), ui_out, host_out, port_out, x["path"])) \
-            .otherwise(js_trim(x["raw"]))
-        return F.struct(x["raw"].alias("url"), canon.alias("canonical_url"))
-
-    return F.transform(a, render)
-
-
-def canonical_url(col: Column) -> Column:
-    """F1 for one URL string."""
-    return F.element_at(canonical_urls(F.array(col)), 1)
+def domain_link_pairs(array_col: str, domain: str) -> Column:
+    """L4 + F1: distinct (first occurrence wins, raw comparison) domain URLs of an array<string> column with
+    their canonical form, as array<struct<url, canonical_url>>."""
+    kept = f"filter({parse_urls_sql(ident(array_col))}, x -> {in_domain_sql('x', domain)})"
+    return F.expr(f"array_distinct({canonical_pairs_sql(kept)})")
 
 
 def _case_insensitive(text: str) -> str:

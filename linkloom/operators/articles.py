@@ -83,7 +83,7 @@ def _probe(links: DataFrame) -> DataFrame:
     """Links carry their canonical form from extraction; compute it only for links that do not."""
     if "canonical_url" in links.columns:
         return links
-    return links.withColumn("canonical_url", canonical_url(F.col("url")))
+    return links.withColumn("canonical_url", canonical_url("url"))
 
 
 def match_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +12,12 @@ DEFAULT_BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Hint ``broadcast`` only when ``df`` provably has at most ``max_rows`` rows.
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading as soon as the bound is exceeded.
-    Above the bound the plain DataFrame is returned and the planner (with AQE) picks a shuffle join.
+    The side is persisted (memory, spilling to disk; recomputed from lineage if an executor is lost) and
+    counted, so the check and the join share one computation. Above the bound the persisted DataFrame is
+    returned without the hint and the planner (with AQE) chooses a shuffle join.
     """
     if max_rows <= 0:
         return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    return F.broadcast(kept) if n <= max_rows else kept

@@ -16,21 +16,22 @@ def iso(col):
     return F.date_format(col, ISO_MS)
 
 
-def stream_counters(posts: DataFrame, entries: DataFrame) -> DataFrame:
+def stream_counters(posts: DataFrame, links: DataFrame, entries: DataFrame) -> DataFrame:
     """Posts processed, posts with ≥1 domain link, labels emitted (duplicates counted), last event.
 
-    ``posts`` = processed commits with ``links``; ``entries`` = labelled entries. One union and one
-    global partial+final aggregate; no join.
+    ``posts`` = processed commits, ``links`` = extracted links (a post with links has exactly one row with
+    ``url_ord = 0``), ``entries`` = labelled entries. One union and one global partial+final aggregate.
     """
-    p = posts.select(F.lit(1).alias("processed"),
-                     (F.col("is_create") & (F.size("links") > 0)).cast("int").alias("with_link"),
-                     F.lit(0).alias("labels"), F.col("ts"))
+    p = posts.select(F.lit(1).alias("processed"), F.lit(0).alias("with_link"), F.lit(0).alias("labels"),
+                     F.col("ts"))
+    k = links.where(F.col("url_ord") == 0).select(F.lit(0).alias("processed"), F.lit(1).alias("with_link"),
+                                                  F.lit(0).alias("labels"), F.lit(None).cast("timestamp").alias("ts"))
     e = entries.select(F.lit(0).alias("processed"), F.lit(0).alias("with_link"),
                        F.size("labels").alias("labels"), F.lit(None).cast("timestamp").alias("ts"))
-    agg = p.unionByName(e).agg(F.sum("processed").cast("long").alias("posts_processed"),
-                               F.sum("with_link").cast("long").alias("posts_with_links"),
-                               F.sum("labels").cast("long").alias("labels_emitted"),
-                               F.max("ts").alias("last"))
+    agg = p.unionByName(k).unionByName(e).agg(F.sum("processed").cast("long").alias("posts_processed"),
+                                              F.sum("with_link").cast("long").alias("posts_with_links"),
+                                              F.sum("labels").cast("long").alias("labels_emitted"),
+                                              F.max("ts").alias("last"))
     return agg.select("posts_processed", "posts_with_links", "labels_emitted", iso(F.col("last")).alias("last_event"))
 
 

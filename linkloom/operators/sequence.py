@@ -68,7 +68,7 @@ def latest_label(log: DataFrame) -> DataFrame:
 def valid_cursor(raw: Column) -> Column:
     """The cursor as BIGINT when it is all ASCII digits, a safe integer and > 0; otherwise NULL."""
     digits = F.regexp_replace(raw, r"^0+", "")
-    value = F.when(F.length(digits) <= 16, digits.cast("long"))
+    value = F.when(F.length(digits) <= 16, digits.try_cast("long"))
     ok = raw.rlike(r"^[0-9]+$") & (digits != "") & (value <= MAX_SAFE_INTEGER) & (value > 0)
     return F.when(F.coalesce(ok, F.lit(False)), value)
 

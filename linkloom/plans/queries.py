@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,8 @@ class Flow:
         """Token rows numbered per environment in emission order (event time, post, link, token)."""
         rows = labels.label_rows(self.entries).withColumn("environment", fx.environment_of(F.col("author_did")))
         numbered = sequence.assign_sequence(rows, ["ts", "uri", "url_ord", "token_ord"])
-        return numbered.select("environment", "id", F.lit(LABELER_DID).alias("src"), "uri",
+        # read by several branches (merges, cursors, scans): computed once, recomputable from lineage
+        return numbered.persist(StorageLevel.MEMORY_AND_DISK).select("environment", "id", F.lit(LABELER_DID).alias("src"), "uri",
                                F.lit(None).cast("string").alias("cid"), "val", F.lit(False).alias("neg"),
                                F.col("ts").alias("cts"), F.lit(None).cast("timestamp").alias("exp"),
                                F.lit(None).cast("binary").alias("sig"))
@@ -156,12 +158,12 @@ def url_variants(spark, sf_dir) -> DataFrame:
 
 def q_is_domain_url(spark, sf_dir):
     v = url_variants(spark, sf_dir)
-    return v.select("page_id", "variant", "raw", is_domain_url(F.col("raw"), DOMAIN).alias("is_domain"))
+    return v.select("page_id", "variant", "raw", is_domain_url("raw", DOMAIN).alias("is_domain"))
 
 
 def q_canonical_url(spark, sf_dir):
     v = url_variants(spark, sf_dir)
-    return v.select("page_id", "variant", "raw", canonical_url(F.col("raw")).alias("canonical"))
+    return v.select("page_id", "variant", "raw", canonical_url("raw").alias("canonical"))
 
 
 def q_slugify(spark, sf_dir):
@@ -292,7 +294,7 @@ def q_universe_counts(spark, sf_dir):
 
 def q_stream_counters(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    return reports.stream_counters(extract.with_links(f.posts, f.domain), f.entries)
+    return reports.stream_counters(f.posts, f.links, f.entries)
 
 
 def q_throughput_1s(spark, sf_dir):
