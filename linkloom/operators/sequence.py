@@ -5,6 +5,11 @@ window: rows are range-partitioned on the order key (sampled bounds, so a hot en
 time is split across tasks), sorted inside each partition, and numbered by
 ``offset(partition) + position-in-partition``. Offsets come from a table with one row per
 (partition, environment), whose size is bounded by the partition count, so broadcasting it is safe.
+
+The range-partitioned rows are checkpointed (reliably, to the shared checkpoint folder) before they are
+numbered: the offsets and the positions are computed by two branches of the plan, and both — as well as
+any recomputation after a lost executor — must see exactly the same partition contents. Re-sampling the
+range bounds from a shuffle output whose row order varies would silently break that.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import POST_COLLECTION
+from ..session import checkpoint_root
 
 MAX_SAFE_INTEGER = 9007199254740991
 PAD_VALUE = "dummy-sequence-pad"
@@ -32,8 +38,9 @@ def assign_sequence(df: DataFrame, order_cols: list[str], partition_col: str | N
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_part", part)
     keys = ["_part"] + list(order_cols)
-    ranged = (keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
+    checkpoint_root(spark)
+    fixed = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ranged = (fixed.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_part").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -359,3 +359,11 @@ QUERIES = {
     "settings_upsert": q_settings_upsert,
     "settings_lookup": q_settings_lookup,
 }
+
+
+def _register_streams() -> None:
+    from .stream_queries import STREAM_QUERIES
+    QUERIES.update(STREAM_QUERIES)
+
+
+_register_streams()
