@@ -14,6 +14,7 @@ range bounds from a shuffle output whose row order varies would silently break t
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ def assign_sequence(df: DataFrame, order_cols: list[str], partition_col: str | N
     keyed = df.withColumn("_part", part)
     keys = ["_part"] + list(order_cols)
     checkpoint_root(spark)
-    fixed = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    # the input feeds both the range-bound sampling job and the checkpoint job: compute it once
+    source = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = source.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    source.unpersist()
     ranged = (fixed.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))

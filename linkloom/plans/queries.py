@@ -40,8 +40,9 @@ class Flow:
 
     @cached_property
     def posts(self) -> DataFrame:
-        """Processed commits (P1) with the create flag (P2) and URI."""
-        return src.commit_posts(self.messages)
+        """Processed commits (P1) with the create flag (P2) and URI (P3); read by several branches (links,
+        counters, reports), so parsed once and kept (recomputable from lineage)."""
+        return src.commit_posts(self.messages).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def creates(self) -> DataFrame:
@@ -55,7 +56,8 @@ class Flow:
 
     @cached_property
     def articles(self) -> DataFrame:
-        return fx.articles(self.spark, self.sf_dir)
+        # read by the active-author selection and by the label dimension
+        return fx.articles(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def authors(self) -> DataFrame:
@@ -63,7 +65,7 @@ class Flow:
 
     @cached_property
     def bridge(self) -> DataFrame:
-        return fx.bridge(self.spark, self.sf_dir)
+        return fx.bridge(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def active_authors(self) -> DataFrame:
@@ -136,7 +138,7 @@ def q_extract_links(spark, sf_dir):
 def url_variants(spark, sf_dir) -> DataFrame:
     """Spellings of every page URL: as is, upper case, padded, with userinfo, with a port, with a space in
     the path, a suffix spoof and a userinfo spoof."""
-    p = fx.read(spark, sf_dir, "pages").select("page_id", "url")
+    p = fx.read(spark, sf_dir, "pages", parallel=True).select("page_id", "url")
     u = F.col("url")
     host = r"^([A-Za-z]+://[^/?#]+)"
     forms = [
@@ -167,9 +169,9 @@ def q_canonical_url(spark, sf_dir):
 
 
 def q_slugify(spark, sf_dir):
-    parts = fx.read(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("key"),
+    parts = fx.read(spark, sf_dir, "part", parallel=True).select(F.lit("part").alias("source"), F.col("p_partkey").alias("key"),
                                                  F.col("p_name").alias("input"))
-    docs = fx.read(spark, sf_dir, "documents").select(F.lit("document").alias("source"),
+    docs = fx.read(spark, sf_dir, "documents", parallel=True).select(F.lit("document").alias("source"),
                                                      F.col("doc_id").cast("long").alias("key"),
                                                      F.col("text").alias("input"))
     names = fx.authors(spark, sf_dir).select(F.lit("author").alias("source"), F.col("id").alias("key"),
