@@ -86,18 +86,19 @@ def history_report(entries: DataFrame, domain: str) -> DataFrame:
                  encode_uri_component(F.coalesce(F.col("title"), F.lit("")))).alias("search_link"))
 
 
-def stall_gaps(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
-    """ST4: silences of at least ``threshold_seconds`` between consecutive events.
-
-    Events are bucketed into ``threshold``-wide buckets; inside a bucket no such gap can exist, so only
-    the (min, max) of each occupied bucket matter. That per-bucket table is pre-aggregated (its size is
-    bounded by time span / threshold, not by the event count) and only it is ordered to find the gaps.
-    """
+def stall_buckets(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
+    """(b, first_us, last_us) per occupied ``threshold``-wide event-time bucket (partial+final aggregate)."""
     us = F.unix_micros(F.col("ts"))
     width = threshold_seconds * 1_000_000
-    buckets = (posts.where(F.col("ts").isNotNull())
-               .groupBy(F.floor(us / width).alias("b"))
-               .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us")))
+    return (posts.where(F.col("ts").isNotNull())
+            .groupBy(F.floor(us / width).alias("b"))
+            .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us")))
+
+
+def gaps_from_buckets(buckets: DataFrame, threshold_seconds: int = 15) -> DataFrame:
+    """Gaps of at least ``threshold`` between consecutive occupied buckets. The bucket table's size is
+    bounded by time span / threshold (not by the event count), so ordering it is a bounded step."""
+    width = threshold_seconds * 1_000_000
     w = Window.orderBy("b")
     prev = buckets.select("first_us", F.lag("last_us").over(w).alias("prev_us"))
     gaps = prev.where(F.col("prev_us").isNotNull() & (F.col("first_us") - F.col("prev_us") >= width))
@@ -106,6 +107,15 @@ def stall_gaps(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
                        ((F.col("first_us") - F.col("prev_us")) / 1_000_000).cast("double").alias("gap_seconds"))
 
 
+def stall_gaps(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
+    """ST4: silences of at least ``threshold_seconds`` between consecutive events.
+
+    Inside one ``threshold``-wide bucket no such gap can exist, so only each occupied bucket's first and
+    last event matter: events are pre-aggregated to that bucket table before anything is ordered.
+    """
+    return gaps_from_buckets(stall_buckets(posts, threshold_seconds), threshold_seconds)
+
+
 def feed_report(posts: DataFrame, as_of: str, stale_seconds: int = 15) -> DataFrame:
     """F12–F14 over per-author feeds: uptime since the first event, relative age of the last event, and
     Online / Connecting / Offline (connected = an event within ``stale_seconds`` of ``as_of``;

@@ -19,6 +19,8 @@ from ..operators import articles as art
 from ..operators import authors as auth
 from ..operators import categories as cat
 from ..operators import extract, labels, merge, reports, sequence, taxonomy
+from ..session import scratch_path
+from ..sources import labels as label_store
 from ..sources import posts as src
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
@@ -238,8 +240,10 @@ def q_label_insert_ignore(spark, sf_dir):
 
 
 def q_label_env_scan(spark, sf_dir):
-    log = _flow(spark, sf_dir).label_log
-    return _log_out(log.where(F.col("environment") == "development")).orderBy("id")
+    """The log is stored partitioned by environment; the scan reads the development partition only."""
+    path = scratch_path(spark, "label-log")
+    label_store.write_label_log(_flow(spark, sf_dir).label_log, path)
+    return _log_out(label_store.scan_label_log(spark, path, "development"))
 
 
 def q_sequence_pad(spark, sf_dir):

@@ -86,7 +86,26 @@ def q_throughput_1s_stream(spark, sf_dir):
     return latest.select(reports.iso(F.col("second")).alias("second"), F.col("n").cast("long").alias("n"))
 
 
+def q_stall_gaps_stream(spark, sf_dir):
+    """ST4: watermarked bucket aggregate in update mode; the sink keeps the newest (first, last) per bucket
+    (batch-id keyed) and the gaps are read off that bounded table."""
+    root, lines = _topic(spark, sf_dir)
+    out = f"{root}/buckets"
+
+    def write(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (ls.stall_stream(lines).writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    latest = (spark.read.parquet(out).groupBy("b")
+              .agg(F.max_by(F.struct("first_us", "last_us"), "batch_id").alias("v"))
+              .select("b", "v.first_us", "v.last_us"))
+    return reports.gaps_from_buckets(latest)
+
+
 STREAM_QUERIES = {
+    "stall_gaps_stream": q_stall_gaps_stream,
     "label_posts_stream": q_label_posts_stream,
     "label_sequence_stream": q_label_sequence_stream,
     "stream_counters_stream": q_stream_counters_stream,
@@ -95,6 +114,7 @@ STREAM_QUERIES = {
 
 # each streaming query is checked against the oracle of its batch twin
 ORACLE_TWINS = {
+    "stall_gaps_stream": "stall_gaps",
     "label_posts_stream": "label_posts",
     "label_sequence_stream": "label_sequence",
     "stream_counters_stream": "stream_counters",

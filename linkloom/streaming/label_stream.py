@@ -132,3 +132,12 @@ def throughput_stream(lines: DataFrame, watermark: str = "10 seconds",
     return (posts.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("second"), "n"))
+
+
+def stall_stream(lines: DataFrame, threshold_seconds: int = 15, watermark: str = "1 minute",
+                 collection: str = POST_COLLECTION) -> DataFrame:
+    """ST4 streaming half: per ``threshold``-wide event-time bucket, the first and last event (a small,
+    watermarked streaming aggregate). Gaps are then read off this bounded table with
+    :func:`reports.gaps_from_buckets`."""
+    posts = src.commit_posts(src.parse_messages(lines), collection)
+    return reports.stall_buckets(posts.withWatermark("ts", watermark), threshold_seconds)
