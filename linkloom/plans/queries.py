@@ -42,9 +42,12 @@ class Flow:
 
     @cached_property
     def posts(self) -> DataFrame:
-        """Processed commits (P1) with the create flag (P2) and URI (P3); read by several branches (links,
-        counters, reports), so parsed once and kept (recomputable from lineage)."""
-        return src.commit_posts(self.messages).persist(StorageLevel.MEMORY_AND_DISK)
+        """Processed commits (P1) with the create flag (P2) and URI."""
+        return src.commit_posts(self.messages)
+
+    def keep_posts(self) -> None:
+        """For plans that read the posts in several branches: parse once, keep (recomputable from lineage)."""
+        self.__dict__["posts"] = self.posts.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def creates(self) -> DataFrame:
@@ -300,6 +303,7 @@ def q_universe_counts(spark, sf_dir):
 
 def q_stream_counters(spark, sf_dir):
     f = _flow(spark, sf_dir)
+    f.keep_posts()
     return reports.stream_counters(f.posts, f.links, f.entries)
 
 

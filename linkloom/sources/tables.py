@@ -16,6 +16,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target)
 
 
+_SPLITS: dict[tuple[int, str], int] = {}
+
+
 def read_parquet(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
     df = spark.read.parquet(path)
-    return spread(df) if parallel else df
+    if not parallel:
+        return df
+    key = (id(spark.sparkContext), path)
+    if key not in _SPLITS:  # planning a scan lists its files: do it once per path
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    target = spark.sparkContext.defaultParallelism
+    return df if _SPLITS[key] >= target else df.repartition(target)
