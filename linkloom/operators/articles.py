@@ -18,21 +18,20 @@ def _empty():
     return F.array().cast("array<string>")
 
 
-def article_author_names(bridge: DataFrame, authors: DataFrame) -> DataFrame:
-    """(article_id, name, first_author_id) for every non-blank author name of an article.
-
-    Names are deduplicated per article (the original's Set over names); ``first_author_id`` fixes the
-    otherwise unspecified order (author id ascending). Pre-aggregated before any per-article collect.
-    """
-    named = (bridge.select("article_id", "author_id")
-             .join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
-             .where(F.col("name").isNotNull() & (js_trim(F.col("name")) != "")))
-    return named.groupBy("article_id", "name").agg(F.min("author_id").alias("first_author_id"))
+def named_authors(bridge: DataFrame, authors: DataFrame) -> DataFrame:
+    """(article_id, author_id, name) for every non-blank author name of an article (J1 + P6)."""
+    return (bridge.select("article_id", "author_id")
+            .join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
+            .where(F.col("name").isNotNull() & (js_trim(F.col("name")) != "")))
 
 
-def _ordered(values_col: str, key_col: str, alias: str):
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(key_col).alias("k"), F.col(values_col).alias("v"))))
-    return F.transform(pairs, lambda x: x["v"]).alias(alias)
+def _first_by_author(extra: list[str]):
+    """Per article: entries ordered by author id, deduplicated by name (the first author id of a name
+    wins — the original's Set over names; its row order was unspecified, author id fixes it)."""
+    fields = [F.col("author_id"), F.col("name")] + [F.col(c) for c in extra]
+    ordered = F.sort_array(F.collect_list(F.struct(*fields)))
+    return F.array_distinct(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"),
+                                                                     *[x[c].alias(c) for c in extra])))
 
 
 def normalised_articles(articles: DataFrame) -> DataFrame:
@@ -44,9 +43,11 @@ def normalised_articles(articles: DataFrame) -> DataFrame:
 
 
 def article_lookup(articles: DataFrame, bridge: DataFrame, authors: DataFrame) -> DataFrame:
-    """J1 + A1: one row per article with its ordered, deduplicated, non-blank author names."""
-    names = article_author_names(bridge, authors)
-    per_article = names.groupBy("article_id").agg(_ordered("name", "first_author_id", "authors"))
+    """J1 + A1: one row per article with its ordered, deduplicated, non-blank author names.
+
+    One aggregation per article (the name dedupe happens inside the collected, author-id-sorted array)."""
+    per_article = (named_authors(bridge, authors).groupBy("article_id")
+                   .agg(F.transform(_first_by_author([]), lambda x: x["name"]).alias("authors")))
     return (normalised_articles(articles)
             .join(per_article, F.col("id") == F.col("article_id"), "left")
             .select("id", "url", "section", "subsection", "title",
@@ -54,20 +55,22 @@ def article_lookup(articles: DataFrame, bridge: DataFrame, authors: DataFrame) -
 
 
 def active_slugs(active_authors: DataFrame) -> DataFrame:
-    """The active-author slug set (J5); empty slugs never label anything."""
-    return (active_authors.select(slugify(F.col("name")).alias("slug"))
-            .where(F.col("slug") != "").distinct())
+    """The active-author slug set (J5); empty slugs never label anything. Used as the build side of a
+    semi-join, so duplicates need no extra shuffle to remove."""
+    return active_authors.select(slugify(F.col("name")).alias("slug")).where(F.col("slug") != "")
 
 
 def label_dimension(articles: DataFrame, bridge: DataFrame, authors: DataFrame, slugs: DataFrame) -> DataFrame:
     """(url, article_id, title, tokens): tokens = [section?, subsection?, active authors…].
 
     Section is kept when non-empty, subsection when non-blank, authors when their slug is active. Empty
-    tokens are dropped (a whitespace-only section would otherwise emit an empty label).
+    tokens are dropped (a whitespace-only section would otherwise emit an empty label). The slug is a
+    function of the name, so filtering by the active set before the per-article name dedupe is exact.
     """
-    names = article_author_names(bridge, authors).withColumn("slug", slugify(F.col("name")))
-    active = names.join(slugs, "slug", "left_semi")
-    author_tokens = active.groupBy("article_id").agg(_ordered("slug", "first_author_id", "author_tokens"))
+    active = named_authors(bridge, authors).withColumn("slug", slugify(F.col("name"))).join(slugs, "slug",
+                                                                                            "left_semi")
+    author_tokens = active.groupBy("article_id").agg(
+        F.transform(_first_by_author(["slug"]), lambda x: x["slug"]).alias("author_tokens"))
     arts = normalised_articles(articles)
     section_tok = F.when(F.col("section").isNotNull() & (F.col("section") != ""), slugify(F.col("section")))
     sub_tok = F.when(F.col("subsection").isNotNull() & (js_trim(F.col("subsection")) != ""),

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_category
 
 
-def _family(articles: DataFrame, column: str) -> DataFrame:
-    raw = F.col(column)
-    kept = articles.select(raw.alias("raw")).where(F.col("raw").isNotNull() & (F.col("raw") != ""))
-    return (kept.groupBy(fold_category(F.col("raw")).alias("name"))
-            .agg(F.min("raw").alias("first_raw"))
-            .withColumn("family", F.lit(column)))
-
-
 def distinct_categories(articles: DataFrame) -> DataFrame:
     """(family, ord, name): distinct non-empty values in ascending (binary) order with ``us`` in any case
     folded to ``US``; a folded value sits where its first raw spelling sat.
 
-    Each family is a partial+final hash aggregate; only the distinct values reach the small ranking window.
+    Both families come from one scan: each article row is stacked into (family, raw) pairs, then one
+    partial+final hash aggregate per (family, folded name); only the distinct values reach the small
+    ranking window.
     """
-    both = _family(articles, "section").unionByName(_family(articles, "subsection"))
+    stacked = articles.select(F.inline(F.array(
+        F.struct(F.lit("section").alias("family"), F.col("section").alias("raw")),
+        F.struct(F.lit("subsection").alias("family"), F.col("subsection").alias("raw")))))
+    kept = stacked.where(F.col("raw").isNotNull() & (F.col("raw") != ""))
+    grouped = (kept.groupBy("family", fold_category(F.col("raw")).alias("name"))
+               .agg(F.min("raw").alias("first_raw")))
     w = Window.partitionBy("family").orderBy("first_raw")
-    return both.select("family", F.row_number().over(w).cast("long").alias("ord"), "name")
+    return grouped.select("family", F.row_number().over(w).cast("long").alias("ord"), "name")

@@ -17,13 +17,20 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 _SPLITS: dict[tuple[int, str], int] = {}
+_SCHEMAS: dict[tuple[int, str], object] = {}
 
 
 def read_parquet(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
-    df = spark.read.parquet(path)
+    """Parquet scan; the schema read from the footer is remembered per path, so repeated scans of the same
+    table in one application skip footer inference."""
+    key = (id(spark.sparkContext), path)
+    if key in _SCHEMAS:
+        df = spark.read.schema(_SCHEMAS[key]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
     if not parallel:
         return df
-    key = (id(spark.sparkContext), path)
     if key not in _SPLITS:  # planning a scan lists its files: do it once per path
         _SPLITS[key] = df.rdd.getNumPartitions()
     target = spark.sparkContext.defaultParallelism
