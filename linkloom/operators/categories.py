@@ -12,14 +12,14 @@ def distinct_categories(articles: DataFrame) -> DataFrame:
     """(family, ord, name): distinct non-empty values in ascending (binary) order with ``us`` in any case
     folded to ``US``; a folded value sits where its first raw spelling sat.
 
-    Both families come from one scan: each article row is stacked into (family, raw) pairs, then one
-    partial+final hash aggregate per (family, folded name); only the distinct values reach the small
-    ranking window.
+    Both families come from one scan: each article row is stacked into (family, raw) pairs and reduced by
+    a hash distinct (partial+final, combined map-side). Only the few distinct values reach the fold/min
+    step (``min`` over strings is sort-based) and the small ranking window.
     """
     stacked = articles.select(F.inline(F.array(
         F.struct(F.lit("section").alias("family"), F.col("section").alias("raw")),
         F.struct(F.lit("subsection").alias("family"), F.col("subsection").alias("raw")))))
-    kept = stacked.where(F.col("raw").isNotNull() & (F.col("raw") != ""))
+    kept = stacked.where(F.col("raw").isNotNull() & (F.col("raw") != "")).distinct()
     grouped = (kept.groupBy("family", fold_category(F.col("raw")).alias("name"))
                .agg(F.min("raw").alias("first_raw")))
     w = Window.partitionBy("family").orderBy("first_raw")

@@ -90,8 +90,9 @@ def stall_buckets(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
     """(b, first_us, last_us) per occupied ``threshold``-wide event-time bucket (partial+final aggregate)."""
     us = F.unix_micros(F.col("ts"))
     width = threshold_seconds * 1_000_000
+    bucket = ((us - F.pmod(us, F.lit(width))) / width).cast("long")  # exact floor division
     return (posts.where(F.col("ts").isNotNull())
-            .groupBy(F.floor(us / width).alias("b"))
+            .groupBy(bucket.alias("b"))
             .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us")))
 
 
