@@ -45,6 +45,10 @@ class Flow:
         """Processed commits (P1) with the create flag (P2) and URI."""
         return src.commit_posts(self.messages)
 
+    def keep_log(self) -> None:
+        """For plans that read the label log in several branches (merges, cursors): compute once, keep."""
+        self.__dict__["label_log"] = self.label_log.persist(StorageLevel.MEMORY_AND_DISK)
+
     def keep_posts(self) -> None:
         """For plans that read the posts in several branches: parse once, keep (recomputable from lineage)."""
         self.__dict__["posts"] = self.posts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -89,8 +93,7 @@ class Flow:
         """Token rows numbered per environment in emission order (event time, post, link, token)."""
         rows = labels.label_rows(self.entries).withColumn("environment", fx.environment_of(F.col("author_did")))
         numbered = sequence.assign_sequence(rows, ["ts", "uri", "url_ord", "token_ord"])
-        # read by several branches (merges, cursors, scans): computed once, recomputable from lineage
-        return numbered.persist(StorageLevel.MEMORY_AND_DISK).select("environment", "id", F.lit(LABELER_DID).alias("src"), "uri",
+        return numbered.select("environment", "id", F.lit(LABELER_DID).alias("src"), "uri",
                                F.lit(None).cast("string").alias("cid"), "val", F.lit(False).alias("neg"),
                                F.col("ts").alias("cts"), F.lit(None).cast("timestamp").alias("exp"),
                                F.lit(None).cast("binary").alias("sig"))
@@ -234,11 +237,13 @@ def q_latest_label(spark, sf_dir):
 
 def q_label_upsert(spark, sf_dir):
     f = _flow(spark, sf_dir)
+    f.keep_log()
     return _log_out(merge.upsert(f.label_log, f.resent_log, ["environment", "id"]))
 
 
 def q_label_insert_ignore(spark, sf_dir):
     f = _flow(spark, sf_dir)
+    f.keep_log()
     return _log_out(merge.insert_ignore(f.label_log, f.resent_log, ["environment", "id"]))
 
 
@@ -251,6 +256,7 @@ def q_label_env_scan(spark, sf_dir):
 
 def q_sequence_pad(spark, sf_dir):
     f = _flow(spark, sf_dir)
+    f.keep_log()
     maxes = sequence.max_sequence(f.label_log)
     cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, maxes), pick="max")
     return sequence.pad_sequence(maxes, cursors)
@@ -258,6 +264,7 @@ def q_sequence_pad(spark, sf_dir):
 
 def q_replay_from_cursor(spark, sf_dir):
     f = _flow(spark, sf_dir)
+    f.keep_log()
     cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, sequence.max_sequence(f.label_log)),
                                          pick="min")
     replay = sequence.replay_from_cursor(f.label_log, cursors)
