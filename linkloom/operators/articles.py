@@ -89,11 +89,12 @@ def _probe(links: DataFrame) -> DataFrame:
     return links.withColumn("canonical_url", canonical_url("url"))
 
 
-def match_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
-                ) -> DataFrame:
-    """Equi-join of canonical(link) with the stored article URL (stored URLs are not re-normalised)."""
+def match_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                how: str = "inner") -> DataFrame:
+    """Equi-join of canonical(link) with the stored article URL (stored URLs are not re-normalised).
+    ``how="left"`` keeps unmatched links (and link-less posts) with NULL article columns."""
     dim = broadcast_if_small(dimension.withColumnRenamed("url", "article_url"), max_broadcast_rows)
-    return _probe(links).join(dim, F.col("canonical_url") == F.col("article_url"), "inner")
+    return _probe(links).join(dim, F.col("canonical_url") == F.col("article_url"), how)
 
 
 def unmatched_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS

@@ -54,12 +54,19 @@ def with_links(posts: DataFrame, domain: str, record_col: str = "record") -> Dat
             .drop("_cards", "_facets", "_texts", "_cand"))
 
 
-def extract_links(posts: DataFrame, domain: str, record_col: str = "record") -> DataFrame:
+def extract_links(posts: DataFrame, domain: str, record_col: str = "record", keep_posts: bool = False) -> DataFrame:
     """One row per (post, distinct domain link) with its 0-based position, its canonical form (F1)
     and the carrier it was first seen in. The canonical URL comes out of the generator, so a join on it is
-    computed once per link."""
+    computed once per link.
+
+    ``keep_posts=True`` keeps every post: links are extracted from creates only, and a post without links
+    stays as one row with NULL link columns (``posexplode_outer``), so per-post counters need no second pass.
+    """
+    if keep_posts:
+        posts = posts.withColumn(record_col, F.when(F.col("is_create"), F.col(record_col)))
     staged = with_candidates(posts, domain, record_col)
-    exploded = staged.select("*", F.posexplode(domain_link_pairs("_cand", domain)).alias("url_ord", "_link"))
+    explode = F.posexplode_outer if keep_posts else F.posexplode
+    exploded = staged.select("*", explode(domain_link_pairs("_cand", domain)).alias("url_ord", "_link"))
     url = F.col("_link.url")
     carrier = (F.when(F.array_contains("_cards", url), F.lit("card"))
                .when(F.array_contains("_facets", url), F.lit("facet"))

@@ -35,6 +35,21 @@ def stream_counters(posts: DataFrame, links: DataFrame, entries: DataFrame) -> D
     return agg.select("posts_processed", "posts_with_links", "labels_emitted", iso(F.col("last")).alias("last_event"))
 
 
+def counters_one_pass(linked: DataFrame) -> DataFrame:
+    """A7 from a single pass: ``linked`` has one row per processed post and link (``url_ord`` NULL for a
+    post without links) with the matched ``tokens`` (NULL when unmatched), i.e. ``extract_links(...,
+    keep_posts=True)`` left-joined with the label dimension. One global partial+final aggregate."""
+    first_or_none = F.col("url_ord").isNull() | (F.col("url_ord") == 0)
+    labels = F.when(F.col("tokens").isNotNull(), F.size("tokens")).otherwise(F.lit(0))
+    agg = linked.agg(F.count_if(first_or_none).cast("long").alias("posts_processed"),
+                     F.count_if(F.col("url_ord") == 0).cast("long").alias("posts_with_links"),
+                     F.sum(labels).cast("long").alias("labels_emitted"),
+                     F.max("ts").alias("last"))
+    return agg.select("posts_processed", "posts_with_links",
+                      F.coalesce(F.col("labels_emitted"), F.lit(0).cast("long")).alias("labels_emitted"),
+                      iso(F.col("last")).alias("last_event"))
+
+
 def throughput_1s(posts: DataFrame) -> DataFrame:
     """Processed events per 1-second tumbling window of event time (non-empty windows)."""
     return (posts.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n"))

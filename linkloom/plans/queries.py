@@ -310,8 +310,8 @@ def q_universe_counts(spark, sf_dir):
 
 def q_stream_counters(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    f.keep_posts()
-    return reports.stream_counters(f.posts, f.links, f.entries)
+    linked = art.match_links(extract.extract_links(f.posts, f.domain, keep_posts=True), f.dimension, how="left")
+    return reports.counters_one_pass(linked)
 
 
 def q_throughput_1s(spark, sf_dir):

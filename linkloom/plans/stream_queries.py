@@ -49,15 +49,14 @@ def _stream_posts(lines: DataFrame) -> DataFrame:
 
 
 def q_stream_counters_stream(spark, sf_dir):
-    """ST3: the A7 counters as a streaming global aggregate in complete mode."""
+    """ST3: the A7 counters as a streaming global aggregate (one pass, stream-static left join) in complete
+    mode."""
     from .queries import Flow
     root, lines = _topic(spark, sf_dir)
     posts = _stream_posts(lines)
-    links = extract.extract_links(posts.where(F.col("is_create")), DOMAIN)
-    entries = labels.labelled_entries(art.match_links(
-        links.select("uri", "author_did", "ts", F.col("record.text").alias("text"), "url_ord", "url",
-                     "canonical_url"), Flow(spark, sf_dir).dimension))
-    counters = reports.stream_counters(posts, links, entries)
+    linked = art.match_links(extract.extract_links(posts, DOMAIN, keep_posts=True), Flow(spark, sf_dir).dimension,
+                             how="left")
+    counters = reports.counters_one_pass(linked)
     out = f"{root}/counters"
 
     def write(batch, batch_id):
