@@ -7,10 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles as art
-from ..operators import extract, labels, reports
+from ..operators import reports
 from ..session import scratch_path
-from ..sources import posts as src
 from ..streaming import label_stream as ls
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
@@ -44,19 +42,12 @@ def q_label_sequence_stream(spark, sf_dir):
     return _log_out(ls.read_log(spark, sink.log_path))
 
 
-def _stream_posts(lines: DataFrame) -> DataFrame:
-    return src.commit_posts(src.parse_messages(lines))
-
-
 def q_stream_counters_stream(spark, sf_dir):
     """ST3: the A7 counters as a streaming global aggregate (one pass, stream-static left join) in complete
     mode."""
     from .queries import Flow
     root, lines = _topic(spark, sf_dir)
-    posts = _stream_posts(lines)
-    linked = art.match_links(extract.extract_links(posts, DOMAIN, keep_posts=True), Flow(spark, sf_dir).dimension,
-                             how="left")
-    counters = reports.counters_one_pass(linked)
+    counters = ls.counter_stream(lines, Flow(spark, sf_dir).dimension, DOMAIN)
     out = f"{root}/counters"
 
     def write(batch, batch_id):

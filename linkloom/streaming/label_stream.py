@@ -116,13 +116,13 @@ def read_log(spark: SparkSession, log_path: str, environment: str | None = None)
 
 # ---------------------------------------------------------------- live reports
 
-def counter_stream(lines: DataFrame, domain: str, collection: str = POST_COLLECTION) -> DataFrame:
-    """ST3 / A7 as a streaming global aggregate (use ``complete`` or ``update`` output)."""
+def counter_stream(lines: DataFrame, dimension: DataFrame, domain: str,
+                   collection: str = POST_COLLECTION) -> DataFrame:
+    """ST3 / A7 as a streaming global aggregate (``complete`` or ``update`` output): one pass over the
+    messages with a stream-static left join, see :func:`reports.counters_one_pass`."""
     posts = src.commit_posts(src.parse_messages(lines), collection)
-    linked = extract.with_links(posts, domain)
-    return linked.agg(F.count(F.lit(1)).alias("posts_processed"),
-                      F.count_if(F.col("is_create") & (F.size("links") > 0)).alias("posts_with_links"),
-                      F.max("ts").alias("last_event"))
+    linked = art.match_links(extract.extract_links(posts, domain, keep_posts=True), dimension, how="left")
+    return reports.counters_one_pass(linked)
 
 
 def throughput_stream(lines: DataFrame, watermark: str = "10 seconds",
