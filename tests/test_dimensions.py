@@ -17,8 +17,8 @@ def dims(spark):
         (6, "https://www.x.com/6", "travel", "review", "T6"),
         (7, "https://www.x.com/7", "", None, "T7"),
     ], "id long, url string, section string, subsection string, title string")
-    authors = spark.createDataFrame([(10, "Ross Douthat"), (11, "Jamelle Bouie"), (12, "Rare Writer"),
-                                     (13, "  "), (14, "Ross Douthat"), (15, "Ross  Douthat")],
+    authors = spark.createDataFrame([(10, "Rhea Dunn"), (11, "Jorah Bell"), (12, "Rare Writer"),
+                                     (13, "  "), (14, "Rhea Dunn"), (15, "Rhea  Dunn")],
                                     "id long, name string")
     bridge = spark.createDataFrame([(1, 10), (2, 10), (5, 10), (3, 11), (4, 11), (6, 11), (1, 12), (5, 12),
                                     (6, 13), (6, 14), (6, 15), (9, 12), (7, 99)],
@@ -29,18 +29,18 @@ def dims(spark):
 def test_active_authors(spark):
     a, au, b = dims(spark)
     rows = order_active_authors(active_authors(a, b, au)).collect()
-    # Ross: 2 'opinion' (case-sensitive; 'Opinion' does not count); Jamelle: 2 us/politics (any case)
+    # Rhea: 2 'opinion' (case-sensitive; 'Opinion' does not count); Jorah: 2 us/politics (any case)
     # Rare Writer: 1 opinion only. Totals count every article of the author.
-    assert [(r.id, r.name, r.total_articles) for r in rows] == [(11, "Jamelle Bouie", 3), (10, "Ross Douthat", 3)]
+    assert [(r.id, r.name, r.total_articles) for r in rows] == [(11, "Jorah Bell", 3), (10, "Rhea Dunn", 3)]
 
 
 def test_article_lookup(spark):
     a, au, b = dims(spark)
     out = {r.id: r for r in art.article_lookup(a, b, au).collect()}
-    assert out[1].authors == ["Ross Douthat", "Rare Writer"]
+    assert out[1].authors == ["Rhea Dunn", "Rare Writer"]
     assert out[1].subsection is None and out[3].title is None and out[2].title is None
     # blank names dropped, duplicate names folded onto the first author id, order = author id
-    assert out[6].authors == ["Jamelle Bouie", "Ross Douthat", "Ross  Douthat"]
+    assert out[6].authors == ["Jorah Bell", "Rhea Dunn", "Rhea  Dunn"]
     assert out[7].authors == []
 
 
@@ -48,12 +48,12 @@ def test_tokens(spark):
     a, au, b = dims(spark)
     slugs = art.active_slugs(active_authors(a, b, au))
     dim = {r.article_id: r.tokens for r in art.label_dimension(a, b, au, slugs).collect()}
-    assert dim[1] == ["opinion", "ross-douthat"]
-    assert dim[2] == ["opinion", "politics", "ross-douthat"]
-    assert dim[3] == ["us", "politics", "jamelle-bouie"]
-    assert dim[5] == ["opinion", "ross-douthat"]          # blank subsection skipped
+    assert dim[1] == ["opinion", "rhea-dunn"]
+    assert dim[2] == ["opinion", "politics", "rhea-dunn"]
+    assert dim[3] == ["us", "politics", "jorah-bell"]
+    assert dim[5] == ["opinion", "rhea-dunn"]          # blank subsection skipped
     # two spellings with the same slug both label (no dedupe across tokens)
-    assert dim[6] == ["travel", "review", "jamelle-bouie", "ross-douthat", "ross-douthat"]
+    assert dim[6] == ["travel", "review", "jorah-bell", "rhea-dunn", "rhea-dunn"]
     assert dim[7] == []
 
 

@@ -12,7 +12,7 @@ def _map(spark, values, fn):
 
 
 @pytest.mark.parametrize("value,expected", [
-    ("Ross Douthat", "ross-douthat"),
+    ("Rhea Dunn", "rhea-dunn"),
     ("Science & Technology", "science-technology"),
     ("François-René", "francois-rene"),
     ("--Some Section Name--", "some-section-name"),
@@ -50,7 +50,7 @@ def test_fold_and_display(spark):
 
 
 def test_report_helpers(spark):
-    assert _map(spark, ["sub-x", "review", "ross-douthat", "opinion"], T.tag_class) == ["sub", "sub", "author", "plain"]
+    assert _map(spark, ["sub-x", "review", "rhea-dunn", "opinion"], T.tag_class) == ["sub", "sub", "author", "plain"]
     assert _map(spark, ["us", "US", "opinion"], T.tag_display) == ["US", "US", "opinion"]
     assert _map(spark, ["<a href='x'>&\"</a>"], T.html_escape) == ["&lt;a href=&#039;x&#039;&gt;&amp;&quot;&lt;/a&gt;"]
     assert _map(spark, ["a b!~*'()é+&"], T.encode_uri_component) == ["a%20b!~*'()%C3%A9%2B%26"]
