@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name, slugify
@@ -44,8 +44,12 @@ def taxonomy_definitions(categories: DataFrame, active_authors: DataFrame, publi
     """Sections, then subsections, then active authors (total desc, name asc); an identifier registered
     earlier wins and empty identifiers are skipped (W1). ``position`` is the registration order."""
     cand = _candidates(categories, active_authors, publisher).where(F.col("identifier") != "")
-    first = Window.partitionBy("identifier").orderBy(*_ORDER)
-    kept = cand.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1).drop("_rn")
+    # first registration per identifier: min over (registration order, payload) — a partial aggregate, so an
+    # identifier shared by many authors is combined map-side rather than gathered into one window task
+    payload = ["family", "locale_name", "description"]
+    first = (cand.groupBy("identifier")
+             .agg(F.min(F.struct(*[F.col(c) for c in _ORDER + payload])).alias("_f")))
+    kept = first.select("identifier", *[F.col(f"_f.{c}").alias(c) for c in _ORDER + payload])
     numbered = assign_sequence(kept, _ORDER, partition_col=None, id_col="position")
     return numbered.select("position", "identifier", "family", "locale_name", "description", *_ORDER,
                            F.lit(SEVERITY).alias("severity"), F.lit(BLURS).alias("blurs"),

@@ -32,3 +32,15 @@ def test_lookup_with_default(spark):
     probes = spark.createDataFrame([("dev", "firehose"), ("prod", "firehose")], "environment string, key string")
     got = sorted(tuple(r) for r in lookup_with_default(table, probes, ["environment", "key"], "value", "true").collect())
     assert got == [("dev", "firehose", "false", False), ("prod", "firehose", "true", True)]
+
+
+def test_upsert_and_insert_ignore_are_idempotent(spark):
+    t = spark.createDataFrame([("dev", 1, "a"), ("dev", 2, "b")], "environment string, id long, val string")
+    s = spark.createDataFrame([("dev", 2, "B"), ("dev", 3, "c")], "environment string, id long, val string")
+    once = upsert(t, s, ["environment", "id"])
+    twice = upsert(once, s, ["environment", "id"])
+    assert sorted(tuple(r) for r in once.collect()) == sorted(tuple(r) for r in twice.collect())
+    i1 = insert_ignore(t, s, ["environment", "id"])
+    i2 = insert_ignore(i1, s, ["environment", "id"])
+    assert sorted(tuple(r) for r in i1.collect()) == sorted(tuple(r) for r in i2.collect()) == \
+        [("dev", 1, "a"), ("dev", 2, "b"), ("dev", 3, "c")]
