@@ -11,8 +11,14 @@ whole-stage codegen. The rules follow the WHATWG URL parser for the cases that o
 * the path has ``\\`` turned into ``/``, becomes ``/`` when empty, has ``.``/``..`` segments resolved and has
   the path percent-encode set (C0, space, ``" < > ` { }``, DEL, non-ASCII) percent-encoded as UTF-8.
 
-Not modelled (documented in README): IDNA/punycode of non-ASCII hosts, percent-decoding of hosts, IPv4
-number normalisation, and ``file:`` URLs.
+* a domain host is percent-decoded before it is checked (``ex%61mple.com`` is ``example.com``); a
+  malformed escape or invalid UTF-8 makes the URL invalid.
+
+* a host ending in a number must be a dotted-quad IPv4 address; IP hosts (v4 and v6) keep no ``www.``
+  prefix (the hostname setter rejects ``www.`` + an address).
+
+Not modelled (documented in README): IDNA/punycode of non-ASCII hosts, the hex/octal/short IPv4 spellings
+(treated as invalid), and ``file:`` URLs.
 
 The parser is generated as one Spark SQL expression (a chain of ``transform`` steps over an array of
 structs): each field is computed once and later steps reference it cheaply, and the whole expression is
@@ -35,6 +41,12 @@ DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
 URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)"
 HOST_OK_RE = r"^(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#%/:<>?@\[\\\]^|\x7F]+)$"
+IPV6_RE = r"^\[[0-9A-Fa-f:.]+\]$"
+# forbidden domain code points (checked after percent-decoding the host)
+DOMAIN_OK_RE = r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7F]+$"
+# a host whose last label is a number is an IPv4 address (dotted-quad decimal here) or invalid
+ENDS_IN_NUMBER_RE = r"(^|\.)(0[xX][0-9A-Fa-f]*|[0-9]+)\.?$"
+IPV4_RE = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 # Characters that never need percent-encoding in a path (printable ASCII minus the path encode set).
 PATH_SAFE_RE = r"^[\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7A\x7C\x7E]*$"
 USERINFO_SAFE_RE = r"^[\x21\x23-\x2E\x30-\x39\x41-\x5A\x5F\x61-\x7A\x7E]*$"
@@ -100,16 +112,23 @@ def parse_urls_sql(arr: str) -> str:
                host_raw=f"regexp_extract(x.hostport, {raw(r'^(\[[^\]]*\]|[^:]*)')}, 1)",
                port_raw=f"regexp_extract(x.hostport, {raw(r'^(?:\[[^\]]*\]|[^:]*):(.*)$')}, 1)")
     a = _stage(a, ["raw", "scheme", "path", "userinfo", "host_raw", "port_raw"],
-               port_digits=f"regexp_replace(x.port_raw, {raw('^0+')}, '')")
+               port_digits=f"regexp_replace(x.port_raw, {raw('^0+')}, '')",
+               host_dec=("CASE WHEN instr(x.host_raw, '%') > 0 "
+                         "THEN try_url_decode(replace(x.host_raw, '+', '%2B')) ELSE x.host_raw END"))
     small = "coalesce(try_cast(nullif(x.port_digits, '') AS INT), 0) <= 65535"
     port_ok = (f"(x.port_raw = '' OR (x.port_raw RLIKE {raw('^[0-9]+$')} AND length(x.port_digits) <= 5 "
                f"AND {small}))")
     special = ", ".join(f"'{s}'" for s in DEFAULT_PORTS)
-    valid = (f"coalesce(x.scheme IN ({special}) AND x.host_raw != '' AND x.host_raw RLIKE {raw(HOST_OK_RE)} "
-             f"AND {port_ok}, false)")
+    ipv6 = f"startswith(x.host_raw, '[')"
+    host_ok = (f"CASE WHEN {ipv6} THEN x.host_raw RLIKE {raw(IPV6_RE)} "
+               f"ELSE x.host_dec IS NOT NULL AND x.host_dec != '' AND x.host_dec RLIKE {raw(DOMAIN_OK_RE)} "
+               f"AND instr(x.host_dec, '\uFFFD') = 0 "
+               f"AND (NOT x.host_dec RLIKE {raw(ENDS_IN_NUMBER_RE)} OR x.host_dec RLIKE {raw(IPV4_RE)}) END")
+    valid = f"coalesce(x.scheme IN ({special}) AND {host_ok} AND {port_ok}, false)"
     port = ("CASE WHEN x.port_raw = '' THEN CAST(NULL AS INT) WHEN x.port_digits = '' THEN 0 "
             "ELSE try_cast(x.port_digits AS INT) END")
-    return _stage(a, ["raw", "scheme", "path", "userinfo"], host="lower(x.host_raw)", port=port, valid=valid)
+    host = f"lower(CASE WHEN {ipv6} THEN x.host_raw ELSE x.host_dec END)"
+    return _stage(a, ["raw", "scheme", "path", "userinfo"], host=host, port=port, valid=valid)
 
 
 def in_domain_sql(x: str, domain: str) -> str:
@@ -132,7 +151,8 @@ def canonical_pairs_sql(parsed: str) -> str:
     ui_out = (f"CASE WHEN x.user = '' AND x.password = '' THEN '' ELSE concat({_pct_sql('x.user', USERINFO_SAFE_RE)}, "
               f"CASE WHEN x.password = '' THEN '' ELSE concat(':', {_pct_sql('x.password', USERINFO_SAFE_RE)}) END, "
               f"'@') END")
-    host_out = "CASE WHEN startswith(x.host, 'www.') THEN x.host ELSE concat('www.', x.host) END"
+    host_out = (f"CASE WHEN startswith(x.host, 'www.') OR startswith(x.host, '[') OR x.host RLIKE {raw(IPV4_RE)} "
+                f"THEN x.host ELSE concat('www.', x.host) END")
     canon = (f"CASE WHEN x.valid THEN concat('https://', {ui_out}, {host_out}, {port_out}, x.path) "
              f"ELSE {js_trim_sql('x.raw')} END")
     return f"transform({a}, x -> named_struct('url', x.raw, 'canonical_url', {canon}))"

@@ -30,6 +30,11 @@ DOMAIN_CASES = [
     ("https://nyt imes.com/x", False),
     ("  https://heraldpost.com/x  ", True),
     ("http:\\\\heraldpost.com\\a", True),
+    ("https://herald%70ost.com/x", True),
+    ("https://herald%zzpost.com/x", False),
+    ("https://herald%FFpost.com/x", False),
+    ("https://%5B::1%5D/x", False),
+    ("https://[::1]/x", False),
 ]
 
 CANONICAL_CASES = [
@@ -57,6 +62,13 @@ CANONICAL_CASES = [
     ("https://user:@heraldpost.com/x", "https://user@www.heraldpost.com/x"),
     ("http:\\\\heraldpost.com\\a\\b", "https://www.heraldpost.com/a/b"),
     ("https://www.heraldpost.com/keep/trailing/", "https://www.heraldpost.com/keep/trailing/"),
+    ("https://HERALD%70ost.com/x", "https://www.heraldpost.com/x"),
+    ("https://a%zz.com/x", "https://a%zz.com/x"),
+    ("https://a+b.com/x", "https://www.a+b.com/x"),
+    ("http://[::1]:8080/x", "https://[::1]:8080/x"),
+    ("http://10.0.0.1/x", "https://10.0.0.1/x"),
+    ("http://a.123/x", "http://a.123/x"),
+    ("http://www.1.2.3.4/x", "http://www.1.2.3.4/x"),
 ]
 
 
