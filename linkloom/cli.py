@@ -70,8 +70,8 @@ def _log(spark: SparkSession, path: str):
 def cmd_pad(spark: SparkSession, args) -> None:
     """ensureDatabaseSequence: append pad rows up to the cursor (no-op when the log is already there).
 
-    Pads are written as a batch with a negative id (ordered before every stream batch) together with their
-    high-water mark, so the label stream continues numbering after them.
+    Pads are written to the log as a batch with a negative id, and their high-water mark goes to the pad
+    marks the label stream reads, so the stream continues numbering after them.
     """
     cursor = api.valid_cursor(F.lit(args.cursor))
     value = spark.range(1).select(cursor.alias("c")).first()["c"]
@@ -92,7 +92,7 @@ def cmd_pad(spark: SparkSession, args) -> None:
         return
     pads.write.mode("overwrite").partitionBy("environment").parquet(f"{args.log}/batch_id={batch}")
     (pads.groupBy("environment").agg(F.max("id").alias("max_id"))
-     .write.mode("overwrite").parquet(f"{args.marks}/batch_id={batch}"))
+     .write.mode("overwrite").parquet(f"{args.marks}_pads/batch_id={batch}"))
     pads.unpersist()
 
 
