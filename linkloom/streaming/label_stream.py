@@ -100,14 +100,13 @@ class LabelSink:
         entries.unpersist()
 
     def _recent(self, spark: SparkSession, entries: DataFrame, batch_id: int) -> None:
-        """T4: newest-k = top-k of (previous newest-k ∪ this batch); versioned by batch id."""
+        """T4: newest-k = top-k of (previous newest-k ∪ this batch). Every batch writes a version, so only
+        the previous batch's version is read (bounded by k)."""
         current = entries
         try:
-            prev = (spark.read.parquet(self.recent_path).where(F.col("batch_id") < batch_id))
-            last = prev.agg(F.max("batch_id")).first()[0]
-            if last is not None:
-                current = prev.where(F.col("batch_id") == last).drop("batch_id").unionByName(entries)
-        except Exception:
+            prev = spark.read.parquet(f"{self.recent_path}/batch_id={batch_id - 1}")
+            current = prev.select(*entries.columns).unionByName(entries)
+        except Exception:  # first batch
             pass
         top = reports.recent_labels(current, self.recent_k)
         top.write.mode("overwrite").parquet(f"{self.recent_path}/batch_id={batch_id}")
