@@ -1,7 +1,8 @@
 """Upsert (S5, S7, J8), insert-or-ignore (S6, J7) and keyed lookup with default.
 
-Upsert keeps the newest version per key with ``max_by`` — a partial aggregate, so a key repeated many times
-is combined map-side instead of being gathered into one window task.
+A merge brings a (usually small) slice into a (usually large) table. The table is never aggregated or
+shuffled for it: it streams once through a join with the slice's keys, which are broadcast when the slice
+is provably small (size-checked), and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -9,24 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
-    """Insert or overwrite all non-key columns: source rows win over target rows; among several source
-    rows for one key the one with the largest ``order_col`` wins."""
-    cols = [c for c in target.columns]
-    rank_src = F.lit(1) if order_col is None else F.col(order_col)
-    t = target.select(*cols, F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("o")).alias("_v"))
-    s = source.select(*cols, F.struct(F.lit(1).alias("s"), rank_src.cast("long").alias("o")).alias("_v"))
-    rest = [c for c in cols if c not in keys]
-    merged = (t.unionByName(s).groupBy(*keys)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col("_v")).alias("_row")))
-    return merged.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*cols)
 
+def latest_per_key(source: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest ``order_col`` (``max_by``, a partial aggregate, so a key
+    repeated many times is combined map-side). Without ``order_col`` any one row per key is kept."""
+    rest = [c for c in source.columns if c not in keys and c != order_col]
+    order = F.col(order_col) if order_col else F.lit(0)
+    picked = source.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_row"))
+    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
-def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_col: str | None = None,
+           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Insert or overwrite all non-key columns: a source row replaces the target row with its key; among
+    several source rows for one key the one with the largest ``order_col`` wins."""
+    cols = [c for c in target.columns if c != order_col]
+    fresh = latest_per_key(source, keys, order_col).select(*cols)
+    replaced = broadcast_if_small(fresh.select(*keys), max_broadcast_rows)
+    kept = target.select(*cols).join(replaced, keys, "left_anti")
+    return kept.unionByName(fresh)
+
+
+def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str],
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Existing keys win; only new keys from ``source`` are added."""
-    new = source.select(*target.columns).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(new)
+    incoming = source.select(*target.columns)
+    probe = broadcast_if_small(incoming.select(*keys), max_broadcast_rows)
+    existing = target.select(*keys).join(probe, keys, "left_semi")        # the table streams past the keys
+    return target.unionByName(incoming.join(existing, keys, "left_anti"))
 
 
 def lookup_with_default(table: DataFrame, probes: DataFrame, keys: list[str], value_col: str, default: str
