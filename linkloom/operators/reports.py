@@ -111,12 +111,25 @@ def stall_buckets(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
             .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us")))
 
 
+GAP_GROUP = 4096  # buckets per window group (~17 h of 15-second buckets)
+
+
 def gaps_from_buckets(buckets: DataFrame, threshold_seconds: int = 15) -> DataFrame:
-    """Gaps of at least ``threshold`` between consecutive occupied buckets. The bucket table's size is
-    bounded by time span / threshold (not by the event count), so ordering it is a bounded step."""
+    """Gaps of at least ``threshold`` between consecutive occupied buckets.
+
+    Two levels, so no task orders more than a bounded number of rows: buckets are grouped by
+    ``b div 4096`` and each bucket takes the previous one's last event inside its group; the first bucket
+    of a group takes the last event of the previous occupied group from a per-group table (one row per
+    ~17 h, broadcast).
+    """
     width = threshold_seconds * 1_000_000
-    w = Window.orderBy("b")
-    prev = buckets.select("first_us", F.lag("last_us").over(w).alias("prev_us"))
+    grouped = buckets.withColumn("g", ((F.col("b") - F.pmod(F.col("b"), F.lit(GAP_GROUP))) / GAP_GROUP).cast("long"))
+    inside = grouped.select("g", "b", "first_us",
+                            F.lag("last_us").over(Window.partitionBy("g").orderBy("b")).alias("prev_us"))
+    per_group = grouped.groupBy("g").agg(F.max("last_us").alias("g_last_us"))
+    before = per_group.select("g", F.lag("g_last_us").over(Window.orderBy("g")).alias("g_prev_us"))
+    prev = (inside.join(F.broadcast(before), "g")
+            .select("first_us", F.coalesce(F.col("prev_us"), F.col("g_prev_us")).alias("prev_us")))
     gaps = prev.where(F.col("prev_us").isNotNull() & (F.col("first_us") - F.col("prev_us") >= width))
     return gaps.select(iso(F.timestamp_micros("prev_us")).alias("gap_start"),
                        iso(F.timestamp_micros("first_us")).alias("gap_end"),
