@@ -18,12 +18,16 @@ from .streaming.label_stream import (LabelSink, counter_stream, labelled_stream,
                                      start_label_stream, throughput_stream)
 
 
-def label_posts(posts, articles, bridge, authors, domain: str, **active_rule):
+def label_posts(posts, articles, bridge, authors, domain: str, dedupe_articles: bool = False,
+                max_broadcast_rows: int = 200_000, **active_rule):
     """``issueLabelsForPost`` for a whole table: posts (from :func:`commit_posts`) → labelled entries.
 
-    The active-author rule takes ``opinion``, ``us``, ``politics`` and ``threshold`` keyword parameters."""
+    The active-author rule takes ``opinion``, ``us``, ``politics`` and ``threshold`` keyword parameters;
+    ``dedupe_articles`` keeps one emission per (post, article); the dimension is broadcast only when it has
+    at most ``max_broadcast_rows`` rows."""
     creates = posts.where("is_create")
     links = extract_links(creates, domain).selectExpr("uri", "author_did", "ts", "record.text AS text", "url_ord",
                                                       "url", "canonical_url")
     slugs = active_slugs(active_authors(articles, bridge, authors, **active_rule))
-    return labelled_entries(match_links(links, label_dimension(articles, bridge, authors, slugs)))
+    dimension = label_dimension(articles, bridge, authors, slugs)
+    return labelled_entries(match_links(links, dimension, max_broadcast_rows), dedupe_articles=dedupe_articles)
