@@ -38,3 +38,15 @@ def test_dedupe_articles_option(spark, sf_small):
     pairs = every.select("uri", "article_id").distinct().count()
     assert first.count() == pairs < every.count()      # the fixture has posts linking one article twice
     assert first.groupBy("uri", "article_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_match_without_broadcast_gives_same_rows(spark, sf_small):
+    from linkloom.operators.articles import match_links
+    f = Flow(spark, sf_small)
+    small = match_links(f.links, f.dimension).select("uri", "url_ord", "article_id")
+    big = match_links(f.links, f.dimension, max_broadcast_rows=1).select("uri", "url_ord", "article_id")
+    hinted = small._jdf.queryExecution().optimizedPlan().toString()
+    plain = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in hinted
+    assert "strategy=broadcast" not in plain           # no hint: the join strategy is left to the planner / AQE
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
