@@ -49,10 +49,6 @@ class Flow:
         """For plans that read the label log in several branches (merges, cursors): compute once, keep."""
         self.__dict__["label_log"] = self.label_log.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def keep_posts(self) -> None:
-        """For plans that read the posts in several branches: parse once, keep (recomputable from lineage)."""
-        self.__dict__["posts"] = self.posts.persist(StorageLevel.MEMORY_AND_DISK)
-
     @cached_property
     def creates(self) -> DataFrame:
         return self.posts.where(F.col("is_create"))
