@@ -9,16 +9,15 @@ whole-stage codegen. The rules follow the WHATWG URL parser for the cases that o
   host ``evil``); the port is all digits and at most 65535 and the scheme's default port is dropped;
 * the host is lower-cased; an empty host or a forbidden host code point makes the URL invalid;
 * the path has ``\\`` turned into ``/``, becomes ``/`` when empty, has ``.``/``..`` segments resolved and has
-  the path percent-encode set (C0, space, ``" < > ` { }``, DEL, non-ASCII) percent-encoded as UTF-8.
-
+  the path percent-encode set (C0, space, ``" < > ` { }``, DEL, non-ASCII) percent-encoded as UTF-8;
 * a domain host is percent-decoded before it is checked (``ex%61mple.com`` is ``example.com``); a
-  malformed escape or invalid UTF-8 makes the URL invalid.
-
+  malformed escape or invalid UTF-8 makes the URL invalid; compatibility characters that map onto one
+  ASCII host character (fullwidth letters, ideographic full stops, …) are mapped, as domain-to-ASCII does;
 * a host ending in a number must be a dotted-quad IPv4 address; IP hosts (v4 and v6) keep no ``www.``
   prefix (the hostname setter rejects ``www.`` + an address).
 
-Not modelled (documented in README): IDNA/punycode of non-ASCII hosts, the hex/octal/short IPv4 spellings
-(treated as invalid), and ``file:`` URLs.
+Not modelled (documented in README): punycode of other non-ASCII hosts and multi-character mappings, the
+hex/octal/short IPv4 spellings (treated as invalid), and ``file:`` URLs.
 
 The parser is generated as one Spark SQL expression (a chain of ``transform`` steps over an array of
 structs): each field is computed once and later steps reference it cheaply, and the whole expression is
@@ -28,6 +27,8 @@ built with a single ``expr`` call instead of thousands of Column calls.
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,28 @@ USERINFO_SAFE_RE = r"^[\x21\x23-\x2E\x30-\x39\x41-\x5A\x5F\x61-\x7A\x7E]*$"
 DOT_SEGMENT_RE = r"(^|/)(\.|%2[eE]){1,2}(/|$)"
 
 
+@lru_cache(maxsize=1)
+def host_ascii_table() -> tuple[str, str]:
+    """Characters the host's domain-to-ASCII step maps onto one ASCII host character: every BMP code point
+    whose NFKC case fold is a single ``[a-z0-9.-]`` (fullwidth forms, letter-like symbols, super/subscripts,
+    …), plus the ideographic full stops that separate labels. Built by rule from the Unicode database
+    (262 + 2 code points); multi-character mappings are not covered."""
+    allowed = set("abcdefghijklmnopqrstuvwxyz0123456789-.")
+    src, dst = [], []
+    for cp in range(0x80, 0x10000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        mapped = unicodedata.normalize("NFKC", chr(cp)).casefold()
+        if len(mapped) == 1 and mapped in allowed:
+            src.append(chr(cp))
+            dst.append(mapped)
+    for stop in ("\u3002", "\uff61"):
+        if stop not in src:
+            src.append(stop)
+            dst.append(".")
+    return "".join(src), "".join(dst)
+
+
 # ---------------------------------------------------------------- SQL text helpers
 
 def raw(pattern: str) -> str:
@@ -113,8 +136,9 @@ def parse_urls_sql(arr: str) -> str:
                port_raw=f"regexp_extract(x.hostport, {raw(r'^(?:\[[^\]]*\]|[^:]*):(.*)$')}, 1)")
     a = _stage(a, ["raw", "scheme", "path", "userinfo", "host_raw", "port_raw"],
                port_digits=f"regexp_replace(x.port_raw, {raw('^0+')}, '')",
-               host_dec=("CASE WHEN instr(x.host_raw, '%') > 0 "
-                         "THEN try_url_decode(replace(x.host_raw, '+', '%2B')) ELSE x.host_raw END"))
+               host_dec=("translate(CASE WHEN instr(x.host_raw, '%') > 0 "
+                         "THEN try_url_decode(replace(x.host_raw, '+', '%2B')) ELSE x.host_raw END, "
+                         f"{raw(host_ascii_table()[0])}, {raw(host_ascii_table()[1])})"))
     small = "coalesce(try_cast(nullif(x.port_digits, '') AS INT), 0) <= 65535"
     port_ok = (f"(x.port_raw = '' OR (x.port_raw RLIKE {raw('^[0-9]+$')} AND length(x.port_digits) <= 5 "
                f"AND {small}))")

@@ -31,6 +31,9 @@ DOMAIN_CASES = [
     ("  https://heraldpost.com/x  ", True),
     ("http:\\\\heraldpost.com\\a", True),
     ("https://herald%70ost.com/x", True),
+    ("https://\uff48\uff45\uff52\uff41\uff4c\uff44\uff50\uff4f\uff53\uff54.com/x", True),
+    ("https://heraldpost\u3002com/x", True),
+    ("https://heraldpost.co\u217f/x", True),
     ("https://herald%zzpost.com/x", False),
     ("https://herald%FFpost.com/x", False),
     ("https://%5B::1%5D/x", False),
@@ -63,6 +66,7 @@ CANONICAL_CASES = [
     ("http:\\\\heraldpost.com\\a\\b", "https://www.heraldpost.com/a/b"),
     ("https://www.heraldpost.com/keep/trailing/", "https://www.heraldpost.com/keep/trailing/"),
     ("https://HERALD%70ost.com/x", "https://www.heraldpost.com/x"),
+    ("https://\uff28\uff25\uff32\uff21\uff2c\uff24post.com/x", "https://www.heraldpost.com/x"),
     ("https://a%zz.com/x", "https://a%zz.com/x"),
     ("https://a+b.com/x", "https://www.a+b.com/x"),
     ("http://[::1]:8080/x", "https://[::1]:8080/x"),
