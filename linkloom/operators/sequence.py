@@ -6,10 +6,10 @@ time is split across tasks), sorted inside each partition, and numbered by
 ``offset(partition) + position-in-partition``. Offsets come from a table with one row per
 (partition, environment), whose size is bounded by the partition count, so broadcasting it is safe.
 
-The range-partitioned rows are checkpointed (reliably, to the shared checkpoint folder) before they are
-numbered: the offsets and the positions are computed by two branches of the plan, and both — as well as
-any recomputation after a lost executor — must see exactly the same partition contents. Re-sampling the
-range bounds from a shuffle output whose row order varies would silently break that.
+Each row's partition and position are computed once, right after the range partitioning, and written
+as a parquet table in the shared checkpoint folder: the offsets and the numbering are two branches of the
+plan, and both — as well as any recomputation after a lost executor — must see exactly the same values.
+Re-sampling the range bounds from a shuffle output whose row order varies would silently break that.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import POST_COLLECTION
-from ..session import checkpoint_root
+from ..session import scratch_path
 
 MAX_SAFE_INTEGER = 9007199254740991
 PAD_VALUE = "dummy-sequence-pad"
@@ -39,13 +39,17 @@ def assign_sequence(df: DataFrame, order_cols: list[str], partition_col: str | N
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_part", part)
     keys = ["_part"] + list(order_cols)
-    checkpoint_root(spark)
-    # the input feeds both the range-bound sampling job and the checkpoint job: compute it once
+    # the input feeds both the range-bound sampling job and the write: compute it once
     source = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    fixed = source.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    source.unpersist()
-    ranged = (fixed.withColumn("_pid", F.spark_partition_id())
+    ranged = (source.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    # positions are fixed once and written as a table in the shared checkpoint folder: every later read
+    # (offsets and numbering, and any recomputation after a lost executor) sees the same values
+    path = scratch_path(spark, "sequence")
+    ranged.write.parquet(path)
+    source.unpersist()
+    ranged = spark.read.parquet(path)
     counts = ranged.groupBy("_pid", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_part").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
