@@ -52,8 +52,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    When unset (local tests), a fresh private folder is created and registered, so checkpoints and
-    intermediate tables always land in one place that the whole cluster can see.
+    Unset on a local master (tests): a fresh private folder is created and registered. Unset on a cluster: an
+    error, because executors and driver would otherwise read and write different disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,20 +61,26 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         conf_dir = tempfile.mkdtemp(prefix="linkloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new unique path under the checkpoint root (never reused, never deleted by us)."""
+    """A new unique path under the checkpoint root (never reused; see ``drop_scratch``)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/linkloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so plain-filesystem helpers can read a local path (tests only)."""
-    return path[len("file:"):] if path.startswith("file:") else path
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one folder made by ``scratch_path``, through the file system that holds it."""
+    if "/linkloom/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def table_path(sf_dir: str, name: str) -> str:
