@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, token_files
+from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, token_files
 from linkloom.llm.common import documents
 from linkloom.session import scratch_path
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), path, END_ID)
@@ -27,9 +31,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(documents(spark, sf_dir)))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.adaptive_rules(documents(spark, sf_dir))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+}
