@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, token_files
-from linkloom.llm.common import documents
+from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, token_files, toxicity
+from linkloom.llm.common import documents, table
 from linkloom.session import scratch_path
 
 END_ID = 2
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
