@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, token_files, toxicity, warc
+from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, suffix_dedup, token_files, toxicity, warc
 from linkloom.llm.common import documents, table
 from linkloom.session import scratch_path
 
@@ -39,6 +39,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(documents(spark, sf_dir)))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), keep_text=False)
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_pages(spark, sf_dir)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
