@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, exact_dedup, mixing, pii, quality, suffix_dedup, token_files, toxicity, warc
+from linkloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, toxicity, warc
 from linkloom.llm.common import documents, table
 from linkloom.session import scratch_path
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
@@ -68,6 +73,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op8_warc_revisits": warc.ORACLE,
 }
