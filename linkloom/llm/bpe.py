@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pandas as pd
 import pyarrow as pa
@@ -140,28 +140,33 @@ def decoded(ids: Column, vocabulary: str) -> Column:
     return decode(ids)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text. Both
-    directions run in one pass, so that the ids need not leave the worker."""
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text, and the
+    ids themselves if asked for. Both directions run in one pass."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType(), False),
         T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False),
+        *([T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         digits = {i: str(i) for i in bpe.strings}
         for batch in batches:
-            counts, id_sums, text_sums = [], [], []
+            counts, id_sums, text_sums, held = [], [], [], []
             for text in batch.column(1):
                 ids = list(bpe.encode(text.as_py() or ""))
                 counts.append(len(ids))
                 id_sums.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 text_sums.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    held.append(pa.array(ids, pa.int32()))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
+            if with_ids:
+                offsets = pa.array([0, *accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(held) if held else pa.array([], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(id_col, docs[text_col].cast("string").alias(f"{text_col}_")).mapInArrow(run, schema)

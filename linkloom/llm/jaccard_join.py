@@ -42,8 +42,8 @@ from pyspark.sql import types as T
 from linkloom.llm.common import release, ship, written
 from linkloom.llm.graph import components
 
-SHINGLE = 4
-PERCENT = 85
+SHINGLE = 5
+PERCENT = 80
 GROWTH = 1.4
 #: Parts per (T + 1): the more, the more cells linked documents must share.
 PARTS = 1.25
@@ -134,9 +134,9 @@ def _sums(code: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def describe(texts: list[bytes], seed: int, sizes: Sizes, seen: set[int]) -> list[dict]:
+def describe(texts: list[bytes], seed: int, sizes: Sizes, seen: set[int], width: int = SHINGLE) -> list[dict]:
     """Per text: n, node (hash of the set), check (another), cells: list of (need, signatures); none for nodes seen before."""
-    doc, h = shingle_sets(texts)
+    doc, h = shingle_sets(texts, width)
     n = np.bincount(doc, minlength=len(texts))
     one, two = _pair(h, np.uint64(2 * seed + 101)), _pair(h, np.uint64(2 * seed + 102))
     node = _pair(_sums(doc, one, len(texts)), n.astype(np.uint64)).view(np.int64)
@@ -178,7 +178,7 @@ def describe(texts: list[bytes], seed: int, sizes: Sizes, seen: set[int]) -> lis
 _CELLS = "array<struct<region:int,need:int,cells:array<bigint>>>"
 
 
-def _described(docs: DataFrame, seed: int, percent: int) -> DataFrame:
+def _described(docs: DataFrame, seed: int, percent: int, width: int) -> DataFrame:
     """From rows (id, text): id, n, node, check, cells."""
     id_field = docs.schema["id"]
     schema = T.StructType([id_field, *T._parse_datatype_string(f"n long, node long, check long, cells {_CELLS}").fields])
@@ -188,7 +188,7 @@ def _described(docs: DataFrame, seed: int, percent: int) -> DataFrame:
         cell_type = pa.list_(pa.struct([("region", pa.int32()), ("need", pa.int32()), ("cells", pa.list_(pa.int64()))]))
 
         def out(ids: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
-            rows = describe(texts, seed, sizes, seen)
+            rows = describe(texts, seed, sizes, seen, width)
             flat = [c for r in rows for c in r["cells"]]
             cells = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c["cells"]) for c in flat)]), pa.int32()), pa.array(np.concatenate([c["cells"] for c in flat]) if flat else [], pa.int64()))
             regions = pa.StructArray.from_arrays([pa.array([c["region"] for c in flat], pa.int32()), pa.array([c["need"] for c in flat], pa.int32()), cells], ["region", "need", "cells"])
@@ -285,24 +285,22 @@ def _region_join(percent: int):  # noqa: ANN202
     return run
 
 
-def _sets(docs: DataFrame, seed: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, seed: int, width: int) -> DataFrame:
     """From rows (node, region, weight, text): node, region, weight, n, shingles (hashes in order, as bytes). A row whose text has another set is left out (its id is
     used by several rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = [(t.as_py() or "").encode() for t in part.column(3)]
-                doc, h = shingle_sets(texts)
+                doc, h = shingle_sets(texts, width)
                 n = np.bincount(doc, minlength=len(texts))
                 node = _pair(_sums(doc, _pair(h, np.uint64(2 * seed + 101)), len(texts)), n.astype(np.uint64)).view(np.int64)
                 cut = np.cumsum([0, *n])
                 same = pa.array(node == part.column(0).to_numpy())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
                                                  names=["node", "region", "weight", "n", "shingles"]).filter(same)
-        del sizes
 
     return docs.select("node", "region", "weight", "text").mapInArrow(run, "node long, region long, weight long, n long, shingles binary")
 
@@ -349,14 +347,14 @@ def _grid(left: DataFrame, right: DataFrame, region_docs: int) -> DataFrame:
     return paired(a, nb, True).unionByName(paired(b, na, False))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, region_docs: int = REGION_DOCS,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, region_docs: int = REGION_DOCS,
                     region_shingles: int = REGION_SHINGLES, seed: int = 0) -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     while True:
-        known = written(_described(own, seed, percent), "jaccard-sets")
+        known = written(_described(own, seed, percent, width), "jaccard-sets")
         members = known.where("node IS NOT NULL")
         clash = members.groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
         if not clash.head(1):
@@ -386,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = written(wanted.join(picked, "node"), "jaccard-wanted")
     n_wanted = wanted.count()
     fetch = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = written(_sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, percent).dropDuplicates(["node"]), "jaccard-regions")
+    sets = written(_sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, width).dropDuplicates(["node"]), "jaccard-regions")
 
     links = None
     sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
@@ -421,10 +419,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group, and all rows without words."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")), "jaccard-dropped")
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    dropped = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct(), "jaccard-dropped")
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("_drop")), "left_anti")
 

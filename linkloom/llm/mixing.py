@@ -25,6 +25,7 @@ from linkloom.llm.common import WORD, as_text, written
 DIGIT_BITS = 12
 DIGITS = 5
 MAX_EPOCHS = 3
+BROADCAST_SOURCES = 100_000
 SEED = 20240917
 
 
@@ -63,33 +64,33 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
             .select("source", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap")).alias("target")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        quality: Column | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+def _keys(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality: Column | None, seed: int) -> list[Column]:
+    """id, source, size and key as columns of ``docs``."""
     top = DIGIT_BITS * DIGITS
     w = F.coalesce(quality if quality is not None else quality_weight(docs[text_col]), F.lit(1.0))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col].cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
     share = 1 - F.exp(F.log(u) / F.greatest(w, F.lit(1e-6)))  # ascending in the key, between 0 and 1
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"),
-                       F.least(F.floor(share * float(1 << top)).cast("long"), F.lit((1 << top) - 1)).alias("key"))
-    rows = written(rows, "mix-keys")
+    return [docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"),
+            F.least(F.floor(share * float(1 << top)).cast("long"), F.lit((1 << top) - 1)).alias("key")]
 
+
+def _plan(rows: DataFrame, max_epochs: int) -> DataFrame:
+    """A row per source: p_source, source_size, target, epochs, budget, and where in the order of keys the budget ends."""
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
     plan = wanted.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     plan = plan.withColumn("budget", F.when(F.col("epochs") >= max_epochs, F.lit(0)).otherwise(F.round(F.col("target") - F.col("epochs") * F.col("source_size"))).cast("long"))
     plan = written(plan.withColumnRenamed("source", "p_source"), "mix-plan")
 
-    # rounds of 12 bits; (lo, left): documents with key prefix below lo are taken, left is the rest of the budget inside lo
+    # rounds of 12 bits: keys whose prefix is below the edge's are taken, left is the rest of the budget inside the edge
     edge = plan.select(F.col("p_source").alias("e_source"), F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
     for digit in range(1, DIGITS + 1):
-        shift = top - DIGIT_BITS * digit
+        shift = DIGIT_BITS * (DIGITS - digit)
         inside = rows.join(edge, rows["source"].eqNullSafe(edge["e_source"]) & (F.shiftright("key", shift + DIGIT_BITS) == edge["prefix"]))
         sums = inside.groupBy("source", "left", F.shiftright("key", shift).alias("prefix")).agg(F.sum("size").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("prefix"))
         found = (sums.select("source", "prefix", (F.col("left") - upto + F.col("n")).alias("left"), (upto > F.col("left")).alias("over"))
                  .where("over").groupBy("source").agg(F.min(F.struct("prefix", "left")).alias("e"))
                  .select(F.col("source").alias("e_source"), "e.prefix", "e.left"))
-        # a source whose budget covers all that is inside has no edge: its prefix lies above every key
         edge = written(found, f"mix-edge-{digit}")
     # documents with the very key in which the budget ends: by id, as long as they fit; the first that does not fit
     # is taken too if that comes nearer to the budget
@@ -99,13 +100,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     nearer = F.col("from") + F.col("size") - F.col("left") < F.col("left") - F.col("from")
     closes = (start.groupBy("source").agg(F.min(F.when(F.col("from") + F.col("size") > F.col("left"), F.struct("id", "size", nearer.alias("nearer")))).alias("x"))
               .select(F.col("source").alias("x_source"), F.col("x.id").alias("x_id"), F.col("x.size").alias("x_size"), F.col("x.nearer").alias("x_nearer")))
-
-    ends = (plan.join(edge.withColumnRenamed("e_source", "s1"), F.col("p_source").eqNullSafe(F.col("s1")), "left")
-            .join(closes, F.col("p_source").eqNullSafe(F.col("x_source")), "left")
+    ends = (plan.join(edge, F.col("p_source").eqNullSafe(F.col("e_source")), "left").join(closes, F.col("p_source").eqNullSafe(F.col("x_source")), "left")
             .select("p_source", "source_size", "target", "epochs", "budget", "prefix", "x_id", "x_size", "x_nearer"))
-    own, closing = F.struct("id", "size"), F.struct(F.col("x_id").alias("id"), F.col("x_size").alias("size"))
+    return written(ends, "mix-ends")
+
+
+def _copies(id_col: Column, size: Column, key: Column) -> Column:
+    """How often the mix takes a document whose row has met its source's plan."""
+    own, closing = F.struct(id_col.alias("id"), size.alias("size")), F.struct(F.col("x_id").alias("id"), F.col("x_size").alias("size"))
     fits = F.col("x_size").isNull() | (own < closing) | (own.eqNullSafe(closing) & F.col("x_nearer"))
-    extra = (F.col("budget") > 0) & (F.col("prefix").isNull() | (F.col("key") < F.col("prefix")) | ((F.col("key") == F.col("prefix")) & fits))
+    extra = (F.col("budget") > 0) & (F.col("prefix").isNull() | (key < F.col("prefix")) | ((key == F.col("prefix")) & fits))
+    return F.when(size > 0, F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+        quality: Column | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    rows = written(docs.select(*_keys(docs, id_col, source_col, text_col, quality, seed)), "mix-keys")
+    ends = _plan(rows, max_epochs)
     return rows.join(ends, rows["source"].eqNullSafe(ends["p_source"])).select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + extra.cast("long"))).alias("taken"))
+        (F.col("size") * _copies(F.col("id"), F.col("size"), F.col("key"))).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+          quality: Column | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken. Texts are not shuffled while the table of sources
+    has at most ``BROADCAST_SOURCES`` rows."""
+    columns = _keys(docs, id_col, source_col, text_col, quality, seed)
+    rows = written(docs.select(*columns), "mix-keys")
+    ends = _plan(rows, max_epochs)
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *columns)
+    met = own.join(ends, own["source"].eqNullSafe(ends["p_source"]))
+    copies = _copies(F.col("id"), F.col("size"), F.col("key"))
+    return met.select("row", copies.alias("copies")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

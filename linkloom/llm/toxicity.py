@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -219,17 +220,53 @@ def fit_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels of the training rows, the training rows (id, y, text), the model."""
+    known = written(training_labels(labels, label_id_col, label_col), "toxic-labels")
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = texts.join(known, texts["id"] == known["label_id"]).select("id", "y", "text")
+    counts = written(count_words(texts), "toxic-counts")
+    return known, texts, written(expressions(counts), "toxic-model")
+
+
+def _curve(binned: DataFrame) -> tuple[float, float]:
+    """From rows (z, y). As many bins come to the driver as fit between the least and the largest evidence, not as many as rows."""
+    bins = binned.groupBy(F.round(F.col("z") / BIN).cast("long").alias("bin"), "y").count()
+    return fit_curve([(r["bin"] * BIN, r["y"], r["count"]) for r in bins.orderBy("bin", "y").collect()])
+
+
+def _score(z: Column, curve: tuple[float, float]) -> Column:
+    return 1 / (1 + F.exp(-(F.lit(curve[0]) * z + F.lit(curve[1]))))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
                    label_col: str = "toxic", threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     ship(docs.sparkSession)
-    known = written(training_labels(labels, label_id_col, label_col), "toxic-labels")
-    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    counts = written(count_words(texts.join(known, texts["id"] == known["label_id"])), "toxic-counts")
-    model = written(expressions(counts), "toxic-model")
+    known, _, model = _fitted(docs, labels, id_col, text_col, label_id_col, label_col)
     z = written(evidence(docs, model, id_col, text_col, broadcast_words), "toxic-evidence")
-    binned = z.join(known, z["id"] == known["label_id"]).groupBy(F.round(F.col("z") / BIN).cast("long").alias("bin"), "y").count()
-    a, b = fit_curve([(r["bin"] * BIN, r["y"], r["count"]) for r in binned.orderBy("bin", "y").collect()])
-    score = 1 / (1 + F.exp(-(F.lit(a) * F.col("z") + F.lit(b))))
+    score = _score(F.col("z"), _curve(z.join(known, z["id"] == known["label_id"])))
     return z.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
+          label_col: str = "toxic", threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns. (With a model too large to broadcast, rows go by id.)"""
+    spark = docs.sparkSession
+    ship(spark)
+    _, texts, model = _fitted(docs, labels, id_col, text_col, label_id_col, label_col)
+    if model.count() > broadcast_words:
+        found = score_toxicity(docs, labels, id_col, text_col, label_id_col, label_col, threshold, broadcast_words)
+        gone = found.where("predicted = 1").select(F.col(id_col).alias("_toxic")).distinct()
+        return docs.join(gone, docs[id_col].eqNullSafe(F.col("_toxic")), "left_anti")
+    table = spark.sparkContext.broadcast({r.w: r.llr for r in model.collect()})
+
+    @F.pandas_udf("double")
+    def z(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        llr = Lookup(table.value)
+        for batch in texts:
+            yield pd.Series([math.fsum(map(llr.__getitem__, w)) / max(len(w), 1) for w in map(words_of, batch)], dtype="float64")
+
+    curve = _curve(texts.select(z("text").alias("z"), "y"))
+    return docs.where(_score(z(docs[text_col].cast("string")), curve) < threshold)
