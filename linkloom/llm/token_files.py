@@ -5,8 +5,7 @@ of the ids that go on, and so on. A bitmap per level tells which ids go on, and
 each 512-bit block) turns a position at one level into the position at the next. So any single id is read with one
 rank per level, without decoding a block.
 
-The files are a Parquet table in ascending document order, one row per shard of at most ``SHARD_IDS`` ids or one
-document; the binary columns hold the levels, bitmaps and directories. Documents are placed by a range
+The files are a Parquet table in ascending document order, one row per shard of about ``SHARD_IDS`` ids, whole documents; the binary columns hold the levels, bitmaps and directories. Documents are placed by a range
 partitioning on the id column, so the files of one table, in order of (part, shard), are in ascending id order.
 
 Defined cases: a null text is empty and holds only the end id; an empty table gives an empty table of files;
@@ -17,11 +16,13 @@ not stored.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ from linkloom.llm.common import ship
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 400_000
+#: Ids are put together for so many documents at a time.
+GATHER_DOCS = 256
 
 
 class Dac:
@@ -94,26 +96,76 @@ class Dac:
                    [np.frombuffer(x, np.uint32) for x in ranks], n)
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, {}
+class Words:
+    """Ids of texts, word by word. This vocabulary drops white space and never joins across it, so a text's ids are
+    its words' ids in a row, and lower-casing A-Z first changes nothing. So only the distinct words of a batch
+    are encoded, those of plain letters in one go: the pre-tokenizer leaves them whole, and the vocabulary marks their ends."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        # lower-case Latin letters that normalisation leaves as they are, and a full stop or comma behind them
+        self.plain = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+[.,]?$" if suffix else "^$"
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words: one array, and where each word's ids start and how many they are."""
+        plain = pc.match_substring_regex(words, self.plain)
+        mask = plain.to_numpy(zero_copy_only=False)
+        whole = words.filter(plain)
+        stems = pc.ascii_rtrim(whole, characters=".,").dictionary_encode()
+        parts = []
+        if len(stems.dictionary):
+            parts = self._ids([" ".join(stems.dictionary.to_pylist())])
+        ids = parts[0] if parts else np.zeros(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(stems.dictionary):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        odd = self._ids(words.filter(pc.invert(plain)).to_pylist())
+        tails = self._ids([".", ","])
+        pool = np.concatenate([ids, *tails, *odd])
+        begin = np.concatenate([[0], stops[:-1]]) if len(stops) else np.zeros(0, np.int64)
+        size = np.array([len(t) for t in tails] + [len(x) for x in odd], np.int64)
+        after = len(ids) + np.cumsum(size) - size
+        # two stretches of the pool for each word: its stem (or the whole odd word), and its tail
+        first, second = np.zeros((2, len(words)), np.int64), np.zeros((2, len(words)), np.int64)
+        code = stems.indices.to_numpy()
+        first[:, mask] = begin[code], (stops - begin)[code]
+        first[:, ~mask] = after[2:], size[2:]
+        last = [pc.ends_with(whole, t).to_numpy(zero_copy_only=False) for t in (".", ",")]
+        second[:, mask] = [np.select(last, after[:2]), np.select(last, size[:2])]
+        starts, sizes = np.stack([first, second], 2).reshape(2, -1)
+        counts = first[1] + second[1]
+        return _stretches(pool, starts, sizes), np.cumsum(counts) - counts, counts
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The words of all texts as numbers, where each text's begin, and the ids of the distinct words."""
+        # a copy that starts at 0: ascii_lower misreads slices
+        texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")
+        # strings of special tokens are lower case: a text that may hold one is left as it is
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        return words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), self._distinct(words.dictionary)
+
+
+def _stretches(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of the pool in a row."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode_words(words: list[bytes], vocabulary: str) -> bytes:
-    """Ids (little-endian, 32 bits) of a text given as its words. This vocabulary drops white space and never joins
-    across it, so a text's ids are its words' ids in a row; words met before come from a bounded cache."""
-    tokenizer, cache = _tokenizer(vocabulary)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    if new := list(set(words).difference(cache)):
-        for word, encoding in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            cache[word] = np.asarray(encoding.ids, "<u4").tobytes()
-    return b"".join(map(cache.__getitem__, words))
+@functools.lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 _FILES = ("part int, shard int, doc_ids array<{id}>, n_tokens array<long>, n_ids long, "
@@ -129,13 +181,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], "<u4").tobytes()
-        ids, raw, held = [], [], 0
+        words = _words(vocabulary)
+        docs_held, raw, counts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(raw), "<u4")
-            packed = Dac.of(values).pack()
-            row = {"part": part, "shard": shard, "doc_ids": list(ids), "n_tokens": [len(r) // 4 for r in raw], "n_ids": len(values), **packed}
+            values = np.concatenate(raw)
+            row = {"part": part, "shard": shard, "doc_ids": docs_held, "n_tokens": np.concatenate(counts).tolist(), "n_ids": len(values), **Dac.of(values).pack()}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         arrow = None
@@ -143,14 +194,21 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
             arrow = arrow or pa.schema([
                 ("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("n_tokens", pa.list_(pa.int64())),
                 ("n_ids", pa.int64()), ("levels", pa.list_(pa.binary())), ("bitmaps", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = encode_words((text.as_py() or "").encode().split(), vocabulary) + end
-                if raw and held + len(one) > 4 * SHARD_IDS:
+            docs, (which, begins, (pool, starts, sizes)) = batch.column(0).to_pylist(), words.encode(batch.column(1))
+            for i in range(0, len(docs), GATHER_DOCS):
+                upto = min(i + GATHER_DOCS, len(docs))
+                own = which[begins[i] : begins[upto]]
+                ends = np.concatenate([[0], np.cumsum(sizes[own])])
+                n = np.diff(ends[begins[i : upto + 1] - begins[i]])
+                # the end id goes behind each document's ids
+                ids = np.insert(_stretches(pool, starts[own], sizes[own]), np.cumsum(n), end_id)
+                if raw and held + len(ids) > SHARD_IDS:
                     yield flush()
-                    ids, raw, held, shard = [], [], 0, shard + 1
-                ids.append(doc)
-                raw.append(one)
-                held += len(one)
+                    docs_held, raw, counts, held, shard = [], [], [], 0, shard + 1
+                docs_held += docs[i:upto]
+                raw.append(ids)
+                counts.append(n + 1)
+                held += len(ids)
         if raw:
             yield flush()
 
