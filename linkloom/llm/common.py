@@ -18,31 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the named input columns, under the operator's own names; whatever else the table has (even columns
-    that clash with names used inside) is left behind here."""
-    return df.select(*[df[src].alias(own) for own, src in columns.items()])
-
-
 def as_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back with its own schema. It cuts the
     lineage: a lost executor costs a reread, never a recomputation that could come out differently."""
-    return written_at(df, name, partition_by)[0]
-
-
-def written_at(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """As ``written``, with the folder, for those who drop it when they are done."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -75,10 +60,6 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

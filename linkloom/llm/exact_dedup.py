@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import SPACES, as_text, written
+from linkloom.llm.common import SPACES, as_text, fresh, written
 
 BLOCK = 4096
 #: At most so many dropped rows are broadcast by ``deduplicated``; above, the join shuffles.
@@ -107,19 +107,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = written(exact_duplicates(docs, id_col, text_col), "exact-duplicates")
-    dropped = found.where(~F.col("kept")).select(F.col(id_col).alias("drop_id"), F.col("text_sha256").alias("drop_sha"))
-    counts = found.groupBy(id_col, "text_sha256").count().where("count > 1")
-    repeated = bool(counts.head(1))
-    gone = dropped.join(found.where("kept").select(F.col(id_col).alias("k"), F.col("text_sha256").alias("s")),
-                        F.col("drop_id").eqNullSafe(F.col("k")) & (F.col("drop_sha") == F.col("s")), "left_anti") if repeated else dropped
+    a, b, c, d = (fresh(x) for x in ("id", "sha", "kid", "ksha"))
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias(a), F.col("text_sha256").alias(b))
+    repeated = bool(found.groupBy(id_col, "text_sha256").count().where("count > 1").head(1))
+    if repeated:  # rows of a document that stays are dropped below, one by one
+        stay = found.where("kept").select(F.col(id_col).alias(c), F.col("text_sha256").alias(d))
+        gone = gone.join(stay, gone[a].eqNullSafe(stay[c]) & (gone[b] == stay[d]), "left_anti").distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    on = docs[id_col].eqNullSafe(F.col("drop_id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("drop_sha"))
-    out = docs.join(gone, on, "left_anti")
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone[a]) & (sha == gone[b]), "left_anti")
     if not repeated:
         return out
-    # rows equal in id and text: one of them stays
-    key = out.withColumn("_sha", F.sha2(normalised(out[text_col]), 256))
-    return key.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return out.withColumn(b, F.sha2(normalised(out[text_col]), 256)).dropDuplicates([id_col, b]).drop(b)
 
 
 ORACLE = r"""

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import release, ship, written
+from linkloom.llm.common import fresh, release, ship, written
 from linkloom.llm.graph import components
 
 SHINGLE = 5
@@ -422,9 +422,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group, and all rows without words."""
     found = near_duplicates(docs, id_col, text_col, width, percent)
-    dropped = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct(), "jaccard-dropped")
-    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_drop")), "left_anti")
+    drop = fresh("drop")
+    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(drop)).distinct()
+    gone = written(dropped, "jaccard-dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[drop]), "left_anti")
 
 
 ORACLE = r"""

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import ship, written
+from linkloom.llm.common import fresh, ship, written
 
 DISCOUNT = 0.75
 LEAST_G2 = 25.0
@@ -258,8 +258,9 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     _, texts, model = _fitted(docs, labels, id_col, text_col, label_id_col, label_col)
     if model.count() > broadcast_words:
         found = score_toxicity(docs, labels, id_col, text_col, label_id_col, label_col, threshold, broadcast_words)
-        gone = found.where("predicted = 1").select(F.col(id_col).alias("_toxic")).distinct()
-        return docs.join(gone, docs[id_col].eqNullSafe(F.col("_toxic")), "left_anti")
+        drop = fresh("toxic")
+        gone = found.where("predicted = 1").select(F.col(id_col).alias(drop)).distinct()
+        return docs.join(gone, docs[id_col].eqNullSafe(gone[drop]), "left_anti")
     table = spark.sparkContext.broadcast({r.w: r.llr for r in model.collect()})
 
     @F.pandas_udf("double")

@@ -1,0 +1,49 @@
+import random
+
+import pytest
+
+#: A table with every difficulty at once: null ids, null and empty texts, white space only, ties, repeated rows, a very long text
+#: without white space, and columns whose names the operators use inside.
+CLASHES = ["id", "t", "n", "z", "y", "w", "size", "key", "level", "name", "node", "row", "kept", "spans", "label_id", "p_source", "copies", "drop_id", "region"]
+
+
+@pytest.fixture(scope="session")
+def hard_rows():
+    long_text = ("ab1c" * 30000) + " " + "9" * 50000 + "\n" + "x " * 2000
+    texts = [None, "", "   ", "one", "one two three", "One  two\tthree", "the same text here once more", "the same text here once more", long_text,
+             "mail a.b@c.example and +1 (234) 555-0199 at 10.0.0.1", "é ü ñ 漢字 <|endoftext|> \U0001F600 !!", "\n\n a\n a\nb \n"]
+    rows = [(i, x, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None) for i, x in enumerate(texts)]
+    rows += [(6, texts[6], "en", "s1"), (6, "another text under the same id", "en", "s1"), (None, "one", None, None), (None, "one", None, None), (None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def hard(spark, hard_rows):
+    rows = [(*r, *[str(k) for k in range(len(CLASHES))]) for r in hard_rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark, hard):
+    return spark.createDataFrame([], hard.schema)
+
+
+@pytest.fixture(scope="session")
+def families():
+    """Texts of a few hundred words in families of edited copies, with passages that many share."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    passage = [rng.choice(words) for _ in range(30)]
+    rows, doc = [], 0
+    for family in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([2, 5, 9, 20, 60, 150]))]
+        for copy in range(rng.choice([1, 2, 3, 8])):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(text) // 12))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            if family % 3 == 0:
+                text += passage
+            rows.append((doc, " ".join(text) if copy % 2 else "  ".join(text).upper()))
+            doc += 1
+    rng.shuffle(rows)
+    return rows

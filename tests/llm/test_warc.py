@@ -1,0 +1,55 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.llm import warc
+
+SCHEMA = "record_id long, url string, ts long, type string, etag string, last_modified string, digest string, headers map<string,string>"
+
+
+@pytest.mark.parametrize("slices", [1, 7, 4096])
+def test_as_of(spark, slices):
+    rng = random.Random(slices)
+    rows = []
+    for i in range(300):
+        kind = rng.choice(["response", "revisit"])
+        url = f"{rng.choice(['http', 'https'])}://{rng.choice(['www.', '', 'WWW.'])}h{rng.randrange(4)}.example/p{rng.choice(['', '/', '#x', '?utm_source=q'])}"
+        rows.append((i, url, rng.choice([rng.randrange(500), rng.randrange(10**6)]), kind, rng.choice([None, '"a"', '"b"', 'W/"a"']), rng.choice([None, "m1", "m2"]), rng.choice([None, "d"]),
+                     {"ETag": str(i), "Content-Length": str(i), "X": "r" if kind == "response" else "v"}))
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(3), slices).collect()}
+    host = lambda u: u.lower().split("//")[1].replace("www.", "").split("/")[0]
+    assert got.keys() == {r[0] for r in rows if r[3] == "revisit"}
+    for r in rows:
+        if r[3] != "revisit":
+            continue
+        earlier = [q for q in rows if q[3] == "response" and host(q[1]) == host(r[1]) and q[2] < r[2]]
+        if not earlier:
+            assert (got[r[0]].status, got[r[0]].response_id) == ("no_response", None)
+            continue
+        last = max(earlier, key=lambda q: (q[2], q[0]))
+        strip = lambda t: t and t.removeprefix("W/")
+        pairs = [(strip(r[k]), strip(last[k])) for k in (4, 5, 6) if r[k] and last[k]]
+        ok = bool(pairs) and pairs[0][0] == pairs[0][1]
+        assert (got[r[0]].response_id, got[r[0]].status) == (last[0], "resolved" if ok else "mismatch")
+        assert got[r[0]].headers == ({"etag": str(r[0]), "content-length": str(last[0]), "x": "r"} if ok else None)
+
+
+def test_canonical_url(spark):
+    same = ["http://www.Host.example:80/a/b/", "https://host.example/a/b#top", "m.host.example/a/b?utm_medium=x&ref=y", "HTTPS://WWW2.HOST.EXAMPLE/a/b?"]
+    rows = spark.createDataFrame([(u,) for u in same], "u string").select(warc.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r.c for r in rows} == {"host.example/a/b"}
+    kept = spark.createDataFrame([("http://h.example/a?x=1&utm_id=2&y=3",)], "u string").select(warc.canonical_url(F.col("u")).alias("c")).head().c
+    assert kept == "h.example/a?x=1&y=3"
+
+
+def test_warc_hard_rows(spark):
+    rows = [(1, None, 5, "response", None, None, None, None), (2, "a.example", None, "response", None, None, "d", None), (3, "a.example", 9, None, None, None, "d", None),
+            (4, "a.example", 10, "revisit", None, None, "d", None), (5, None, 10, "revisit", None, None, "d", None), (6, "a.example", None, "revisit", None, None, "d", None),
+            (7, "b.example", 1, "response", None, None, "d", None), (8, "b.example", 1, "response", None, None, "d", {"A": "1", "a": "2"}), (9, "b.example", 1, "revisit", None, None, "d", None),
+            (10, "b.example", 2, "revisit", None, None, "d", None), (10, "b.example", 2, "revisit", None, None, "d", None), (11, "b.example", 3, "revisit", None, None, None, None)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({"key": F.lit("x"), "slice": F.lit(1), "response_id": F.lit(2), "status": F.lit("?")})
+    got = sorted((r.record_id, r.status, r.response_id, str(r.headers)) for r in warc.resolve_revisits(table).collect())
+    assert got == [(4, "no_response", None, "None"), (5, "no_response", None, "None"), (6, "no_response", None, "None"), (9, "no_response", None, "None"),
+                   (10, "resolved", 8, "{'a': '2'}"), (10, "resolved", 8, "{'a': '2'}"), (11, "mismatch", 8, "None")]
+    assert warc.resolve_revisits(table.limit(0)).count() == 0
