@@ -51,6 +51,10 @@ def display_name(col: Column) -> Column:
         F.concat(F.upper(F.substring(col, 1, 1)), F.substring(col, 2, 1 << 30)))
 
 
+# ---------------------------------------------------------------- report helpers
+# Fixed values below, which must read as the original's reports do: the HTML entities, the characters that
+# encodeURIComponent keeps, the class names, the profile address, "Unknown Title", and the age and status words.
+
 def html_escape(col: Column) -> Column:
     """escape & < > " ' in that order."""
     out = F.replace(col, F.lit("&"), F.lit("&amp;"))

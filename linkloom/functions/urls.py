@@ -182,6 +182,30 @@ def canonical_pairs_sql(parsed: str) -> str:
     return f"transform({a}, x -> named_struct('url', x.raw, 'canonical_url', {canon}))"
 
 
+def other_scheme_sql(arr: str) -> str:
+    """F1 for URLs of schemes without special rules (``mailto:``, ``foo://host/…``): array<string> SQL → array<string> SQL,
+    NULL where the input is no such URL. The scheme cannot become https; query and fragment go, and a URL with an
+    authority gets the ``www.`` host."""
+    special = ", ".join(f"'{s}'" for s in [*DEFAULT_PORTS, "file"])
+    strip = (f"regexp_replace(regexp_replace(u, {raw(r'[\t\n\r]')}, ''), {raw(r'^[\x00-\x20]+|[\x00-\x20]+$')}, '')")
+    a = f"transform({arr}, u -> named_struct('s', {strip}))"
+    a = _stage(a, [], scheme=f"lower(regexp_extract(x.s, {raw(r'^([A-Za-z][A-Za-z0-9+.\-]*):')}, 1))",
+               body=f"regexp_extract(x.s, {raw('^[^:]*:([^?#]*)')}, 1)")
+    a = _stage(a, ["scheme", "body"], opaque="NOT startswith(x.body, '/')", auth=f"regexp_extract(x.body, {raw('^//([^/]*)')}, 1)",
+               path=f"regexp_replace(x.body, {raw('^//[^/]*')}, '')")
+    a = _stage(a, ["scheme", "body", "opaque", "path"], user=f"regexp_extract(x.auth, {raw('^(.*@)')}, 1)",
+               host=f"regexp_extract(x.auth, {raw(r'^(?:.*@)?(\[[^\]]*\]|[^:@]*)')}, 1)",
+               port=f"regexp_extract(x.auth, {raw(r'^(?:.*@)?(?:\[[^\]]*\]|[^:@]*)(:.*)?$')}, 1)")
+    a = _stage(a, ["scheme", "body", "opaque", "user", "host", "port"], path=_dot_segments_sql("x.path"))
+    ok = (f"(x.host RLIKE {raw(r'^(\[[0-9A-Fa-f:.]+\]|[^\x00\t\n\r #/:<>?@\[\\\]^|]*)$')} AND x.port RLIKE {raw('^(:[0-9]{0,5})?$')} "
+          f"AND coalesce(try_cast(nullif(substring(x.port, 2), '') AS INT), 0) <= 65535 AND NOT (x.host = '' AND x.user || x.port != ''))")
+    www = "CASE WHEN startswith(x.host, 'www.') OR startswith(x.host, '[') THEN x.host ELSE 'www.' || x.host END"
+    port = "CASE WHEN x.port IN ('', ':') THEN '' ELSE ':' || CAST(CAST(substring(x.port, 2) AS INT) AS STRING) END"
+    out = (f"CASE WHEN x.scheme = '' OR x.scheme IN ({special}) THEN CAST(NULL AS STRING) WHEN x.opaque THEN x.scheme || ':' || x.body "
+           f"WHEN {ok} THEN x.scheme || '://' || x.user || {www} || {port} || {_pct_sql('x.path', PATH_SAFE_RE)} END")
+    return f"transform({a}, x -> {out})"
+
+
 # ---------------------------------------------------------------- Column API (arguments are column names)
 
 def js_trim(col: Column) -> Column:
@@ -207,8 +231,9 @@ def is_domain_url(col: str, domain: str) -> Column:
 
 def canonical_url(col: str) -> Column:
     """F1 for one URL column; an input the parser rejects comes back trimmed (JavaScript whitespace)."""
-    pairs = canonical_pairs_sql(parse_urls_sql(f"array({ident(col)})"))
-    return F.expr(f"element_at({pairs}, 1).canonical_url")
+    one = f"array({ident(col)})"
+    pairs = canonical_pairs_sql(parse_urls_sql(one))
+    return F.expr(f"coalesce(element_at({other_scheme_sql(one)}, 1), element_at({pairs}, 1).canonical_url)")
 
 
 def filter_domain_urls(array_col: str, domain: str) -> Column:

@@ -9,7 +9,7 @@ def inputs(spark):
     cats = spark.createDataFrame([("section", 1, "US"), ("section", 2, "opinion"), ("section", 3, "travel"),
                                   ("subsection", 1, "politics"), ("subsection", 2, "US"), ("subsection", 3, "--")],
                                  "family string, ord long, name string")
-    authors = spark.createDataFrame([(1, "Rhea Dunn", 3), (2, "Jorah Bell", 3), (3, "Travel", 9), (4, "  ", 5)],
+    authors = spark.createDataFrame([(1, "Wanda Oko", 3), (2, "Ilse Marr", 3), (3, "Travel", 9), (4, "  ", 5)],
                                     "id long, name string, total_articles long")
     return cats, authors
 
@@ -19,11 +19,11 @@ def test_definitions_first_registration_wins(spark):
     d = taxonomy_definitions(cats, authors, publisher="The Paper").orderBy("position").collect()
     assert [(r.position, r.identifier, r.family) for r in d] == [
         (1, "us", "section"), (2, "opinion", "section"), (3, "travel", "section"), (4, "politics", "subsection"),
-        (5, "jorah-bell", "author"), (6, "rhea-dunn", "author")]
+        (5, "ilse-marr", "author"), (6, "wanda-oko", "author")]
     assert d[0].locale_name == "US Section"
     assert d[0].description == "Articles in the US section of The Paper"
     assert d[3].locale_name == "Politics Subsection"
-    assert d[4].locale_name == "Jorah Bell" and d[4].description == "Articles authored by Jorah Bell for The Paper"
+    assert d[4].locale_name == "Ilse Marr" and d[4].description == "Articles authored by Ilse Marr for The Paper"
     assert {r.severity for r in d} == {"inform"} and {r.default_setting for r in d} == {"warn"}
 
 
@@ -32,7 +32,7 @@ def test_service_record(spark):
     rec = service_record(taxonomy_definitions(cats, authors), "2024-01-01T00:00:00.000Z").first()
     doc = json.loads(rec.record)
     assert doc["$type"] == "app.bsky.labeler.service"
-    assert doc["policies"]["labelValues"] == ["us", "opinion", "travel", "politics", "jorah-bell", "rhea-dunn"]
+    assert doc["policies"]["labelValues"] == ["us", "opinion", "travel", "politics", "ilse-marr", "wanda-oko"]
     first = doc["policies"]["labelValueDefinitions"][0]
     assert first == {"identifier": "us", "severity": "inform", "blurs": "none", "defaultSetting": "warn",
                      "locales": [{"lang": "en", "name": "US Section",
