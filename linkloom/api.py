@@ -8,11 +8,12 @@ from .operators.extract import extract_links, with_links  # noqa: F401
 from .operators.labels import label_rows, labelled_entries  # noqa: F401
 from .operators.merge import insert_ignore, lookup_with_default, upsert  # noqa: F401
 from .operators.reports import (feed_report, history_report, history_search, recent_labels,  # noqa: F401
-                                stall_gaps, stream_counters, throughput_1s, throughput_last40)
+                                stall_gaps, throughput_1s, throughput_last40)
 from .operators.sequence import (assign_sequence, effective_cursors, latest_label, max_sequence,  # noqa: F401
                                  pad_sequence, replay_from_cursor, valid_cursor)
 from .operators.taxonomy import service_record, taxonomy_definitions, universe_counts  # noqa: F401
-from .sources.labels import scan_label_log, stream_enabled, write_label_log  # noqa: F401
+from .sources.labels import (read_log, read_settings, save_setting, scan_label_log, stream_enabled,
+                             write_label_log)  # noqa: F401
 from .sources.posts import commit_posts, dead_letters, parse_messages, posts_from_lines  # noqa: F401
 from .streaming.label_stream import (LabelSink, counter_stream, labelled_stream, message_stream,  # noqa: F401
                                      start_label_stream, throughput_stream)
@@ -26,7 +27,7 @@ def label_posts(posts, articles, bridge, authors, domain: str, dedupe_articles:
     ``dedupe_articles`` keeps one emission per (post, article); the dimension is broadcast only when it has
     at most ``max_broadcast_rows`` rows."""
     creates = posts.where("is_create")
-    links = extract_links(creates, domain).selectExpr("uri", "author_did", "ts", "record.text AS text", "url_ord",
+    links = extract_links(creates, domain).selectExpr("uri", "author_did", "ts", "coalesce(record.text, '') AS text", "url_ord",
                                                       "url", "canonical_url")
     slugs = active_slugs(active_authors(articles, bridge, authors, **active_rule))
     dimension = label_dimension(articles, bridge, authors, slugs)

@@ -83,4 +83,3 @@ SETTING = T.StructType([
     T.StructField("value", T.StringType(), False),
 ])
 
-LABEL_COLUMNS = [f.name for f in LABEL.fields]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,9 +81,78 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one folder made by ``scratch_path``, through the file system that holds it."""
     if "/linkloom/" not in path:
         raise ValueError(f"not a scratch folder: {path}")
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    drop_path(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df``, which may read ``path``, beside it, then put it in its place."""
+    spark = df.sparkSession
+    fs, target = _file_system(spark, path)
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(fresh)
+    fs.delete(target, True)
+    fs.rename(_file_system(spark, fresh)[1], target)
+
+
+def _create_new(fs, p, content: str) -> bool:  # noqa: ANN001
+    """Create a file that must not exist yet; False if it does."""
+    if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+        try:
+            with open(p.toUri().getPath(), "x") as f:
+                f.write(content)
+            return True
+        except FileExistsError:
+            return False
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+@contextlib.contextmanager
+def exclusive(spark: SparkSession, path: str, owner: str, wait_seconds: float = 60.0):  # noqa: ANN201
+    """Hold the lock file ``path``: created by one holder at a time (the file system's exclusive create, which HDFS and
+    local disks have; object stores without it give no such guarantee). A lock left by the same ``owner`` (a crashed run
+    that starts again) is taken over; another's is waited for, then reported."""
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    end = time.monotonic() + wait_seconds
+    while True:
+        if _create_new(fs, p, owner):
+            break
+        try:
+            holder = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(p), "UTF-8")
+        except Py4JJavaError:  # released meanwhile
+            continue
+        if holder == owner:
+            break
+        if time.monotonic() > end:
+            raise TimeoutError(f"{path} is held by {holder!r}; delete it if that run is dead")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
 
 
 def table_path(sf_dir: str, name: str) -> str:

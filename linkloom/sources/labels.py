@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import lookup_with_default
+from ..operators.merge import lookup_with_default, upsert
+from ..schemas import LABEL
+from ..session import path_exists, replace_table
 
 
 def write_label_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -16,7 +18,29 @@ def write_label_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
 def scan_label_log(spark: SparkSession, path: str, environment: str) -> DataFrame:
     """S4 + P8 + T3: one environment's labels in id order. The environment predicate is a partition
     filter, so other environments' files are never listed or read."""
-    return (spark.read.parquet(path).where(F.col("environment") == environment).orderBy("id"))
+    return read_log(spark, path).where(F.col("environment") == environment).orderBy("id")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The stored label log; a log that has not been written yet is empty."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], LABEL)
+    return spark.read.parquet(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """The stored settings; a table that has not been written yet has none."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "environment string, key string, value string")
+    return spark.read.parquet(path)
+
+
+def save_setting(spark: SparkSession, path: str, environment: str, key: str, value: str) -> None:
+    """One setting written (a new version of the table beside the old one, then put in its place)."""
+    current = read_settings(spark, path)
+    row = spark.createDataFrame([(environment, key, value, 1)], "environment string, key string, value string, seq int")
+    merged = upsert(current, row, ["environment", "key"], "seq").select("environment", "key", "value")
+    replace_table(merged.coalesce(1), path)
 
 
 def setting(spark: SparkSession, settings: DataFrame, environment: str, key: str, default: str) -> str:
@@ -28,5 +52,6 @@ def setting(spark: SparkSession, settings: DataFrame, environment: str, key: str
 
 def stream_enabled(spark: SparkSession, settings: DataFrame, environment: str,
                    key: str = "firehose_enabled") -> bool:
-    """ST5: the persisted on/off flag decides whether the label stream is started (default on)."""
-    return setting(spark, settings, environment, key, "true").strip().lower() == "true"
+    """ST5: the persisted on/off flag decides whether the label stream is started (default on); only exactly
+    ``true`` does."""
+    return setting(spark, settings, environment, key, "true") == "true"

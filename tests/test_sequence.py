@@ -79,3 +79,28 @@ def test_replay_strictly_after(spark):
     log = _log(spark, [1, 2, 3, 4]).unionByName(_log(spark, [1, 2], "production"))
     cur = spark.createDataFrame([("development", 2)], "environment string, cursor long")
     assert [r.id for r in S.replay_from_cursor(log, cur).orderBy("id").collect()] == [3, 4]
+
+
+def test_null_partition_values_are_numbered(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 1), ("a", 5)], "environment string, t int")
+    got = sorted((str(r.environment), r.t, r.id) for r in S.assign_sequence(df, ["t"]).collect())
+    assert got == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1), ("a", 5, 2)]
+    base = spark.createDataFrame([(None, 10), ("a", 3)], "environment string, base long")
+    got = sorted((str(r.environment), r.t, r.id) for r in S.assign_sequence(df, ["t"], base=base).collect())
+    assert got == [("None", 1, 11), ("None", 2, 12), ("a", 1, 4), ("a", 5, 5)]
+
+
+def test_absurd_gaps_are_refused(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    low = spark.createDataFrame([("development", 0)], "environment string, max_id long")
+    far = spark.createDataFrame([("development", S.MAX_SAFE_INTEGER)], "environment string, cursor long")
+    with pytest.raises(PySparkException, match="padding refused"):
+        S.pad_sequence(low, far).count()
+
+
+def test_replay_takes_the_oldest_cursor(spark):
+    log = _log(spark, [1, 2, 3, 4])
+    cursors = spark.createDataFrame([("development", 3), ("development", 2)], "environment string, cursor long")
+    assert sorted(r.id for r in S.replay_from_cursor(log, cursors).collect()) == [3, 4]
