@@ -14,6 +14,10 @@ from ..functions.text import slugify
 from ..functions.urls import canonical_url, js_trim
 from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
+#: Rows without a link are dealt over so many join keys.
+NULL_KEYS = 1 << 20
+
+
 def _empty():
     return F.array().cast("array<string>")
 
@@ -94,7 +98,13 @@ def match_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int
     """Equi-join of canonical(link) with the stored article URL (stored URLs are not re-normalised).
     ``how="left"`` keeps unmatched links (and link-less posts) with NULL article columns."""
     dim = broadcast_if_small(dimension.withColumnRenamed("url", "article_url"), max_broadcast_rows)
-    return _probe(links).join(dim, F.col("canonical_url") == F.col("article_url"), how)
+    probe = _probe(links)
+    if how == "inner":
+        return probe.join(dim, F.col("canonical_url") == F.col("article_url"), how)
+    # posts without a link would all meet in one task of a shuffle join: their keys are spread, and match nothing
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("uri"), F.lit(NULL_KEYS)).cast("string"))
+    keyed = probe.withColumn("_key", F.coalesce("canonical_url", spread))
+    return keyed.join(dim, F.col("_key") == F.col("article_url"), how).drop("_key")
 
 
 def unmatched_links(links: DataFrame, dimension: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS

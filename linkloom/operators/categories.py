@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_category
@@ -14,7 +14,7 @@ def distinct_categories(articles: DataFrame) -> DataFrame:
 
     Both families come from one scan: each article row is stacked into (family, raw) pairs and reduced by
     a hash distinct (partial+final, combined map-side). Only the few distinct values reach the fold/min
-    step (``min`` over strings is sort-based) and the small ranking window.
+    step (``min`` over strings is sort-based) and the ordered array.
     """
     stacked = articles.select(F.inline(F.array(
         F.struct(F.lit("section").alias("family"), F.col("section").alias("raw")),
@@ -22,5 +22,7 @@ def distinct_categories(articles: DataFrame) -> DataFrame:
     kept = stacked.where(F.col("raw").isNotNull() & (F.col("raw") != "")).distinct()
     grouped = (kept.groupBy("family", fold_category(F.col("raw")).alias("name"))
                .agg(F.min("raw").alias("first_raw")))
-    w = Window.partitionBy("family").orderBy("first_raw")
-    return grouped.select("family", F.row_number().over(w).cast("long").alias("ord"), "name")
+    # the few distinct names of a family, in order, as one array: its places are the numbers
+    ordered = grouped.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("first_raw", "name"))).alias("names"))
+    return (ordered.select("family", F.posexplode("names").alias("place", "n"))
+            .select("family", (F.col("place") + 1).cast("long").alias("ord"), F.col("n.name").alias("name")))

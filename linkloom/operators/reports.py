@@ -16,25 +16,6 @@ def iso(col):
     return F.date_format(col, ISO_MS)
 
 
-def stream_counters(posts: DataFrame, links: DataFrame, entries: DataFrame) -> DataFrame:
-    """Posts processed, posts with ≥1 domain link, labels emitted (duplicates counted), last event.
-
-    ``posts`` = processed commits, ``links`` = extracted links (a post with links has exactly one row with
-    ``url_ord = 0``), ``entries`` = labelled entries. One union and one global partial+final aggregate.
-    """
-    p = posts.select(F.lit(1).alias("processed"), F.lit(0).alias("with_link"), F.lit(0).alias("labels"),
-                     F.col("ts"))
-    k = links.where(F.col("url_ord") == 0).select(F.lit(0).alias("processed"), F.lit(1).alias("with_link"),
-                                                  F.lit(0).alias("labels"), F.lit(None).cast("timestamp").alias("ts"))
-    e = entries.select(F.lit(0).alias("processed"), F.lit(0).alias("with_link"),
-                       F.size("labels").alias("labels"), F.lit(None).cast("timestamp").alias("ts"))
-    agg = p.unionByName(k).unionByName(e).agg(F.sum("processed").cast("long").alias("posts_processed"),
-                                              F.sum("with_link").cast("long").alias("posts_with_links"),
-                                              F.sum("labels").cast("long").alias("labels_emitted"),
-                                              F.max("ts").alias("last"))
-    return agg.select("posts_processed", "posts_with_links", "labels_emitted", iso(F.col("last")).alias("last_event"))
-
-
 def counters_one_pass(linked: DataFrame) -> DataFrame:
     """A7 from a single pass: ``linked`` has one row per processed post and link (``url_ord`` NULL for a
     post without links) with the matched ``tokens`` (NULL when unmatched), i.e. ``extract_links(...,
@@ -59,8 +40,10 @@ def throughput_1s(posts: DataFrame) -> DataFrame:
 def throughput_last40(posts: DataFrame, points: int = 40) -> DataFrame:
     """The newest ``points`` seconds ending at the last event, zero-filled (offset 0 = newest)."""
     sec = F.date_trunc("second", F.col("ts"))
-    per_sec = posts.groupBy(sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
     last = posts.agg(F.max(sec).alias("last"))
+    # only the last seconds are counted: what is older never reaches the aggregation
+    newest = posts.where(F.col("ts") >= (posts.agg(F.max(sec)).scalar() - F.make_interval(secs=F.lit(points - 1))))
+    per_sec = newest.groupBy(sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
     spine = last.select(F.posexplode(F.reverse(F.sequence(
         F.col("last") - F.make_interval(secs=F.lit(points - 1)), F.col("last"), F.expr("interval 1 second"))))
         .alias("offset", "sec"))
@@ -111,25 +94,28 @@ def stall_buckets(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
             .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us")))
 
 
-GAP_GROUP = 4096  # buckets per window group (~17 h of 15-second buckets)
+GAP_GROUP = 4096  # buckets per group, and groups per group of groups
 
 
-def gaps_from_buckets(buckets: DataFrame, threshold_seconds: int = 15) -> DataFrame:
-    """Gaps of at least ``threshold`` between consecutive occupied buckets.
+def _with_previous(rows: DataFrame, key: str, value: str, levels: int) -> DataFrame:
+    """Add ``prev``: the value of the row before, in order of the integer ``key``. Rows are ordered only within groups of
+    ``GAP_GROUP`` neighbouring keys; a group's first row takes the last value of the group before, found in the same way one level
+    up. Two levels of groups over 15-second buckets leave at most 2**64 µs / 15 s / 4096² = 73,300 keys for
+    the top, whatever the clocks say; that is all a single task ever orders."""
+    if not levels:
+        return rows.withColumn("prev", F.lag(value).over(Window.orderBy(key)))
+    group = f"{key}_g"
+    grouped = rows.withColumn(group, ((F.col(key) - F.pmod(F.col(key), F.lit(GAP_GROUP))) / GAP_GROUP).cast("long"))
+    inside = grouped.withColumn("_prev", F.lag(value).over(Window.partitionBy(group).orderBy(key)))
+    last = grouped.groupBy(group).agg(F.max(value).alias("_last"))
+    before = _with_previous(last, group, "_last", levels - 1).select(group, F.col("prev").alias("_group_prev"))
+    return inside.join(before, group).withColumn("prev", F.coalesce("_prev", "_group_prev")).drop(group, "_prev", "_group_prev")
 
-    Two levels, so no task orders more than a bounded number of rows: buckets are grouped by
-    ``b div 4096`` and each bucket takes the previous one's last event inside its group; the first bucket
-    of a group takes the last event of the previous occupied group from a per-group table (one row per
-    ~17 h, broadcast).
-    """
+
+def gaps_from_buckets(buckets: DataFrame, threshold_seconds: int = 15) -> DataFrame:
+    """Gaps of at least ``threshold`` between consecutive occupied buckets."""
     width = threshold_seconds * 1_000_000
-    grouped = buckets.withColumn("g", ((F.col("b") - F.pmod(F.col("b"), F.lit(GAP_GROUP))) / GAP_GROUP).cast("long"))
-    inside = grouped.select("g", "b", "first_us",
-                            F.lag("last_us").over(Window.partitionBy("g").orderBy("b")).alias("prev_us"))
-    per_group = grouped.groupBy("g").agg(F.max("last_us").alias("g_last_us"))
-    before = per_group.select("g", F.lag("g_last_us").over(Window.orderBy("g")).alias("g_prev_us"))
-    prev = (inside.join(F.broadcast(before), "g")
-            .select("first_us", F.coalesce(F.col("prev_us"), F.col("g_prev_us")).alias("prev_us")))
+    prev = _with_previous(buckets, "b", "last_us", 2).select("first_us", F.col("prev").alias("prev_us"))
     gaps = prev.where(F.col("prev_us").isNotNull() & (F.col("first_us") - F.col("prev_us") >= width))
     return gaps.select(iso(F.timestamp_micros("prev_us")).alias("gap_start"),
                        iso(F.timestamp_micros("first_us")).alias("gap_end"),
@@ -147,8 +133,8 @@ def stall_gaps(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
 
 def feed_report(posts: DataFrame, as_of: str, stale_seconds: int = 15) -> DataFrame:
     """F12–F14 over per-author feeds: uptime since the first event, relative age of the last event, and
-    Online / Connecting / Offline (connected = an event within ``stale_seconds`` of ``as_of``;
-    reconnects = deletes seen)."""
+    Online / Connecting / Offline (connected = an event within ``stale_seconds`` of ``as_of``). The
+    stream has no connection log; deletes seen stand in for reconnects."""
     at = F.lit(as_of).cast("timestamp")
     per = posts.groupBy("author_did").agg(F.min("ts").alias("first"), F.max("ts").alias("last"),
                                           F.count_if(F.col("operation") == "delete").alias("reconnects"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name, slugify
 from ..schemas import LABELER_SERVICE, POST_COLLECTION
-from .sequence import assign_sequence
 
 DEFAULT_PUBLISHER = "Example News"
 # Fixed values of every label definition.
 SEVERITY, BLURS, DEFAULT_SETTING, LANG = "inform", "none", "warn", "en"
 
+# The locale texts in ``_candidates`` ("… Section", "Articles in the … section of …", "Articles authored by …") are fixed values, too.
 _ORDER = ["src_rank", "k_num", "k_str", "k_id"]
 
 
@@ -50,7 +50,8 @@ def taxonomy_definitions(categories: DataFrame, active_authors: DataFrame, publi
     first = (cand.groupBy("identifier")
              .agg(F.min(F.struct(*[F.col(c) for c in _ORDER + payload])).alias("_f")))
     kept = first.select("identifier", *[F.col(f"_f.{c}").alias(c) for c in _ORDER + payload])
-    numbered = assign_sequence(kept, _ORDER, partition_col=None, id_col="position")
+    # one small sort: a taxonomy has a row per category and active author, not per article or post
+    numbered = kept.withColumn("position", F.row_number().over(Window.orderBy(*_ORDER)).cast("long"))
     return numbered.select("position", "identifier", "family", "locale_name", "description", *_ORDER,
                            F.lit(SEVERITY).alias("severity"), F.lit(BLURS).alias("blurs"),
                            F.lit(DEFAULT_SETTING).alias("default_setting"), F.lit(LANG).alias("lang"))
@@ -60,7 +61,8 @@ def service_record(definitions: DataFrame, created_at: str) -> DataFrame:
     """One JSON document listing every label value and definition in registration order.
 
     The document is the feature, so its definitions are gathered into one row; their number is bounded by
-    the taxonomy (categories + active authors), not by the post volume.
+    the taxonomy (categories + active authors), not by the post volume. At some 300 bytes a definition, Spark's 2 GB
+    a row hold about seven million of them.
     """
     entry = F.struct(
         F.col("position"),

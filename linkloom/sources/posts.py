@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import ENVELOPE, POST_COLLECTION
 
@@ -15,23 +14,20 @@ def parse_messages(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse one JSON message per row with an explicit schema.
 
     Wrongly-typed fields become NULL (the row survives, like the original's per-field guards). A row is
-    *malformed* only when the text is not JSON at all; that test re-parses just the rows Spark flagged.
+    *malformed* only when the text is not exactly one JSON value (trailing text included).
     The parse runs inside a one-row ``inline`` generator: later filters on the parsed fields stay above
     the generator instead of being pushed below it with a second copy of ``from_json``.
     """
     raw = F.col(value_col)
     env = F.from_json(raw, ENVELOPE, JSON_OPTIONS)
     parsed = lines.select(F.inline(F.array(F.struct(raw.alias("raw"), env.alias("m")))))
-    flagged = F.col("m._corrupt_record").isNotNull()
-    malformed = F.when(flagged, F.get_json_object(F.col("raw"), "$").isNull()).otherwise(F.lit(False))
-    return parsed.select(
-        "raw",
-        malformed.alias("malformed"),
-        F.col("m.kind").alias("kind"),
-        F.col("m.did").alias("did"),
-        F.col("m.time_us").alias("time_us"),
-        F.col("m.commit").alias("commit"),
-    )
+    # the parsers stop behind the first value; inside brackets, whatever follows it makes the whole invalid or longer
+    alone = F.json_array_length(F.concat(F.lit("["), F.col("raw"), F.lit("]"))) == 1
+    closed = ~F.col("raw").contains("]") | (F.size(F.json_object_keys(F.concat(F.lit('{"x":'), F.col("raw"), F.lit("}")))) == 1)
+    malformed = ~F.coalesce(alone & closed, F.lit(False))
+    flagged = parsed.select("raw", malformed.alias("malformed"), "m")
+    fields = ("kind", "did", "time_us", "commit")
+    return flagged.select("raw", "malformed", *[F.when(~F.col("malformed"), F.col(f"m.{f}")).alias(f) for f in fields])
 
 
 def read_message_files(spark: SparkSession, path: str) -> DataFrame:
@@ -83,5 +79,3 @@ def commit_posts(messages: DataFrame, collection: str = POST_COLLECTION) -> Data
 def posts_from_lines(lines: DataFrame, collection: str = POST_COLLECTION) -> DataFrame:
     return commit_posts(parse_messages(lines), collection)
 
-
-LINES_SCHEMA = T.StructType([T.StructField("value", T.StringType())])

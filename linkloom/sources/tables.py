@@ -5,33 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan over at least ``min_partitions`` tasks (default: the cluster's parallelism) when
-    it arrives in fewer — e.g. one small file with a single row group. The row-level work that follows
-    (JSON, URL and slug expressions) is CPU-bound, so it must not run in one task. A scan that already has
-    enough splits, as any large input does, is returned untouched (no shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-_SPLITS: dict[tuple[int, str], int] = {}
-_SCHEMAS: dict[tuple[int, str], object] = {}
-
-
-def read_parquet(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
-    """Parquet scan; the schema read from the footer is remembered per path, so repeated scans of the same
-    table in one application skip footer inference."""
-    key = (id(spark.sparkContext), path)
-    if key in _SCHEMAS:
-        df = spark.read.schema(_SCHEMAS[key]).parquet(path)
-    else:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-    if not parallel:
-        return df
-    if key not in _SPLITS:  # planning a scan lists its files: do it once per path
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    target = spark.sparkContext.defaultParallelism
-    return df if _SPLITS[key] >= target else df.repartition(target)
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Parquet scan. ``partitions`` deals the rows of a table that comes in few splits over so many tasks, for CPU-bound row
+    expressions (JSON, URL, slug); a large table needs no such thing."""
+    df = spark.read.parquet(path)
+    return df.repartition(partitions) if partitions else df

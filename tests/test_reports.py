@@ -58,8 +58,19 @@ def test_recent_and_search(spark):
 
 
 def test_counters(spark):
-    posts = posts_at(spark, [1, 2, 3])
-    links = spark.createDataFrame([("u0", 0), ("u0", 1), ("u2", 0)], "uri string, url_ord int")
-    c = R.stream_counters(posts, links, entries(spark)).first()
+    """Three posts: two links of which one matches, none, one that matches."""
+    at = posts_at(spark, [1, 2, 3])
+    rows = spark.createDataFrame([("u0", 0, ["a", "b", "c"]), ("u0", 1, None), ("u1", None, None), ("u2", 0, ["d"])], "uri string, url_ord int, tokens array<string>")
+    linked = rows.crossJoin(at.agg({"ts": "max"}).withColumnRenamed("max(ts)", "ts"))
+    c = R.counters_one_pass(linked).first()
     assert (c.posts_processed, c.posts_with_links, c.labels_emitted) == (3, 2, 4)
     assert c.last_event == "2024-01-01T00:00:03.000Z"
+
+
+def test_gaps_across_groups_of_buckets(spark):
+    """Neighbouring buckets far apart: in other groups and other groups of groups, also before 1970."""
+    buckets = [-5_000_000_000, -3, 0, 1, 4095, 4096, 4096 * 4096, 4096 * 4096 + 9, 10**11]
+    width = 15_000_000
+    rows = [(b, b * width + 1, b * width + 2) for b in buckets]
+    got = R._with_previous(spark.createDataFrame(rows, "b long, first_us long, last_us long").repartition(3), "b", "last_us", 2).collect()
+    assert {r.b: r.prev for r in got} == {b: (rows[i - 1][2] if i else None) for i, (b, *_) in enumerate(rows)}
