@@ -21,9 +21,9 @@ ENVIRONMENTS = ("development", "production", "staging")
 
 def read(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
     """Scan one driver table. ``parallel=True`` where the rows feed CPU-bound row expressions (JSON, URL,
-    slug): a scan that arrives as a single split is then spread over all cores."""
+    slug): the driver's tables are files of one row group, that is one split, and are dealt over all cores."""
     configure(spark)
-    return read_parquet(spark, table_path(sf_dir, name), parallel=parallel)
+    return read_parquet(spark, table_path(sf_dir, name), spark.sparkContext.defaultParallelism if parallel else None)
 
 
 def first_path_segment(url):
@@ -66,14 +66,17 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- post stream
 
 def post_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """One JSON message per event (``value``), with a literal malformed line for event_id % 97 = 0.
+    """One JSON message per event (``value``), with a literal malformed line for event_id % 97 = 0, trailing
+    garbage behind a whole message for event_id % 89 = 0, and posts without text for event_id % 41 = 0.
 
     Carrier by event_id % 3: 0 → link card, 1 → rich-text facets (a mention and a link), 2 → the link in
     the text; card posts with event_id % 30 = 3 also carry a facet with the canonical spelling + ``?ref=dup``.
     """
     ev = events if events is not None else read(spark, sf_dir, "events", parallel=True)
     pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
-    joined = ev.join(pages, (F.col("event_id") % 400) == F.col("page_id"), "left")
+    # every page is linked, and about one event in eleven links a page that does not exist
+    modulus = read(spark, sf_dir, "pages").select(F.count(F.lit(1)) + F.floor(F.count(F.lit(1)) / 10) + 1).scalar()
+    joined = ev.withColumn("page_key", F.col("event_id") % modulus).join(pages, F.col("page_key") == F.col("page_id"), "left")
     page_url = F.coalesce(F.col("page_url"), F.concat(F.lit(f"https://www.{DOMAIN}/missing/"),
                                                       F.col("event_id").cast("string")))
     j = (joined.select("event_id", "ts", "user_id", "event_type", page_url.alias("url"))
@@ -88,7 +91,8 @@ def post_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
           'operation', CASE event_type WHEN 'signup' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'create' END,
           'rkey', concat('r', CAST(event_id AS STRING)),
           'record', CASE WHEN event_type <> 'error' THEN named_struct(
-            'text', CASE WHEN event_id % 3 = 2 THEN concat('read ', url, ' now')
+            'text', CASE WHEN event_id % 41 = 0 THEN CAST(NULL AS STRING)
+                         WHEN event_id % 3 = 2 THEN concat('read ', url, ' now')
                          ELSE concat('post ', CAST(event_id AS STRING)) END,
             'embed', CASE WHEN event_id % 3 = 0 THEN named_struct(
                        '$type', '{EMBED_EXTERNAL}',
@@ -102,7 +106,9 @@ def post_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
                 named_struct('$type', '{FACET_LINK}', 'uri', concat(url_canonical, '?ref=dup'),
                              'did', CAST(NULL AS STRING)))))
             END) END) END))"""
-    value = F.when(F.col("event_id") % 97 == 0, F.lit("{bad")).otherwise(F.expr(envelope))
+    whole = F.expr(envelope)
+    value = (F.when(F.col("event_id") % 97 == 0, F.lit("{bad"))
+             .when(F.col("event_id") % 89 == 0, F.concat(whole, F.lit(" trailing}"))).otherwise(whole))
     return j.select(value.alias("value"))
 
 
@@ -157,10 +163,13 @@ def settings_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     r = read(spark, sf_dir, "region")
     base = n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("r_name").alias("environment"), F.col("n_name").alias("key"), F.col("n_nationkey"))
-    first = base.select("environment", "key", F.col("n_nationkey").cast("string").alias("value"))
+    first = base.select("environment", "key", F.col("n_nationkey").cast("string").alias("value"), F.lit(0).alias("seq"))
     second = base.where(F.col("n_nationkey") % 2 == 0).select(
-        "environment", "key", (F.col("n_nationkey") * 100).cast("string").alias("value"))
-    return first, second
+        "environment", "key", (F.col("n_nationkey") * 100).cast("string").alias("value"), F.lit(1).alias("seq"))
+    again = base.where(F.col("n_nationkey") % 3 == 0).select(
+        "environment", "key", (F.col("n_nationkey") * 1000).cast("string").alias("value"),
+        F.when(F.col("n_nationkey") % 4 != 0, F.lit(2)).alias("seq"))  # no order: older than any other
+    return first, second.unionByName(again)
 
 
 def settings_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +184,13 @@ def settings_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- cursor requests
 
 def cursor_requests(spark: SparkSession, sf_dir: str, max_ids: DataFrame) -> DataFrame:
-    """One subscriber request per nation: environment by key parity, cursor text = the environment's current
+    """One subscriber request per nation: environment by key parity (every seventh asks for ``staging``, which has no
+    rows yet and counts as 0), cursor text = the environment's current
     maximum + 3·key − 40 (some behind the log, some ahead of it); every fifth request is not a number."""
     n = read(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
-    env = F.when(k % 2 == 0, F.lit("development")).otherwise(F.lit("production"))
+    env = F.when(k % 7 == 0, F.lit("staging")).when(k % 2 == 0, F.lit("development")).otherwise(F.lit("production"))
     req = n.select(k.alias("request_id"), env.alias("environment"))
     cursor = F.when(F.col("request_id") % 5 == 0, F.concat(F.lit("invalid"), F.col("request_id").cast("string"))) \
         .otherwise((F.col("max_id") + 3 * F.col("request_id") - 40).cast("string"))
-    return req.join(F.broadcast(max_ids), "environment").select("request_id", "environment", cursor.alias("cursor"))
+    return req.join(max_ids, "environment").select("request_id", "environment", cursor.alias("cursor"))

@@ -45,10 +45,6 @@ class Flow:
         """Processed commits (P1) with the create flag (P2) and URI."""
         return src.commit_posts(self.messages)
 
-    def keep_log(self) -> None:
-        """For plans that read the label log in several branches (merges, cursors): compute once, keep."""
-        self.__dict__["label_log"] = self.label_log.persist(StorageLevel.MEMORY_AND_DISK)
-
     @cached_property
     def creates(self) -> DataFrame:
         return self.posts.where(F.col("is_create"))
@@ -56,7 +52,7 @@ class Flow:
     @cached_property
     def links(self) -> DataFrame:
         return extract.extract_links(self.creates, self.domain).select(
-            "uri", "author_did", "ts", F.col("record.text").alias("text"), "url_ord", "url", "canonical_url",
+            "uri", "author_did", "ts", F.coalesce("record.text", F.lit("")).alias("text"), "url_ord", "url", "canonical_url",
             "carrier")
 
     @cached_property
@@ -96,14 +92,18 @@ class Flow:
 
     @cached_property
     def resent_log(self) -> DataFrame:
-        """Second log slice: ids divisible by 4 re-sent with ``neg`` flipped; ids divisible by 5 re-emitted
-        above the environment's current maximum."""
+        """Second log slice, in order of ``seq``: ids divisible by 4 re-sent with ``neg`` flipped (1); ids divisible
+        by 5 re-emitted above the environment's current maximum (2); of the former those divisible by 8 sent a third
+        time, not flipped (3); of the latter those divisible by 10 once more with another value (4)."""
         log = self.label_log
-        flipped = log.where(F.col("id") % 4 == 0).withColumn("neg", ~F.col("neg"))
         top = sequence.max_sequence(log)
-        fresh = (log.where(F.col("id") % 5 == 0).join(F.broadcast(top), "environment")
-                 .withColumn("id", F.col("id") + F.col("max_id")).drop("max_id"))
-        return flipped.unionByName(fresh)
+        above = log.join(top, "environment").withColumn("shifted", F.col("id") + F.col("max_id"))
+        fresh = above.where(F.col("id") % 5 == 0)
+        return (log.where(F.col("id") % 4 == 0).withColumns({"neg": ~F.col("neg"), "seq": F.lit(1)})
+                .unionByName(fresh.withColumns({"id": F.col("shifted"), "seq": F.lit(2)}).select(*log.columns, "seq"))
+                .unionByName(log.where(F.col("id") % 8 == 0).withColumn("seq", F.lit(3)))
+                .unionByName(fresh.where(F.col("id") % 10 == 0).withColumns({"id": F.col("shifted"), "val": F.concat(F.lit("late-"), F.col("val")), "seq": F.lit(4)})
+                             .select(*log.columns, "seq")))
 
 
 def _flow(spark, sf_dir) -> Flow:
@@ -127,7 +127,7 @@ def q_firehose_parse(spark, sf_dir):
     return m.select("malformed", "kind", "did", "time_us", F.col("commit.collection").alias("collection"),
                     F.col("commit.operation").alias("operation"), F.col("commit.rkey").alias("rkey"),
                     F.col("commit.record").isNotNull().alias("has_record"),
-                    F.when(F.col("malformed"), F.col("raw")).alias("dead_letter"))
+                    F.when(F.col("malformed"), F.right(F.col("raw"), F.lit(9))).alias("dead_letter"))
 
 
 def q_commit_filter(spark, sf_dir):
@@ -154,6 +154,8 @@ def url_variants(spark, sf_dir) -> DataFrame:
         (5, F.regexp_replace(u, host + "/", "$1/a b/")),
         (6, F.regexp_replace(u, host, "$1.evil.org")),
         (7, F.regexp_replace(u, r"^([A-Za-z]+)://", f"$1://{DOMAIN}@")),
+        (8, F.concat(F.lit("MailTo:"), F.regexp_replace(u, r"^[A-Za-z]+://", ""), F.lit("?subject=x#y"))),
+        (9, F.concat(F.regexp_replace(u, r"^[A-Za-z]+://", "foo://"), F.lit("?q#f"))),
     ]
     parts = [p.select("page_id", F.lit(v).alias("variant"), expr.alias("raw")) for v, expr in forms]
     out = parts[0]
@@ -233,14 +235,12 @@ def q_latest_label(spark, sf_dir):
 
 def q_label_upsert(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    f.keep_log()
-    return _log_out(merge.upsert(f.label_log, f.resent_log, ["environment", "id"]))
+    return _log_out(merge.upsert(f.label_log, f.resent_log, ["environment", "id"], "seq"))
 
 
 def q_label_insert_ignore(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    f.keep_log()
-    return _log_out(merge.insert_ignore(f.label_log, f.resent_log, ["environment", "id"]))
+    return _log_out(merge.insert_ignore(f.label_log, f.resent_log, ["environment", "id"], "seq"))
 
 
 def q_label_env_scan(spark, sf_dir):
@@ -252,15 +252,14 @@ def q_label_env_scan(spark, sf_dir):
 
 def q_sequence_pad(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    f.keep_log()
-    maxes = sequence.max_sequence(f.label_log)
+    envs = spark.createDataFrame([(e,) for e in fx.ENVIRONMENTS], "environment string")
+    maxes = sequence.max_sequence(f.label_log, envs)
     cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, maxes), pick="max")
     return sequence.pad_sequence(maxes, cursors)
 
 
 def q_replay_from_cursor(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    f.keep_log()
     cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, sequence.max_sequence(f.label_log)),
                                          pick="min")
     replay = sequence.replay_from_cursor(f.label_log, cursors)
@@ -328,12 +327,12 @@ def q_feed_status(spark, sf_dir):
 
 def q_settings_upsert(spark, sf_dir):
     first, second = fx.settings_batches(spark, sf_dir)
-    return merge.upsert(first, second, ["environment", "key"])
+    return merge.upsert(first, second, ["environment", "key"], "seq").drop("seq")
 
 
 def q_settings_lookup(spark, sf_dir):
     first, second = fx.settings_batches(spark, sf_dir)
-    table = merge.upsert(first, second, ["environment", "key"])
+    table = merge.upsert(first, second, ["environment", "key"], "seq")
     return merge.lookup_with_default(table, fx.settings_probes(spark, sf_dir), ["environment", "key"], "value",
                                      "true")
 

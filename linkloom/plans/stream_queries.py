@@ -1,6 +1,7 @@
 """Streaming versions of the flagship and the live reports, checked against the same oracle as the batch
 queries. The message "topic" is the events-derived JSON lines written as text files under the shared
-checkpoint folder; each query runs its stream to completion (``availableNow``) and reads the sink back."""
+checkpoint folder; each query runs its stream to completion (``availableNow``), in several micro-batches, and reads the
+sink back. Watermarks are wide here, as the batch twins drop nothing; tests cover late data beyond them."""
 
 from __future__ import annotations
 
@@ -14,10 +15,21 @@ from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
 
 
-def _topic(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+SLICES = 3
+
+
+def _topic(spark: SparkSession, sf_dir: str, in_order: bool = True) -> tuple[str, DataFrame]:
+    """The messages as ``SLICES`` files in event-time order, one micro-batch each; ``in_order=False`` lets the oldest arrive last,
+    and cuts the others by id, so that late and out-of-order messages are in every batch."""
     root = scratch_path(spark, "stream")
-    fx.post_lines(spark, sf_dir).write.mode("overwrite").text(f"{root}/topic")
-    return root, ls.message_stream(spark, f"{root}/topic")
+    events = fx.read(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(us.cast("double").alias("us")).approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01)
+    by_time = sum(((F.coalesce(us, F.lit(0)) >= c).cast("int") for c in cuts), F.lit(0))
+    part = by_time if in_order else F.when(by_time == 0, F.lit(SLICES - 1)).otherwise(F.col("event_id") % (SLICES - 1))
+    for k in range(SLICES):
+        fx.post_lines(spark, sf_dir, events.where(part == k)).coalesce(1).write.mode("overwrite").text(f"{root}/topic/slice{k}")
+    return root, ls.message_stream(spark, f"{root}/topic/*", max_files_per_trigger=1)
 
 
 def _run_labels(spark: SparkSession, sf_dir: str) -> tuple[str, ls.LabelSink]:
@@ -42,11 +54,37 @@ def q_label_sequence_stream(spark, sf_dir):
     return _log_out(ls.read_log(spark, sink.log_path))
 
 
+def q_recent_labels_stream(spark, sf_dir):
+    """T4 / ST6: the newest-k table after the last batch."""
+    from .queries import _entries_out
+    _, sink = _run_labels(spark, sf_dir)
+    return _entries_out(spark.read.parquet(f"{sink.recent_path}/batch_id={SLICES - 1}"))
+
+
+def _run_rejects(spark: SparkSession, sf_dir: str) -> ls.RejectSink:
+    from .queries import Flow
+    root, lines = _topic(spark, sf_dir, in_order=False)
+    sink = ls.RejectSink(f"{root}/dead_letters", f"{root}/unmatched", Flow(spark, sf_dir).dimension, DOMAIN)
+    ls.start_reject_stream(lines, sink, f"{root}/_checkpoint").awaitTermination()
+    return sink
+
+
+def q_dead_letters_stream(spark, sf_dir):
+    """The malformed messages the stream sets aside (their last characters)."""
+    return spark.read.parquet(_run_rejects(spark, sf_dir).dead_letters_path).select(F.right("raw", F.lit(9)).alias("dead_letter"))
+
+
+def q_unmatched_links_stream(spark, sf_dir):
+    """Links without an article, as the stream reports them."""
+    found = spark.read.parquet(_run_rejects(spark, sf_dir).unmatched_path)
+    return found.select("uri", F.col("url_ord").cast("long").alias("url_ord"), "url", "canonical_url")
+
+
 def q_stream_counters_stream(spark, sf_dir):
     """ST3: the A7 counters as a streaming global aggregate (one pass, stream-static left join) in complete
     mode."""
     from .queries import Flow
-    root, lines = _topic(spark, sf_dir)
+    root, lines = _topic(spark, sf_dir, in_order=False)
     counters = ls.counter_stream(lines, Flow(spark, sf_dir).dimension, DOMAIN)
     out = f"{root}/counters"
 
@@ -62,8 +100,8 @@ def q_stream_counters_stream(spark, sf_dir):
 def q_throughput_1s_stream(spark, sf_dir):
     """ST2: 1-second event-time windows with a watermark, update mode; the sink keeps the newest count per
     window (batch-id keyed, so replays are idempotent)."""
-    root, lines = _topic(spark, sf_dir)
-    per_second = ls.throughput_stream(lines)
+    root, lines = _topic(spark, sf_dir, in_order=False)
+    per_second = ls.throughput_stream(lines, watermark="3650 days")
     out = f"{root}/throughput"
 
     def write(batch, batch_id):
@@ -79,13 +117,13 @@ def q_throughput_1s_stream(spark, sf_dir):
 def q_stall_gaps_stream(spark, sf_dir):
     """ST4: watermarked bucket aggregate in update mode; the sink keeps the newest (first, last) per bucket
     (batch-id keyed) and the gaps are read off that bounded table."""
-    root, lines = _topic(spark, sf_dir)
+    root, lines = _topic(spark, sf_dir, in_order=False)
     out = f"{root}/buckets"
 
     def write(batch, batch_id):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (ls.stall_stream(lines).writeStream.outputMode("update").foreachBatch(write)
+    q = (ls.stall_stream(lines, watermark="3650 days").writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     latest = (spark.read.parquet(out).groupBy("b")
@@ -97,6 +135,9 @@ def q_stall_gaps_stream(spark, sf_dir):
 STREAM_QUERIES = {
     "stall_gaps_stream": q_stall_gaps_stream,
     "label_posts_stream": q_label_posts_stream,
+    "recent_labels_stream": q_recent_labels_stream,
+    "dead_letters_stream": q_dead_letters_stream,
+    "unmatched_links_stream": q_unmatched_links_stream,
     "label_sequence_stream": q_label_sequence_stream,
     "stream_counters_stream": q_stream_counters_stream,
     "throughput_1s_stream": q_throughput_1s_stream,
@@ -106,6 +147,8 @@ STREAM_QUERIES = {
 ORACLE_TWINS = {
     "stall_gaps_stream": "stall_gaps",
     "label_posts_stream": "label_posts",
+    "recent_labels_stream": "recent_labels",
+    "unmatched_links_stream": "unmatched_links",
     "label_sequence_stream": "label_sequence",
     "stream_counters_stream": "stream_counters",
     "throughput_1s_stream": "throughput_1s",

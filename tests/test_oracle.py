@@ -3,8 +3,9 @@
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from linkloom.plans.queries import QUERIES
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
