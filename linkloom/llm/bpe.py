@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from linkloom.llm.common import ship
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 # Fixed value: the published pre-token pattern of this vocabulary family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

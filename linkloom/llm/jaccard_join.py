@@ -47,8 +47,8 @@ PERCENT = 80
 GROWTH = 1.4
 #: Parts per (T + 1): the more, the more cells linked documents must share.
 PARTS = 1.25
-BUFFER = 2_000_000
-CACHE_WORDS = 600_000
+BUFFER = 1_000_000
+CACHE_WORDS = 150_000
 #: A region of more documents or shingles is split by Spark jobs.
 REGION_DOCS = 8_000
 REGION_SHINGLES = 4_000_000

@@ -48,8 +48,8 @@ THRESHOLD = 0.7
 BROADCAST_WORDS = 500_000
 BROADCAST_LABELS = 2_000_000
 STEM = 5
-_FLUSH = 400_000
-_CACHE = 500_000
+_FLUSH = 100_000
+_CACHE = 100_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
