@@ -45,14 +45,16 @@ from linkloom.llm.graph import components
 SHINGLE = 5
 PERCENT = 80
 GROWTH = 1.4
-#: Parts per (T + 1): the more, the more cells linked documents must share.
+#: Parts above T + 1, as a share of it and at least: the more, the more cells linked documents must share. Small documents would
+#: otherwise need only one or two, and tie unrelated families together by a common phrase.
 PARTS = 1.25
+MORE_PARTS = 24
 BUFFER = 1_000_000
 CACHE_WORDS = 150_000
 #: A region of more documents or shingles is split by Spark jobs.
 REGION_DOCS = 8_000
-REGION_SHINGLES = 4_000_000
-TASK_SHINGLES = 2_000_000
+REGION_SHINGLES = 1_500_000
+TASK_SHINGLES = 500_000
 ROUNDS = 3
 SALTS = 64
 #: At most so many ids of documents to fetch are broadcast.
@@ -115,7 +117,7 @@ class Sizes:
         self.percent, self.borders = percent, np.array(borders, np.int64)
         # 100 * I >= percent * (a + b - I)  =>  |A xor B| = a + b - 2 I <= (a + b) * (100 - percent) / (100 + percent)
         self.differ = 2 * (self.borders[1:] - 1) * (100 - percent) // (100 + percent)
-        self.parts = np.ceil(parts * (self.differ + 1)).astype(np.int64)
+        self.parts = np.maximum(np.ceil(parts * (self.differ + 1)), self.differ + 1 + MORE_PARTS).astype(np.int64)
 
     def regions(self, n: int) -> list[int]:
         """The region of a set of n elements, and those above that it may have larger partners in."""
@@ -241,14 +243,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def join_sets(sets: list[np.ndarray], order: np.ndarray, percent: int = PERCENT, pivots: int = 16) -> np.ndarray:
+def join_sets(sets: list[np.ndarray], order: np.ndarray, percent: int = PERCENT, pivots: int = 8) -> np.ndarray:
     """Component numbers of the sets, by recursion on pivots taken in ``order``."""
     m, eps = len(sets), 1 - percent / 100 + 1e-9
     comp = np.arange(m)
     n = np.array([len(s) for s in sets], np.int64)
     starts = np.cumsum([0, *n])[:-1]
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(int(ids.max()) + 1, np.int32)
+    _, ids, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # for every shingle, the sets that hold it
+    holders = np.repeat(np.arange(m), n)[np.argsort(ids, kind="stable")]
+    first = np.cumsum(uses) - uses
     done = np.zeros(m, bool)
     known: list[np.ndarray] = []
     for p in order:
@@ -259,9 +263,8 @@ def join_sets(sets: list[np.ndarray], order: np.ndarray, percent: int = PERCENT,
         if not others.any():
             continue
         own = ids[starts[p] : starts[p] + n[p]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[ids], starts)
-        mark[own] = 0
+        ends = np.cumsum(uses[own])
+        common = np.bincount(holders[np.repeat(first[own] - ends + uses[own], uses[own]) + np.arange(ends[-1])], minlength=m)
         union = n + n[p] - common
         if len(known) < pivots:
             known.append(1 - common / union)
@@ -407,7 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rest is not None:
             tasks = tasks.unionByName(_grid(rest, rest, region_docs))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    buckets = max(1, total // TASK_SHINGLES * 4)
+    buckets = max(1, total // TASK_SHINGLES)
     joined = tasks.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(_region_join(percent), "a long, b long")
     links = joined if links is None else joined.unionByName(links)
     found = components(links)
