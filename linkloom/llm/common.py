@@ -25,9 +25,14 @@ def as_text(col: Column) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back with its own schema. It cuts the
     lineage: a lost executor costs a reread, never a recomputation that could come out differently."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for those who drop it (``drop_scratch``) once no table depends on it."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,8 +10,8 @@ exact and proceeds from coarse regions to fine ones:
    than T + 1 parts, so that linked sets are equal in all but T of their parts. A part's content is the pivot of a cell of radius 0,
    in which a document lies; equal contents put documents into the same cell. Cells of one document are done, and a document
    is done that shares fewer non-empty cells than its own count less T, for no link of it can be missing so many.
-3. Documents that still share cells form regions (connected components of documents and cells); each document's set goes to its
-   region once. A region is joined by recursion on pivots: a pivot's distances to all others are counted exactly, what lies within eps is linked to it,
+3. Documents that still share cells form regions (connected components of documents and cells within a size region); each
+   document's set goes to its regions, one or two. A region is joined by recursion on pivots: a pivot's distances to all others are counted exactly, what lies within eps is linked to it,
    and a pair (x, y) is looked at later only if x and y are not connected yet and the triangle inequality allows a link:
    |d(x, p) - d(y, p)| <= eps for every pivot p before.
 4. A region too large for a task takes the same steps as Spark jobs: the pivot's core within eps is linked and split off, the
@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import fresh, release, ship, written
+from linkloom.llm.common import fresh, release, ship, written, written_at
 from linkloom.llm.graph import components
+from linkloom.session import drop_scratch
 
 SHINGLE = 5
 PERCENT = 80
@@ -308,7 +309,7 @@ def _sets(docs: DataFrame, seed: int, width: int) -> DataFrame:
     return docs.select("node", "region", "weight", "text").mapInArrow(run, "node long, region long, weight long, n long, shingles binary")
 
 
-def _peeled(members: DataFrame, percent: int, region_docs: int, salts: int = SALTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _peeled(members: DataFrame, percent: int, region_docs: int, region_shingles: int, salts: int = SALTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pivot for each large region: links (a, b) of its core, blocks (region, node, weight, n, shingles) that join the core with the remainder
     in its window, and the remainder as regions."""
     pivot = members.groupBy("region").agg(F.max_by(F.struct("node", "n", "shingles"), F.struct("weight", "node")).alias("p"))
@@ -326,16 +327,17 @@ def _peeled(members: DataFrame, percent: int, region_docs: int, salts: int = SAL
     links = joined.where(core).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     rest = joined.where(~core)
     window = rest.where(100 * (union - F.col("k")) <= 2 * (100 - percent) * union)
-    blocks = _grid(joined.where(core), window, region_docs)
+    blocks = _grid(joined.where(core), window, region_docs, region_shingles)
     return links, blocks, rest.select("region", "node", "weight", "n", "shingles")
 
 
-def _grid(left: DataFrame, right: DataFrame, region_docs: int) -> DataFrame:
-    """Blocks of either side against blocks of the other, each pair of blocks a region."""
-    size = max(1, region_docs // 2)
+def _grid(left: DataFrame, right: DataFrame, region_docs: int, region_shingles: int) -> DataFrame:
+    """Blocks of either side against blocks of the other, each pair of blocks a region: of about half the bound of documents and of
+    shingles a block."""
+    most_docs, most_shingles = max(1, region_docs // 2), max(1, region_shingles // 2)
 
     def blocks(side: DataFrame) -> DataFrame:
-        count = side.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+        count = side.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_docs), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("blocks"))
         return written(side.select("region", "node", "weight", "n", "shingles").join(count, "region")
                        .withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")), "jaccard-blocks")
 
@@ -357,38 +359,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     while True:
-        known = written(_described(own, seed, percent, width), "jaccard-sets")
+        described, folder = written_at(_described(own, seed, percent, width), "jaccard-sets")
+        known = written(described.select("id", "n", "node", "check"), "jaccard-members")
         members = known.where("node IS NOT NULL")
         clash = members.groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
         if not clash.head(1):
             break
+        drop_scratch(spark, folder)
         seed += 1
 
     # cells that several documents share
-    cells = known.select("node", F.explode("cells").alias("c")).select("node", "c.region", "c.need", F.explode("c.cells").alias("cell"))
+    cells = described.select("node", F.explode("cells").alias("c")).select("node", "c.region", "c.need", F.explode("c.cells").alias("cell"))
     cells = cells.select("cell", "node", (F.col("region").cast("long") * (1 << 40) + F.col("need")).alias("side"))
     order = ["cell", "node"]
-    shared = written(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "cell long, node long, side long"), "jaccard-cells").distinct()
-    del cells
+    found_cells, cell_folder = written_at(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "cell long, node long, side long"), "jaccard-cells")
+    drop_scratch(spark, folder)
+    del cells, described
     release(spark)
+    shared = found_cells.distinct()
     for step in range(2):
         several = shared.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("cell")
         shared = shared.join(several, "cell")
         enough = shared.groupBy("node", "side").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.col("side") % (1 << 40)).select("node", "side")
-        shared = written(shared.join(enough, ["node", "side"]), f"jaccard-shared-{step}")
-    leads = shared.groupBy("cell").agg(F.min("node").alias("lead"))
-    star = shared.join(leads, "cell").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    regions = components(star)
-    weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    wanted = regions.select("node", F.col("comp").alias("region")).join(weights, "node")
+        shared, last_folder = written_at(shared.join(enough, ["node", "side"]), f"jaccard-shared-{step}")
+        drop_scratch(spark, cell_folder)
+        cell_folder = last_folder
+        release(spark)
+    # a document is a place of its own in each of its size regions, so that families of different sizes don't grow together
+    place = F.xxhash64("node", F.shiftright("side", 40))
+    leads = shared.groupBy("cell").agg(F.min(place).alias("lead"))
+    star = shared.join(leads, "cell").select(F.col("lead").alias("a"), place.alias("b"))
+    weights = shared.groupBy("node", place.alias("place")).agg(F.count(F.lit(1)).alias("weight"))
+    regions = components(star).select(F.col("node").alias("place"), F.col("comp").alias("region"))
+    wanted = weights.join(regions, "place").select("node", "region", "weight")
 
     # one document of every node, and its set
     picked = members.groupBy("node").agg(F.min("id").alias("pick"))
     wanted = written(wanted.join(picked, "node"), "jaccard-wanted")
     n_wanted = wanted.count()
     fetch = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = written(_sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, width).dropDuplicates(["node"]), "jaccard-regions")
+    sets = written(_sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, width).dropDuplicates(["region", "node"]), "jaccard-regions")
 
+    release(spark)
     links = None
     sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     large = written(sizes.where((F.col("docs") > region_docs) | (F.col("total") > region_shingles)).select("region"), "jaccard-large")
@@ -397,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if large.head(1):
         tasks, rest = sets.join(large, "region", "left_anti").select(columns), sets.join(large, "region").select(columns)
         for step in range(ROUNDS):
-            core, blocks, left = _peeled(rest, percent, region_docs)
+            core, blocks, left = _peeled(rest, percent, region_docs, region_shingles)
             links = core if links is None else links.unionByName(core)
             left = written(left, f"jaccard-rest-{step}")
             grown = left.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
@@ -408,8 +420,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rest = None
                 break
         if rest is not None:
-            tasks = tasks.unionByName(_grid(rest, rest, region_docs))
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+            tasks = tasks.unionByName(_grid(rest, rest, region_docs, region_shingles))
+    total = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = max(1, total // TASK_SHINGLES)
     joined = tasks.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(_region_join(percent), "a long, b long")
     links = joined if links is None else joined.unionByName(links)
