@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -53,6 +54,19 @@ def ship(spark: SparkSession) -> None:
     sc._linkloom_shipped = True
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):  # noqa: ANN201
+    """Inside, whole texts go to the Python workers ``rows`` at a time: a batch of Spark's default 10,000 rows takes tens of MB on
+    either side of the pipe, in each of an executor's tasks. The session's setting is put back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver collect garbage now: shuffle files of finished steps go with the plans that made them, instead
     of at the cleaner's next half-hourly round."""

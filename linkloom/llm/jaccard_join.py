@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import fresh, release, ship, written, written_at
+from linkloom.llm.common import fresh, release, ship, small_batches, written, written_at
 from linkloom.llm.graph import components
 from linkloom.session import drop_scratch
 
@@ -359,7 +359,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     while True:
-        described, folder = written_at(_described(own, seed, percent, width), "jaccard-sets")
+        with small_batches(spark):
+            described, folder = written_at(_described(own, seed, percent, width), "jaccard-sets")
         known = written(described.select("id", "n", "node", "check"), "jaccard-members")
         members = known.where("node IS NOT NULL")
         clash = members.groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
@@ -372,6 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = described.select("node", F.explode("cells").alias("c")).select("node", "c.region", "c.need", F.explode("c.cells").alias("cell"))
     cells = cells.select("cell", "node", (F.col("region").cast("long") * (1 << 40) + F.col("need")).alias("side"))
     order = ["cell", "node"]
+    # cells are small rows: they go in batches of Spark's own size
     found_cells, cell_folder = written_at(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "cell long, node long, side long"), "jaccard-cells")
     drop_scratch(spark, folder)
     del cells, described
@@ -398,7 +400,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = written(wanted.join(picked, "node"), "jaccard-wanted")
     n_wanted = wanted.count()
     fetch = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = written(_sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, width).dropDuplicates(["region", "node"]), "jaccard-regions")
+    with small_batches(spark):
+        sets = _sets(own.join(fetch, own["id"].eqNullSafe(F.col("pick"))), seed, width).dropDuplicates(["region", "node"])
+        sets = written(sets, "jaccard-regions")
 
     release(spark)
     links = None
