@@ -56,23 +56,29 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Buckets:
-    """Bucket identifiers of all offsets of a byte buffer, by doubling: 8, 16, 32, ... bytes."""
+    """Bucket identifiers of all offsets of a byte buffer, by doubling: 8, 16, ... bytes, up to ``dense``. Those of longer strings are
+    made of them only where they are asked for, up to ``longest`` bytes."""
 
-    def __init__(self, data: bytes, longest: int):
+    def __init__(self, data: bytes, longest: int, dense: int = 32):
         raw = np.frombuffer(data + bytes(longest + 8), np.uint8)
         self.n = len(data)
         words = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), shape=(self.n + longest,), strides=(1,)).astype(np.uint64)
         self.by_width, width = {8: _pair(words, np.uint64(8))}, 8
-        while 2 * width <= longest:
+        while 2 * width <= min(dense, longest):
             last = self.by_width[width]
             self.by_width[2 * width] = _pair(last[:-width], last[width:])
             width *= 2
 
     def at(self, places: np.ndarray, width: int) -> np.ndarray:
-        """Identifiers of ``width`` (8 or more) bytes at the places: the pair of two overlapping buckets."""
+        """Identifiers of ``width`` (8 or more) bytes at the places: the pair of two buckets that overlap or meet."""
         step = max(w for w in self.by_width if w <= width)
         ids = self.by_width[step]
-        return ids[places] if step == width else _pair(ids[places], ids[places + (width - step)])
+        if step == width:
+            return ids[places]
+        if width <= 2 * step:
+            return _pair(ids[places], ids[places + (width - step)])
+        half = -(-width // 2)
+        return _pair(self.at(places, half), self.at(places + (width - half), half))
 
 
 def runs_of(data: bytes, bounds: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -82,8 +88,8 @@ def runs_of(data: bytes, bounds: np.ndarray, length: int, anchor: int) -> tuple[
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    buckets = Buckets(data, length)
-    ids = buckets.at(np.arange(n), anchor)
+    buckets = Buckets(data, length, anchor)
+    ids = buckets.by_width[anchor][:n] if anchor in buckets.by_width else buckets.at(np.arange(n), anchor)
     least, wide = (ids & ~_PLACE) | np.arange(n, dtype=np.uint64), 1
     while 2 * wide <= width:
         least = np.minimum(least[:-wide], least[wide:])
