@@ -2,11 +2,14 @@
 
 Each document is measured once (counts over its whole text). Per language and source, mergeable quantile sketches
 (KLL) summarise each measure; merging the sketches of a language's sources gives the language's, and merging those the
-corpus's. A measure's limits are fences around the middle of its own group's distribution,
+corpus's. A measure's limits are taken from the quantiles of its own group,
 
-    median ± max(FENCE * (outer quantile - median), least width),
+    median ± factor * (outer quantile - median),
 
-so that a source that is noisier as a whole gets wider limits, and junk stands out against its own kind. A group
+so that a source that is noisier as a whole gets wider limits, and junk stands out against its own kind. Measures that
+most documents have at 0 (repeats) take a further quantile and a smaller factor. ``FLOORS`` only stand in for a spread of
+(nearly) zero, where the first symbol or rounding would break a limit. Words' lengths are without symbols, which have a
+measure of their own. A group
 of fewer than ``LEAST_GROUP`` documents takes its language's limits, a language of fewer the corpus's. The limits join the
 measured rows; a row that breaks a limit goes.
 
@@ -31,15 +34,19 @@ from linkloom.llm.common import ship, written
 
 LEAST_GROUP = 200
 FENCE = 4.0
-#: measure -> (lower quantile or None, upper quantile or None, least width of the fence)
+#: measure -> (lower quantile or None, upper quantile, factor on their distances from the median)
 MEASURES = {
-    "symbol_share": (None, 0.9, 0.05),
-    "dup_line_share": (None, 0.9, 0.2),
-    "repeat_share": (None, 0.9, 0.15),
-    "upper_share": (None, 0.9, 0.3),
-    "mark_share": (None, 0.9, 0.25),
-    "word_length": (0.1, 0.9, 3.0),
+    "symbol_share": (None, 0.9, FENCE),
+    "dup_line_share": (None, 0.98, 2.0),
+    "repeat_share": (None, 0.98, 2.0),
+    "upper_share": (None, 0.9, FENCE),
+    "mark_share": (None, 0.9, FENCE),
+    "word_length": (0.1, 0.9, FENCE),
 }
+#: The least distance of a limit from the median: 5 in 1,000, of words' length a twentieth of a letter.
+FLOORS = dict.fromkeys(MEASURES, 0.005) | {"word_length": 0.05}
+#: Of the sketches: ranks are right to some 0.4%; at the default of 200 (1.3%) a quantile of 0.98 might be the largest value.
+SKETCH_K = 800
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -102,20 +109,17 @@ def _shares() -> dict[str, Column]:
     return {
         "symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words, "upper_share": F.col("n_upper") / chars,
-        "mark_share": F.col("n_marks") / words, "word_length": F.col("word_chars") / words,
+        "mark_share": F.col("n_marks") / words, "word_length": (F.col("word_chars") - F.col("n_symbols")) / words,
     }
 
 
 def _limits(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     columns = [F.col(k).alias(f"{prefix}_{k}") for k in keys] + [F.col("n").alias(f"{prefix}_n")]
-    for m, (low, high, width) in MEASURES.items():
+    for m, (low, high, factor) in MEASURES.items():
         at = lambda q, m=m: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
-        spread = [F.lit(width)]
-        if high:
-            spread.append(FENCE * (at(high) - at(0.5)))
-        columns.append((at(0.5) + F.greatest(*spread) if len(spread) > 1 else at(0.5) + spread[0]).alias(f"{prefix}_{m}_max"))
+        columns.append((at(0.5) + F.greatest(F.lit(FLOORS[m]), factor * (at(high) - at(0.5)))).alias(f"{prefix}_{m}_max"))
         if low:
-            columns.append((at(0.5) - F.greatest(F.lit(width), FENCE * (at(0.5) - at(low)))).alias(f"{prefix}_{m}_min"))
+            columns.append((at(0.5) - F.greatest(F.lit(FLOORS[m]), factor * (at(0.5) - at(low)))).alias(f"{prefix}_{m}_min"))
     return sketches.select(*columns)
 
 
@@ -126,9 +130,9 @@ def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only documents that pass the base rules shape the limits: junk must not widen its own fence
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     sound = rows.where(~failed).select("lang", "source", *[c.alias(m) for m, c in shares.items()])
-    by_source = sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in MEASURES])
+    by_source = sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
     by_source = written(by_source, "quality-sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES]]
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES]]
     by_lang = by_source.groupBy("lang").agg(*merged)
     overall = _limits(by_source.agg(*merged).where("n > 0"), [], "a").withColumn("one", F.lit(1))
     s, g = _limits(by_source, ["lang", "source"], "s"), _limits(by_lang, ["lang"], "l")

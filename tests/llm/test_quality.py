@@ -50,3 +50,16 @@ def test_held_labels(spark, sf_small):
     labelled = rules.join(spark.read.parquet(f"{sf_small}/labels.parquet"), "doc_id").collect()
     clean = [r for r in labelled if r.quality == 1 and not r.base_failed]
     assert sum(r.kept for r in clean) >= 0.95 * len(clean)
+
+
+def test_limits_are_quantiles(spark):
+    """Limits are a few spreads of the group's own away, near in a uniform source and far in a varied one."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    text = lambda low, high: " ".join(word(rng.randint(low, high)) for _ in range(100))
+    rows = [(i, text(4, 6), "en", "uniform") for i in range(300)] + [(1000 + i, " ".join(word(i % 10 + 2) for _ in range(100)), "en", "varied") for i in range(300)]
+    rows += [(2000, text(7, 7), "en", "uniform"), (2001, text(7, 7), "en", "varied"), (2002, text(4, 6).replace(" ", "$ ", 10), "en", "uniform")]
+    got = {r.doc_id: r for r in quality.adaptive_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[2000].broken == "word_length_max" and got[2001].kept and got[2002].broken == "symbol_share_max"
+    assert sum(got[i].kept for i in range(300)) >= 297 and all(got[1000 + i].kept for i in range(300))
