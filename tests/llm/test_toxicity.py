@@ -76,3 +76,25 @@ def test_toxicity_hard_rows(spark, hard, nothing, hard_rows):
     empty_labels = labels.limit(0)
     assert {r.predicted for r in toxicity.score_toxicity(hard, empty_labels).collect()} == {0}
     assert toxicity.score_toxicity(nothing, labels).count() == 0 and toxicity.clean(nothing, empty_labels).count() == 0
+
+
+def test_beginnings_score_rare_words(spark):
+    """Toxic words that are never seen twice, short and long, are scored by how they begin; so are unseen ones."""
+    rng = random.Random(8)
+    ordinary = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(600):
+        text, toxic = [rng.choice(ordinary) for _ in range(40)], int(i % 8 == 0)
+        for _ in range(3 * toxic):
+            text[rng.randrange(len(text))] = "zonk" + "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([1, 6])))
+        docs.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(*_tables(spark, docs, labels)).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert sum(p for p, t in held if t) >= 0.9 * sum(t for _, t in held) and sum(p for p, t in held if not t) <= 2
+
+
+def test_texts_with_words_against_brute_force(spark):
+    texts = [(0, "abcde ab"), (0, "abcde ab"), (1, "abcdx AB ab"), (1, None)]
+    got = {r.w: (r.c0, r.c1) for r in toxicity.count_texts(spark.createDataFrame(texts, "y int, text string")).collect()}
+    assert got == {"*": (1, 2), "ab": (1, 1), "abcde": (1, 0), "abcdx": (0, 1), "abcde*": (1, 0), "abcdx*": (0, 1), "abcd*": (1, 1)}
