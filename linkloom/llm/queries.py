@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, toxicity, warc
+from linkloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, suffix_dedup, token_alignment, token_files, toxicity, warc
 from linkloom.llm.common import documents, table
 from linkloom.session import scratch_path
 
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_align": op11_align,
 }
 
 ORACLE: dict[str, str] = {
