@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, suffix_dedup, token_alignment, token_files, toxicity, warc
+from linkloom.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, spelling, suffix_dedup, token_alignment, token_files, toxicity, warc
 from linkloom.llm.common import documents, table
 from linkloom.session import scratch_path
 
@@ -63,6 +63,14 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokenizers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -75,6 +83,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "op11_align": op11_align,
+    "op12_sharding": op12_sharding,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {

@@ -1,0 +1,86 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from linkloom.llm import spelling
+
+
+def _lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def _counted(rows, least=6, times=5, modulus=199):
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = _lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % modulus == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= least and n >= times}
+
+
+def _near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def _variants(counts, ratio=5):
+    near = {w: [v for v in counts if _near(w, v)] for w in counts}
+    best = {w: min(near[w], key=lambda v: (-counts[v], v)) for w in counts if near[w]}
+    form = {w: v for w, v in best.items() if counts[v] >= ratio * counts[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return sorted((w, form.get(w), root(w), n, len(near[w]), counts[form[w]] if w in form else None) for w, n in counts.items())
+
+
+def _got(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_variants_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    letters = ["ab", "abc", "aàÿ×", "abcdefgh"][seed]
+    counts = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 8))): rng.choice([1, 1, 2, 5, 10, 30, 200, 1000]) for _ in range(250)}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    assert _got(spelling.variants_of(words)) == _variants(counts)
+
+
+def test_a_long_chain_and_a_full_range(spark):
+    counts = {"a" * k: 5 ** k for k in range(1, 14)}
+    counts |= {"xy" + chr(c) + "zz": 7 for c in range(0x4E00, 0x4E00 + 300)} | {"xyzz": 40}
+    assert _got(spelling.variants_of(spark.createDataFrame(list(counts.items()), "word string, n long"))) == _variants(counts)
+
+
+def test_documents_equal_brute_force(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    counts = _counted([(r.doc_id, r.text) for r in docs.collect()])
+    assert _got(spelling.spelling_variants(docs)) == _variants(counts)
+
+
+def test_words_as_counted(spark):
+    rows = [(i, "Ünder UNDERé under-WORLD ÜNDERé naïveté× " * 3 + "word1234567word " * 2) for i in range(400)] + [(None, "Nullid " * 9), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _counted(rows)
+    assert dict(map(tuple, spelling.count_words(docs).collect())) == want and any(len(w) == 6 for w in want)
+    assert dict(map(tuple, spelling.count_words(docs, modulus=0, least_length=1, least_count=1).collect())) == _counted(rows, 1, 1, 1 << 40)
+
+
+def test_hard_rows(hard, nothing, hard_rows):
+    got = spelling.spelling_variants(hard, least_length=2, least_count=1)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert _got(got) == _variants(_counted([(r[0], r[1]) for r in hard_rows], 2, 1))
+    assert spelling.spelling_variants(nothing).count() == 0
