@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -42,7 +43,9 @@ from linkloom.llm.common import ship, small_batches, written
 PIECE = 128
 #: Characters of text that are laid end to end for one merge (a longer document is merged alone).
 SLICE = 400_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+#: New words that are encoded as one text.
+TOGETHER = 64
 BROADCAST_PAIRS = 4_000_000
 #: The characters after which a word may be cut off: a space between a non-space and more text.
 _CUT = re.compile(r"(?<=\S) (?=\s*\S)")
@@ -53,6 +56,7 @@ class Vocabularies:
     """Both tokenizers, the number of bytes of every token, and the words encoded so far."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -79,24 +83,43 @@ class Vocabularies:
         self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words, each with the space before it."""
-        if not words:
-            return
-        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        fine = [all(b"".join(map(names.__getitem__, ids)) == raw for names, ids in ((self.a_bytes, x), (self.b_bytes, y)))
-                for x, y, raw in zip(a, b, (b" " + w.encode() for w in words))]
+        """Encode words, each with the space before it. Those that neither begin nor end with white space are encoded ``TOGETHER`` at a
+        time, as one text of words; the bytes of their tokens tell them apart again."""
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())] if self.cut else []
+        rest = [w for w in words if w[0].isspace() or w[-1].isspace()] if self.cut else words
+        units = [" ".join(plain[k:k + TOGETHER]) for k in range(0, len(plain), TOGETHER)] + rest
+        words = plain + rest
+        if words and not self._learned(words, units):
+            for word in words:
+                self._learned([word], [word]) or self._added([word], [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2, False)
+
+    def _learned(self, words: list[str], units: list[str]) -> bool:
+        """Encode the words, which the units are made of, if both tokenizers spell all of them."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        raw = "".join([" " + u for u in units]).encode()
+        marks = np.cumsum([len(w.encode()) + 1 for w in words])
+        flat, sizes = [], []
+        for found, spelled, length in ((a, self.a_bytes, self.a_length), (b, self.b_bytes, self.b_length)):
+            ids = list(chain.from_iterable(found))
+            if b"".join(map(spelled.__getitem__, ids)) != raw:
+                return False
+            flat.append(np.array(ids, np.int64))
+            sizes.append(np.diff(np.searchsorted(np.cumsum(length[flat[-1]]), marks, "right"), prepend=0))
+        self._added(words, flat, sizes, True)
+        return True
+
+    def _added(self, words: list[str], flat: list[np.ndarray], sizes: list[np.ndarray], sound: bool) -> None:
         for word in words:
             self.known[word] = len(self.known)
-        self.sound = np.concatenate([self.sound, np.array(fine, bool)])
-        for side, ids in enumerate((a, b)):
-            ends = np.cumsum([len(x) for x in ids], dtype=np.int64) + self.starts[side][-1]
-            self.pools[side] = np.concatenate([self.pools[side], np.fromiter(chain.from_iterable(ids), np.int64)])
-            self.starts[side] = np.concatenate([self.starts[side], ends])
+        self.sound = np.concatenate([self.sound, np.full(len(words), sound)])
+        for side in (0, 1):
+            self.starts[side] = np.concatenate([self.starts[side], np.cumsum(sizes[side]) + self.starts[side][-1]])
+            self.pools[side] = np.concatenate([self.pools[side], flat[side]])
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and of B of all texts laid end to end, and for each the number of ids of every text."""
-        if len(self.known) > CACHE_WORDS or max(map(len, self.pools)) > 16 * CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or max(map(len, self.pools)) > 8 * CACHE_WORDS:
             self.forget()
         words = [(_CUT.split(t) if self.cut else [t]) if t else [] for t in texts]
         flat = list(chain.from_iterable(words))
