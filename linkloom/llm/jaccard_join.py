@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -439,13 +439,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, and all rows without words."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    drop = fresh("drop")
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(drop)).distinct()
-    gone = written(dropped, "jaccard-dropped")
+    """The rows of ``docs`` with all their columns: one row of each group (of the smallest id, null ids last; of rows that share it, the one of
+    the smallest text hash), and all rows without words. Rows are told apart by id and text, so texts under one id, or under none, are
+    documents of their own."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    # a 128-bit hash of the text tells the rows of an id apart
+    row = F.struct(docs[id_col].isNull().alias("void"), docs[id_col].alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    found = near_duplicates(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", width, percent)
+    found = written(found.select(F.struct("row.id", "row.a", "row.b").alias("row"), (F.col("row") == F.col("component_id")).alias("named"), "n_shingles"), "jaccard-found")
+    i, a, b = fresh("id"), fresh("a"), fresh("b")
+
+    def rows(which: DataFrame) -> DataFrame:
+        return which.select(F.col("row.id").alias(i), F.col("row.a").alias(a), F.col("row.b").alias(b))
+
+    def same(table: DataFrame, keys: DataFrame) -> Column:
+        own = F.coalesce(table[text_col].cast("string"), F.lit(""))
+        return table[id_col].eqNullSafe(keys[i]) & (F.xxhash64(own) == keys[a]) & (F.xxhash64(F.lit(1), own) == keys[b])
+
+    gone = written(rows(found.where("NOT named")).distinct(), "jaccard-dropped")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[drop]), "left_anti")
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    several = rows(found.where("named AND n_shingles > 0").groupBy("row").count().where("count > 1"))
+    if not several.head(1):
+        return kept
+    several = written(several, "jaccard-several")  # rows alike in id and text: one of them stays
+    once = kept.join(several, same(kept, several)).dropDuplicates([i, a, b]).select(*docs.columns)
+    return kept.join(several, same(kept, several), "left_anti").unionByName(once)
 
 
 ORACLE = r"""

@@ -345,15 +345,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
           label_col: str = "toxic", threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns. (With a model too large to broadcast, rows go by id.)"""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; of any id, or none, each row goes by its own text."""
     spark = docs.sparkSession
     ship(spark)
     _, texts, model = _fitted(docs, labels, id_col, text_col, label_id_col, label_col)
+    curve = _curve(crossed(texts, model, broadcast_words))
     if model.count() > broadcast_words:
-        found = score_toxicity(docs, labels, id_col, text_col, label_id_col, label_col, threshold, broadcast_words)
-        drop = fresh("toxic")
-        gone = found.where("predicted = 1").select(F.col(id_col).alias(drop)).distinct()
-        return docs.join(gone, docs[id_col].eqNullSafe(gone[drop]), "left_anti")
+        # the verdict follows from the text alone: rows go by a 128-bit hash of it
+        text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+        a, b = fresh("a"), fresh("b")
+        hashes = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+        found = evidence(docs.select(hashes.alias("id"), text.alias("text")), model, "id", "text", broadcast_words)
+        gone = found.where(_score(F.col("z"), curve) >= threshold).select(F.col("id.a").alias(a), F.col("id.b").alias(b)).distinct()
+        gone = written(gone, "toxic-texts")
+        return docs.join(gone, (F.xxhash64(text) == gone[a]) & (F.xxhash64(F.lit(1), text) == gone[b]), "left_anti")
     table = spark.sparkContext.broadcast({r.w: r.llr for r in model.collect()})
 
     @F.pandas_udf("double")
@@ -362,5 +367,4 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in texts:
             yield pd.Series([math.fsum(map(llr.__getitem__, w)) / max(len(w), 1) for w in map(words_of, batch)], dtype="float64")
 
-    curve = _curve(crossed(texts, model, broadcast_words))
     return docs.where(_score(z(docs[text_col].cast("string")), curve) < threshold)

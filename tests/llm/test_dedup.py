@@ -186,3 +186,32 @@ def test_suffix_hard_rows(hard, nothing, hard_rows):
     got = suffix_dedup.without_repeats(hard, keep_text=False).collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(_repeats(rows, 100).values())
     assert suffix_dedup.without_repeats(nothing).count() == 0
+
+
+def _stay(rows, width=5, percent=80):
+    """Rows (id, text) that near de-duplication keeps, by comparing all pairs: of each component the smallest id that is not null, and of the rows
+    that have it one."""
+    sizes, comp = _near([(k, t) for k, (_, t) in enumerate(rows)], width, percent)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[comp[k] if sizes[k] else ("blank", k)].append(rows[k])
+    return [sorted(g, key=lambda r: (r[0] is None, r[0] or 0))[0][0] for g in groups.values()], groups
+
+
+A = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+B, C = "a quite different text which has no copy at all in this table", "and a third one of which there is no copy here either"
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, A), (None, A + " more"), (None, B), (2, C)],
+    [(1, A), (5, A + " more"), (5, B), (2, C)],
+    [(5, A), (5, A + " more"), (7, B)],
+    [(5, A), (5, A), (5, A + " more"), (None, A), (None, None), (None, None), (3, ""), (3, " ")],
+    [(None, A), (None, A + " more"), (None, A + " more"), (None, B)],
+])
+def test_near_copies_go_row_by_row(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard_join.deduplicated(docs).collect()]
+    ids, groups = _stay(rows)
+    assert sorted(str(i) for i, _ in got) == sorted(map(str, ids))
+    assert all(sum(got.count(r) for r in set(g)) == 1 for k, g in groups.items() if not isinstance(k, tuple))

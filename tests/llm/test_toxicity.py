@@ -49,6 +49,19 @@ def test_large_models_are_joined(spark):
     assert sorted(r.doc_id for r in toxicity.clean(d, y).collect()) == sorted(r.doc_id for r in toxicity.clean(d, y, broadcast_words=-1).collect())
 
 
+def test_rows_go_by_their_texts_whatever_the_size_of_the_model(spark):
+    docs, labels = _corpus(300)
+    d, y = _tables(spark, docs, labels)
+    toxic = [r.doc_id for r in toxicity.score_toxicity(d, y).where("predicted = 1").collect()]
+    texts = dict(docs)
+    bad, good = texts[toxic[0]], next(t for i, t in docs if i not in toxic and t)
+    extra = spark.createDataFrame([(None, bad), (None, good), (toxic[0], good), (None, None), (None, None)], d.schema)
+    more = d.unionByName(extra)
+    want = sorted(((i, t) for i, t in [*docs, (None, good), (toxic[0], good), (None, None), (None, None)] if i not in toxic or t == good), key=str)
+    for bound in (toxicity.BROADCAST_WORDS, -1):
+        assert sorted(((r.doc_id, r.text) for r in toxicity.clean(more, y, broadcast_words=bound).collect()), key=str) == want
+
+
 def test_counts_against_brute_force(spark):
     texts = [(0, "a b a b c"), (1, "a a B"), (0, "b"), (1, None), (0, "a b a b c")]
     got = {r.w: (r.n0, r.n1, r.c0, r.c1) for r in toxicity.count_words(spark.createDataFrame(texts, "y int, text string")).collect()}
