@@ -99,14 +99,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df``, which may read ``path``, beside it, then put it in its place."""
-    spark = df.sparkSession
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def publish(spark: SparkSession, path: str, content: str) -> bool:
+    """Make ``path`` appear with its whole content at once; False, and no change, if it is there already. The content is written beside it
+    and moved: by a hard link on local disks (which fails on an existing name), by the file system's rename elsewhere (which does, too, on HDFS;
+    on stores without an atomic rename two writers at the very same moment are not told apart)."""
     fs, target = _file_system(spark, path)
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(fresh)
-    fs.delete(target, True)
-    fs.rename(_file_system(spark, fresh)[1], target)
+    fs.mkdirs(target.getParent())
+    beside = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex[:8]}"
+    _create_new(fs, _file_system(spark, beside)[1], content)
+    if fs.getUri().getScheme() == "file":
+        local = _file_system(spark, beside)[1].toUri().getPath()
+        try:
+            os.link(local, target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(local)
+    if not fs.exists(target) and fs.rename(_file_system(spark, beside)[1], target):
+        return True
+    fs.delete(_file_system(spark, beside)[1], False)
+    return False
 
 
 def _create_new(fs, p, content: str) -> bool:  # noqa: ANN001

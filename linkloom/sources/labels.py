@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import lookup_with_default, upsert
+from ..operators.merge import lookup_with_default
 from ..schemas import LABEL
-from ..session import path_exists, replace_table
+from ..session import path_exists
+from .versions import ConcurrentMerge, VersionedTable
+
+ATTEMPTS = 10
 
 
 def write_label_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,19 +31,35 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+SETTINGS = "environment string, key string, value string"
+
+
+def settings_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, SETTINGS)
+
+
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """The stored settings; a table that has not been written yet has none."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], "environment string, key string, value string")
-    return spark.read.parquet(path)
+    """The stored settings; a table that has not been written yet has none. Plain Parquet folders are read as they are."""
+    table = settings_table(spark, path)
+    if table.exists():
+        return table.read()
+    return spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], SETTINGS)
 
 
 def save_setting(spark: SparkSession, path: str, environment: str, key: str, value: str) -> None:
-    """One setting written (a new version of the table beside the old one, then put in its place)."""
-    current = read_settings(spark, path)
-    row = spark.createDataFrame([(environment, key, value, 1)], "environment string, key string, value string, seq int")
-    merged = upsert(current, row, ["environment", "key"], "seq").select("environment", "key", "value")
-    replace_table(merged.coalesce(1), path)
+    """One setting written. Readers see the old settings or the new ones, and only this environment's rows are rewritten; of two
+    writers at a time the later one merges again. A plain Parquet folder is taken over first."""
+    table = settings_table(spark, path)
+    if not table.exists() and path_exists(spark, path):
+        table.merge(spark.read.parquet(path).select("environment", "key", "value", F.lit(0).alias("seq")), ["environment", "key"], "seq")
+    row = spark.createDataFrame([(environment, key, value, 1)], f"{SETTINGS}, seq int").coalesce(1)
+    for attempt in range(ATTEMPTS):
+        try:
+            table.merge(row, ["environment", "key"], "seq")
+            return
+        except ConcurrentMerge:
+            if attempt == ATTEMPTS - 1:
+                raise
 
 
 def setting(spark: SparkSession, settings: DataFrame, environment: str, key: str, default: str) -> str:
