@@ -15,8 +15,14 @@ from .operators.taxonomy import service_record, taxonomy_definitions, universe_c
 from .sources.labels import (read_log, read_settings, save_setting, scan_label_log, stream_enabled,
                              write_label_log)  # noqa: F401
 from .sources.posts import commit_posts, dead_letters, parse_messages, posts_from_lines  # noqa: F401
-from .streaming.label_stream import (LabelSink, counter_stream, labelled_stream, message_stream,  # noqa: F401
-                                     start_label_stream, throughput_stream)
+from .operators.asof import asof_join  # noqa: F401
+from .operators.dimension_versions import DimensionStore, dimension_versions, match_links_asof  # noqa: F401
+from .sources.labels import read_after, write_blocks  # noqa: F401
+from .sources.versions import MirrorSink, VersionedTable  # noqa: F401
+from .streaming.control import FeedStates, Gate, Switch, run_feed, switched_intervals  # noqa: F401
+from .streaming.label_stream import (LabelSink, LineSink, RejectSink, counter_stream, labelled_stream,  # noqa: F401
+                                     message_stream, start_label_stream, start_line_stream, throughput_stream)
+from .streaming.padding import pad_log  # noqa: F401
 
 
 def label_posts(posts, articles, bridge, authors, domain: str, dedupe_articles: bool = False,

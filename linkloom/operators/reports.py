@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (encode_uri_component, feed_status, format_uptime, html_escape, post_web_link,
                               relative_age, tag_class, tag_display, title_default)
+from ..session import scratch_path
 
 ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -38,18 +39,15 @@ def throughput_1s(posts: DataFrame) -> DataFrame:
 
 
 def throughput_last40(posts: DataFrame, points: int = 40) -> DataFrame:
-    """The newest ``points`` seconds ending at the last event, zero-filled (offset 0 = newest)."""
-    sec = F.date_trunc("second", F.col("ts"))
-    last = posts.agg(F.max(sec).alias("last"))
-    # only the last seconds are counted: what is older never reaches the aggregation
-    newest = posts.where(F.col("ts") >= (posts.agg(F.max(sec)).scalar() - F.make_interval(secs=F.lit(points - 1))))
-    per_sec = newest.groupBy(sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    spine = last.select(F.posexplode(F.reverse(F.sequence(
-        F.col("last") - F.make_interval(secs=F.lit(points - 1)), F.col("last"), F.expr("interval 1 second"))))
-        .alias("offset", "sec"))
-    return (spine.join(per_sec, "sec", "left")
-            .select(F.col("offset").cast("long").alias("offset"), iso(F.col("sec")).alias("second"),
-                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    """The newest ``points`` seconds ending at the last event, zero-filled (offset 0 = newest). One pass over the posts: counts per
+    second, of which the newest are a top-k; the series is read off those few rows."""
+    per_sec = posts.where(F.col("ts").isNotNull()).groupBy(F.date_trunc("second", F.col("ts")).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    newest = per_sec.orderBy(F.col("sec").desc()).limit(points)
+    one = newest.agg(F.max("sec").alias("last"), F.map_from_entries(F.collect_list(F.struct("sec", "n"))).alias("counts"))
+    start = F.col("last") - F.make_interval(secs=F.lit(points - 1))
+    spine = one.where(F.col("last").isNotNull()).select("counts", F.posexplode(F.reverse(F.sequence(start, F.col("last"), F.expr("interval 1 second")))).alias("offset", "sec"))
+    return spine.select(F.col("offset").cast("long").alias("offset"), iso(F.col("sec")).alias("second"),
+                        F.coalesce(F.try_element_at("counts", F.col("sec")), F.lit(0)).cast("long").alias("n"))
 
 
 def recent_labels(entries: DataFrame, k: int = 500) -> DataFrame:
@@ -126,9 +124,14 @@ def stall_gaps(posts: DataFrame, threshold_seconds: int = 15) -> DataFrame:
     """ST4: silences of at least ``threshold_seconds`` between consecutive events.
 
     Inside one ``threshold``-wide bucket no such gap can exist, so only each occupied bucket's first and
-    last event matter: events are pre-aggregated to that bucket table before anything is ordered.
+    last event matter: events are pre-aggregated to that bucket table before anything is ordered. The levels above read the
+    buckets several times, so they are written once: the posts are read in one pass.
     """
-    return gaps_from_buckets(stall_buckets(posts, threshold_seconds), threshold_seconds)
+    spark = posts.sparkSession
+    path = scratch_path(spark, "stall-buckets")
+    buckets = stall_buckets(posts, threshold_seconds)
+    buckets.write.parquet(path)
+    return gaps_from_buckets(spark.read.schema(buckets.schema).parquet(path), threshold_seconds)
 
 
 def feed_report(posts: DataFrame, as_of: str, stale_seconds: int = 15) -> DataFrame:

@@ -18,10 +18,14 @@ from ..functions.urls import canonical_url, is_domain_url
 from ..operators import articles as art
 from ..operators import authors as auth
 from ..operators import categories as cat
+from ..operators import dimension_versions as dims
 from ..operators import extract, labels, merge, reports, sequence, taxonomy
+from ..operators.asof import asof_join
+from ..streaming.control import switched_intervals
 from ..session import scratch_path
 from ..sources import labels as label_store
 from ..sources import posts as src
+from ..sources.versions import VersionedTable
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
 
@@ -90,20 +94,34 @@ class Flow:
                                F.col("ts").alias("cts"), F.lit(None).cast("timestamp").alias("exp"),
                                F.lit(None).cast("binary").alias("sig"))
 
+    @cached_property
+    def stored_log(self) -> DataFrame:
+        """The numbered log as a table, for queries that read it several times."""
+        path = scratch_path(self.spark, "numbered-log")
+        self.label_log.write.parquet(path)
+        return self.spark.read.schema(self.label_log.schema).parquet(path)
+
     @cached_property
     def resent_log(self) -> DataFrame:
         """Second log slice, in order of ``seq``: ids divisible by 4 re-sent with ``neg`` flipped (1); ids divisible
         by 5 re-emitted above the environment's current maximum (2); of the former those divisible by 8 sent a third
-        time, not flipped (3); of the latter those divisible by 10 once more with another value (4)."""
-        log = self.label_log
-        top = sequence.max_sequence(log)
-        above = log.join(top, "environment").withColumn("shifted", F.col("id") + F.col("max_id"))
-        fresh = above.where(F.col("id") % 5 == 0)
-        return (log.where(F.col("id") % 4 == 0).withColumns({"neg": ~F.col("neg"), "seq": F.lit(1)})
-                .unionByName(fresh.withColumns({"id": F.col("shifted"), "seq": F.lit(2)}).select(*log.columns, "seq"))
-                .unionByName(log.where(F.col("id") % 8 == 0).withColumn("seq", F.lit(3)))
-                .unionByName(fresh.where(F.col("id") % 10 == 0).withColumns({"id": F.col("shifted"), "val": F.concat(F.lit("late-"), F.col("val")), "seq": F.lit(4)})
-                             .select(*log.columns, "seq")))
+        time, not flipped (3); of the latter those divisible by 10 once more with another value (4). One pass: a row is sent as
+        often as its id asks for."""
+        log = self.stored_log
+        sent = F.array_compact(F.array(*[F.when(F.col("id") % by == 0, F.lit(seq)) for seq, by in ((1, 4), (2, 5), (3, 8), (4, 10))]))
+        rows = log.join(sequence.max_sequence(log), "environment").select(*log.columns, "max_id", F.explode(sent).alias("seq"))
+        return rows.withColumns({"neg": F.col("neg") != (F.col("seq") == 1),
+                                 "id": F.col("id") + F.when(F.col("seq").isin(2, 4), F.col("max_id")).otherwise(0),
+                                 "val": F.when(F.col("seq") == 4, F.concat(F.lit("late-"), F.col("val"))).otherwise(F.col("val"))}).drop("max_id")
+
+    def dimension_of(self, articles: DataFrame) -> DataFrame:
+        """The label dimension of another state of the articles, with the authors that are active by it."""
+        active = auth.active_authors(articles, self.bridge, self.authors)
+        return art.label_dimension(articles, self.bridge, self.authors, art.active_slugs(active))
+
+    @cached_property
+    def revised_dimension(self) -> DataFrame:
+        return self.dimension_of(fx.revised_articles(self.articles))
 
 
 def _flow(spark, sf_dir) -> Flow:
@@ -212,6 +230,13 @@ def q_label_posts(spark, sf_dir):
     return _entries_out(_flow(spark, sf_dir).entries)
 
 
+def q_label_posts_versions(spark, sf_dir):
+    """J2/J5 as of the post's time: two states of the articles, the second from ``REVISED_AT`` on."""
+    f = _flow(spark, sf_dir)
+    versions = dims.dimension_versions([(None, f.dimension), (fx.REVISED_AT, f.revised_dimension)])
+    return _entries_out(labels.labelled_entries(dims.match_links_asof(f.links, versions)))
+
+
 def q_unmatched_links(spark, sf_dir):
     f = _flow(spark, sf_dir)
     u = art.unmatched_links(f.links, f.dimension)
@@ -235,12 +260,23 @@ def q_latest_label(spark, sf_dir):
 
 def q_label_upsert(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    return _log_out(merge.upsert(f.label_log, f.resent_log, ["environment", "id"], "seq"))
+    return _log_out(merge.upsert(f.stored_log, f.resent_log, ["environment", "id"], "seq"))
+
+
+def q_label_upsert_stored(spark, sf_dir):
+    """S5 on storage: the log merged into a table, then the second slice, one environment at a time."""
+    f = _flow(spark, sf_dir)
+    log = f.stored_log
+    table = VersionedTable(spark, scratch_path(spark, "stored-log"), log.schema)
+    table.merge(log.withColumn("seq", F.lit(0)), ["environment", "id"], "seq")
+    for environment in fx.ENVIRONMENTS:
+        table.merge(f.resent_log.where(F.col("environment") == environment), ["environment", "id"], "seq")
+    return _log_out(table.read())
 
 
 def q_label_insert_ignore(spark, sf_dir):
     f = _flow(spark, sf_dir)
-    return _log_out(merge.insert_ignore(f.label_log, f.resent_log, ["environment", "id"], "seq"))
+    return _log_out(merge.insert_ignore(f.stored_log, f.resent_log, ["environment", "id"], "seq"))
 
 
 def q_label_env_scan(spark, sf_dir):
@@ -258,12 +294,18 @@ def q_sequence_pad(spark, sf_dir):
     return sequence.pad_sequence(maxes, cursors)
 
 
+#: Ids of a block in the replayed fixture, whose logs are short.
+REPLAY_BLOCK = 256
+
+
 def q_replay_from_cursor(spark, sf_dir):
-    f = _flow(spark, sf_dir)
-    cursors = sequence.effective_cursors(fx.cursor_requests(spark, sf_dir, sequence.max_sequence(f.label_log)),
-                                         pick="min")
-    replay = sequence.replay_from_cursor(f.label_log, cursors)
-    return replay.select("environment", "id", "uri", "val").orderBy("environment", "id")
+    """The log is stored by environment and block of ids; each subscriber's cursor opens the blocks behind it."""
+    path = scratch_path(spark, "replay-log")
+    label_store.write_blocks(_flow(spark, sf_dir).label_log, path, REPLAY_BLOCK)
+    log = spark.read.parquet(path)
+    requests = fx.cursor_requests(spark, sf_dir, sequence.max_sequence(log))
+    oldest = {r["environment"]: r["cursor"] for r in sequence.effective_cursors(requests, pick="min").collect()}  # a row per environment
+    return label_store.read_after(spark, path, oldest, REPLAY_BLOCK).select("environment", "id", "uri", "val").orderBy("environment", "id")
 
 
 # ---------------------------------------------------------------- reports
@@ -337,6 +379,18 @@ def q_settings_lookup(spark, sf_dir):
                                      "true")
 
 
+def q_feed_intervals(spark, sf_dir):
+    """ST5 over the settings history: the stretches in which each environment's feed was on or off, and the posts processed in them."""
+    switched = switched_intervals(fx.settings_history(spark, sf_dir))
+    posts = _flow(spark, sf_dir).posts.select(fx.environment_of(F.col("author_did")).alias("environment"), "ts")
+    # a stretch without a time is that of the beginning
+    dated = switched.select("environment", F.coalesce("since", F.timestamp_seconds(F.lit(0))).alias("since"), F.col("since").isNull().alias("first"), "enabled")
+    met = asof_join(posts, dated, "environment", "ts", "since")
+    counts = met.groupBy("environment", F.col("found.since").alias("since")).agg(F.count(F.lit(1)).alias("n"))
+    joined = dated.join(counts, ["environment", "since"], "left")
+    return joined.select("environment", F.when(~F.col("first"), ISO(F.col("since"))).alias("since"), "enabled", F.coalesce("n", F.lit(0)).cast("long").alias("n_posts"))
+
+
 QUERIES = {
     "firehose_parse": q_firehose_parse,
     "commit_filter": q_commit_filter,
@@ -354,6 +408,9 @@ QUERIES = {
     "latest_label": q_latest_label,
     "label_upsert": q_label_upsert,
     "label_insert_ignore": q_label_insert_ignore,
+    "label_upsert_stored": q_label_upsert_stored,
+    "label_posts_versions": q_label_posts_versions,
+    "feed_intervals": q_feed_intervals,
     "label_env_scan": q_label_env_scan,
     "sequence_pad": q_sequence_pad,
     "replay_from_cursor": q_replay_from_cursor,

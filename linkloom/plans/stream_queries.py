@@ -9,39 +9,131 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reports
+from ..operators.dimension_versions import DimensionStore
 from ..session import scratch_path
+from ..sources.labels import save_setting
+from ..sources.replay import label_replay
+from ..streaming import control
 from ..streaming import label_stream as ls
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
 
 
 SLICES = 3
+ROWS_PER_FILE = 5_000
+#: Cursors of the subscribers to the stored log.
+REPLAY_CURSORS = {"development": 25, "production": 40}
 
 
-def _topic(spark: SparkSession, sf_dir: str, in_order: bool = True) -> tuple[str, DataFrame]:
-    """The messages as ``SLICES`` files in event-time order, one micro-batch each; ``in_order=False`` lets the oldest arrive last,
-    and cuts the others by id, so that late and out-of-order messages are in every batch."""
-    root = scratch_path(spark, "stream")
-    events = fx.read(spark, sf_dir, "events")
+def _slices(spark: SparkSession, sf_dir: str, in_order: bool = True) -> tuple[list[DataFrame], int]:
+    """The events of each slice, and how many files a slice has: by the number of events."""
+    events = fx.read(spark, sf_dir, "events", parallel=True)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.select(us.cast("double").alias("us")).approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01)
     by_time = sum(((F.coalesce(us, F.lit(0)) >= c).cast("int") for c in cuts), F.lit(0))
     part = by_time if in_order else F.when(by_time == 0, F.lit(SLICES - 1)).otherwise(F.col("event_id") % (SLICES - 1))
-    for k in range(SLICES):
-        fx.post_lines(spark, sf_dir, events.where(part == k)).coalesce(1).write.mode("overwrite").text(f"{root}/topic/slice{k}")
-    return root, ls.message_stream(spark, f"{root}/topic/*", max_files_per_trigger=1)
+    files = max(1, -(-events.count() // (SLICES * ROWS_PER_FILE)))
+    return [events.where(part == k) for k in range(SLICES)], files
+
+
+def _write_slice(spark: SparkSession, sf_dir: str, root: str, k: int, events: DataFrame, files: int) -> None:
+    fx.post_lines(spark, sf_dir, events).repartition(files).write.mode("overwrite").text(f"{root}/topic/slice{k}")
+
+
+def _topic(spark: SparkSession, sf_dir: str, in_order: bool = True) -> tuple[str, DataFrame]:
+    """The messages as ``SLICES`` folders in event-time order, one micro-batch each, of as many files as their size asks for; ``in_order=False`` lets
+    the oldest arrive last, and cuts the others by id, so that late and out-of-order messages are in every batch."""
+    root = scratch_path(spark, "stream")
+    slices, files = _slices(spark, sf_dir, in_order)
+    for k, events in enumerate(slices):
+        _write_slice(spark, sf_dir, root, k, events, files)
+    return root, ls.message_stream(spark, f"{root}/topic/*", max_files_per_trigger=files)
+
+
+def _sink(root: str) -> ls.LabelSink:
+    return ls.LabelSink(log_path=f"{root}/log", entries_path=f"{root}/entries", marks_path=f"{root}/marks",
+                        recent_path=f"{root}/recent", environment_of=fx.environment_of, src_did=LABELER_DID)
 
 
 def _run_labels(spark: SparkSession, sf_dir: str) -> tuple[str, ls.LabelSink]:
     from .queries import Flow
     root, lines = _topic(spark, sf_dir)
-    sink = ls.LabelSink(log_path=f"{root}/log", entries_path=f"{root}/entries", marks_path=f"{root}/marks",
-                        recent_path=f"{root}/recent", environment_of=fx.environment_of, src_did=LABELER_DID)
+    sink = _sink(root)
     q = ls.start_label_stream(lines, Flow(spark, sf_dir).dimension, DOMAIN, sink, checkpoint=f"{root}/_checkpoint")
     q.awaitTermination()
     return root, sink
 
 
+def q_label_posts_versions_stream(spark, sf_dir):
+    """J2/J5 in a running stream: the revised articles are added to the store while it runs, behind its first batch."""
+    from .queries import Flow, _entries_out
+    root, lines = _topic(spark, sf_dir)
+    flow, sink, store = Flow(spark, sf_dir), _sink(root), DimensionStore(spark, f"{root}/articles")
+    store.add(None, flow.dimension)
+    whole = ls.LineSink(DOMAIN, sink, store)
+
+    def write(batch, batch_id):
+        whole(batch, batch_id)
+        if batch_id == 0:
+            store.add(fx.REVISED_AT, flow.revised_dimension)
+
+    (lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return _entries_out(spark.read.parquet(sink.entries_path).drop("batch_id"))
+
+
+def q_label_posts_switched_stream(spark, sf_dir):
+    """ST5: the flag is switched off while the second batch is written; the stream stops behind it, waits, is switched on and goes on from its
+    checkpoint: nothing is lost, nothing is there twice."""
+    from .queries import Flow, _entries_out
+    root, lines = _topic(spark, sf_dir)
+    sink, settings, environment = _sink(root), f"{root}/settings", "production"
+    whole = ls.LineSink(DOMAIN, sink, Flow(spark, sf_dir).dimension)
+    switch = control.Switch(spark, settings, environment)
+
+    def write(batch, batch_id):
+        whole(batch, batch_id)
+        if batch_id == 1:
+            save_setting(spark, settings, environment, switch.key, "false")
+
+    def on_change(state):
+        if state == control.PAUSED:
+            save_setting(spark, settings, environment, switch.key, "true")
+
+    def start():
+        return (lines.writeStream.foreachBatch(control.Gate(write, switch)).option("checkpointLocation", f"{root}/_checkpoint")
+                .trigger(availableNow=True).start())
+
+    control.run_feed(start, switch, f"{root}/_checkpoint", control.FeedStates(spark, f"{root}/states", environment), poll_seconds=0.2, on_change=on_change)
+    return _entries_out(spark.read.parquet(sink.entries_path).drop("batch_id"))
+
+
+def q_replay_stream(spark, sf_dir):
+    """U3/ST6: subscribers of two environments, each from its cursor: the snapshot after the first slice, and after a restart the changes."""
+    from .queries import Flow
+    root, sink = scratch_path(spark, "replay"), None
+    slices, files = _slices(spark, sf_dir)
+    dimension, sink = Flow(spark, sf_dir).dimension, _sink(root)
+    spark.dataSource.register(label_replay())
+
+    def labels(names):
+        for k in names:
+            _write_slice(spark, sf_dir, root, k, slices[k], files)
+        lines = ls.message_stream(spark, f"{root}/topic/*", max_files_per_trigger=files)
+        ls.start_label_stream(lines, dimension, DOMAIN, sink, checkpoint=f"{root}/_checkpoint").awaitTermination()
+
+    def subscribers():
+        for environment, cursor in REPLAY_CURSORS.items():
+            log = (spark.readStream.format("label_replay").options(log=sink.log_path, marks=sink.marks_path, environment=environment, cursor=str(cursor)).load())
+            (log.writeStream.format("parquet").option("path", f"{root}/given/{environment}").option("checkpointLocation", f"{root}/_given/{environment}")
+             .trigger(availableNow=True).start().awaitTermination())
+
+    for names in ([0], [1, 2]):
+        labels(names)
+        subscribers()
+    given = [spark.read.parquet(f"{root}/given/{environment}") for environment in REPLAY_CURSORS]
+    return given[0].unionByName(given[1]).select("environment", "id", "uri", "val")
+
+
 def q_label_posts_stream(spark, sf_dir):
     from .queries import _entries_out
     _, sink = _run_labels(spark, sf_dir)
@@ -139,6 +231,9 @@ STREAM_QUERIES = {
     "dead_letters_stream": q_dead_letters_stream,
     "unmatched_links_stream": q_unmatched_links_stream,
     "label_sequence_stream": q_label_sequence_stream,
+    "label_posts_versions_stream": q_label_posts_versions_stream,
+    "label_posts_switched_stream": q_label_posts_switched_stream,
+    "replay_stream": q_replay_stream,
     "stream_counters_stream": q_stream_counters_stream,
     "throughput_1s_stream": q_throughput_1s_stream,
 }
@@ -150,6 +245,8 @@ ORACLE_TWINS = {
     "recent_labels_stream": "recent_labels",
     "unmatched_links_stream": "unmatched_links",
     "label_sequence_stream": "label_sequence",
+    "label_posts_versions_stream": "label_posts_versions",
+    "label_posts_switched_stream": "label_posts",
     "stream_counters_stream": "stream_counters",
     "throughput_1s_stream": "throughput_1s",
 }
