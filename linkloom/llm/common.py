@@ -67,6 +67,15 @@ def small_batches(spark: SparkSession, rows: int = 500):  # noqa: ANN201
         spark.conf.set(key, before)
 
 
+def limit_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """From now on, this session hands at most ``size`` bytes at a time to Python workers. Spark's default of 64 MB is held several times over, on
+    both sides of the pipe and in each of an executor's tasks, and a worker keeps what it once took. For jobs whose plan is made later
+    than the operator's call, where ``small_batches`` would have ended by then."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver collect garbage now: shuffle files of finished steps go with the plans that made them, instead
     of at the cleaner's next half-hourly round."""
