@@ -32,7 +32,8 @@ def dimension_versions(snapshots: list[tuple[str | None, DataFrame]]) -> DataFra
     """From snapshots (since, dimension) in order of time, where only the first may have no ``since`` (it holds from the beginning): the
     dimension's columns with valid_from (null: from the beginning) and valid_to (null: until further notice)."""
     times = [since for since, _ in snapshots]
-    if any(t is None for t in times[1:]) or times[1:] != sorted(times[1:]) or len(set(times)) != len(times):
+    dated = times[1:] if times[0] is None else times
+    if None in dated or any(a >= b for a, b in zip(dated, dated[1:])):
         raise ValueError("snapshots must be in order of time")
     held = [d.select(*COLUMNS).withColumns({"snapshot": F.lit(k), "valid_from": _stamp(since), "valid_to": _stamp(times[k + 1] if k + 1 < len(times) else None)})
             for k, (since, d) in enumerate(snapshots)]

@@ -31,6 +31,13 @@ def with_block(log: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     return log.withColumn("block", block_of(F.col("id"), block_ids))
 
 
+def in_blocks(spark: SparkSession, path: str) -> bool:
+    """Whether a log of batches is stored by blocks (a new one is; logs of old may have folders by environment only, and go on so)."""
+    batch = next((n for n in list_names(spark, path) if n.startswith("batch_id=")), None)
+    environment = next((n for n in list_names(spark, f"{path}/{batch}") if n.startswith("environment=")), None) if batch else None
+    return environment is None or any(n.startswith("block=") for n in list_names(spark, f"{path}/{batch}/{environment}"))
+
+
 def write_blocks(log: DataFrame, path: str, block_ids: int = BLOCK_IDS, mode: str = "overwrite") -> None:
     """Store the log in folders by environment and block of ids."""
     with_block(log, block_ids).write.mode(mode).partitionBy("environment", "block").parquet(path)

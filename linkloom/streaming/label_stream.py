@@ -26,7 +26,7 @@ from ..operators.dimension_versions import DimensionStore, match_links_asof
 from ..schemas import POST_COLLECTION
 from ..session import drop_path, drop_scratch, exclusive, path_exists, scratch_path
 from ..sources import posts as src
-from ..sources.labels import BLOCK_IDS, with_block
+from ..sources.labels import BLOCK_IDS, in_blocks, with_block
 from .control import Gate, Switch
 from .padding import PAD_MARK, pad_marks
 
@@ -104,7 +104,8 @@ class LabelSink:
                               F.col("ts").alias("cts"), F.lit(None).cast("timestamp").alias("exp"),
                               F.lit(None).cast("binary").alias("sig"))
         log_path = f"{self.log_path}/batch_id={batch_id}"
-        with_block(log, self.block_ids).write.mode("overwrite").partitionBy("environment", "block").parquet(log_path)
+        folders = ["environment", "block"] if in_blocks(spark, self.log_path) else ["environment"]
+        with_block(log, self.block_ids).select(*log.columns, *folders[1:]).write.mode("overwrite").partitionBy(*folders).parquet(log_path)
         drop_scratch(spark, scratch)
         entries.coalesce(files).write.mode("overwrite").parquet(f"{self.entries_path}/batch_id={batch_id}")
         # cumulative high-water mark: this batch's maxima carried together with everything before it

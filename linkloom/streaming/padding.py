@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sequence
 from ..session import exclusive, list_names, path_exists, publish
-from ..sources.labels import BLOCK_IDS, read_log, with_block
+from ..sources.labels import BLOCK_IDS, in_blocks, read_log, with_block
 
 PAD_MARK = "environment string, from_id long, max_id long"
 MARK = "environment string, max_id long"
@@ -76,7 +76,9 @@ def _fill(spark: SparkSession, log_path: str, marks_path: str, environment: str,
         "environment", "id", F.lit(did or sequence.PAD_DID).alias("src"), "uri", F.lit(None).cast("string").alias("cid"),
         "val", "neg", F.current_timestamp().alias("cts"), F.lit(None).cast("timestamp").alias("exp"), F.lit(None).cast("binary").alias("sig"))
     # only this environment's partitions of the folder are replaced: others may have been padded to the same cursor
-    (with_block(pads, block_ids).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("environment", "block")
+    folders = ["environment", "block"] if in_blocks(spark, log_path) else ["environment"]
+    rows = with_block(pads, block_ids).select(*pads.columns, *folders[1:])
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders)
      .parquet(f"{log_path}/batch_id={-cursor}"))
     step("written")
     publish(spark, _closed(spark, marks_path, environment, cursor), "")
