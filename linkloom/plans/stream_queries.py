@@ -13,8 +13,11 @@ from ..operators.dimension_versions import DimensionStore
 from ..session import scratch_path
 from ..sources.labels import save_setting
 from ..sources.replay import label_replay
+from ..sources import posts as src
 from ..streaming import control
 from ..streaming import label_stream as ls
+from ..streaming.leases import IdLeases, LeasedLogSink
+from ..streaming.stalls import GAP, stall_alarms
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
 
@@ -134,6 +137,42 @@ def q_replay_stream(spark, sf_dir):
     return given[0].unionByName(given[1]).select("environment", "id", "uri", "val")
 
 
+def q_label_sequence_leased(spark, sf_dir):
+    """Two streams label different slices into one log at a time, with leased ids. Which writer gets which range is chance; per
+    environment the ids are 1 to n and the labels are all there."""
+    from .queries import Flow
+    root = scratch_path(spark, "leased")
+    slices, files = _slices(spark, sf_dir)
+    for k, events in enumerate(slices):
+        _write_slice(spark, sf_dir, f"{root}/{'first' if k % 2 else 'second'}", k, events, files)
+    dimension, leases = Flow(spark, sf_dir).dimension, IdLeases(spark, f"{root}/leases")
+    running = []
+    for writer in ("first", "second"):
+        lines = ls.message_stream(spark, f"{root}/{writer}/topic/*", max_files_per_trigger=files)
+        sink = LeasedLogSink(leases, writer, fx.environment_of, src_did=LABELER_DID)
+        running.append(ls.labelled_stream(lines, dimension, DOMAIN).writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/_{writer}")
+                       .trigger(availableNow=True).start())
+    for query in running:
+        query.awaitTermination()
+    log = leases.visible()
+    ids = log.groupBy("environment").agg(F.countDistinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return log.groupBy("environment", "val").agg(F.count(F.lit(1)).alias("n_labels")).join(ids, "environment")
+
+
+#: Gaps up to here are behind the last watermark at every scale.
+STALLS_UNTIL = "2024-01-29 00:00:00"
+
+
+def q_stall_alarms_stream(spark, sf_dir):
+    """ST4 as it happens: the gaps of each environment's feed, by a keyed state with event-time timers."""
+    root, lines = _topic(spark, sf_dir)
+    found = stall_alarms(src.commit_posts(src.parse_messages(lines)), fx.environment_of(F.col("author_did")), watermark="0 seconds")
+    (found.writeStream.format("parquet").option("path", f"{root}/stalls").option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True)
+     .start().awaitTermination())
+    gaps = spark.read.schema(found.schema).parquet(f"{root}/stalls").where((F.col("kind") == GAP) & (F.col("until") < F.lit(STALLS_UNTIL).cast("timestamp")))
+    return gaps.select("feed", reports.iso(F.col("since")).alias("gap_start"), reports.iso(F.col("until")).alias("gap_end"), F.col("seconds").alias("gap_seconds"))
+
+
 def q_label_posts_stream(spark, sf_dir):
     from .queries import _entries_out
     _, sink = _run_labels(spark, sf_dir)
@@ -234,6 +273,8 @@ STREAM_QUERIES = {
     "label_posts_versions_stream": q_label_posts_versions_stream,
     "label_posts_switched_stream": q_label_posts_switched_stream,
     "replay_stream": q_replay_stream,
+    "label_sequence_leased": q_label_sequence_leased,
+    "stall_alarms_stream": q_stall_alarms_stream,
     "stream_counters_stream": q_stream_counters_stream,
     "throughput_1s_stream": q_throughput_1s_stream,
 }

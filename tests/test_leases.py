@@ -1,0 +1,118 @@
+"""Several writers of one label log: ids each once and without gaps, whoever is slow, dies or comes back."""
+
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.operators.sequence import PAD_VALUE
+from linkloom.streaming.leases import IdLeases, LeasedLogSink, LeaseLost
+
+ENTRIES = "uri string, author_did string, text string, ts timestamp, url_ord int, url string, article_id long, title string, labels array<string>, entry_id string"
+
+
+class Crash(Exception):
+    pass
+
+
+class Clock:
+    now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+
+def _batch(spark, name, size, environments=("dev", "prod")):
+    rows = [(f"at://{e}/{name}/{i}", f"{e}1", "t", None, 0, "u", 1, "x", ["news", "us"], f"{name}{i}") for e in environments for i in range(size)]
+    return spark.createDataFrame(rows, ENTRIES).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+
+
+def _sink(leases, writer, step=lambda name: None):
+    return LeasedLogSink(leases, writer, lambda did: F.regexp_extract(did, "^[a-z]+", 0), block_ids=10, step=step)
+
+
+def _ids(leases, environment):
+    return sorted(r.id for r in leases.visible().where(F.col("environment") == environment).collect())
+
+
+def _crash_at(name):
+    def step(at):
+        if at == name:
+            raise Crash
+    return step
+
+
+def test_two_writers_at_a_time(spark, tmp_path):
+    leases = IdLeases(spark, str(tmp_path / "log"))
+    errors = []
+
+    def work(writer):
+        try:
+            sink = _sink(IdLeases(spark, leases.path), writer)
+            for number in range(4):
+                sink(_batch(spark, f"{writer}{number}", number + (writer == "b")), number)
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    n = 2 * (0 + 1 + 2 + 3) + 2 * (1 + 2 + 3 + 4)
+    for environment in ("dev", "prod"):
+        assert _ids(leases, environment) == list(range(1, n + 1))
+    rows = leases.visible().select("uri", "val").collect()
+    assert len(rows) == len(set(rows)) == 2 * n
+
+
+@pytest.mark.parametrize("at", ["counted", "allocated", "written", "settled"])
+def test_a_replayed_batch_keeps_its_ids(spark, tmp_path, at):
+    leases = IdLeases(spark, str(tmp_path / "log"))
+    _sink(leases, "a")(_batch(spark, "x", 2), 0)
+    with pytest.raises(Crash):
+        _sink(leases, "a", _crash_at(at))(_batch(spark, "y", 3), 1)
+    _sink(leases, "b")(_batch(spark, "z", 1, ("dev",)), 0)  # another writer goes on meanwhile
+    assert _ids(leases, "dev") == list(range(1, {"counted": 7, "settled": 13}.get(at, 5)))  # ids behind an open allocation wait
+    _sink(leases, "a")(_batch(spark, "y", 3), 1)
+    _sink(leases, "a")(_batch(spark, "y", 3), 1)
+    assert _ids(leases, "dev") == list(range(1, 13)) and _ids(leases, "prod") == list(range(1, 11))
+    assert leases.visible().select("uri", "val").distinct().count() == leases.visible().count()
+
+
+def test_a_dead_writers_ids_are_padded_once_its_lease_is_out(spark, tmp_path):
+    clock = Clock()
+    leases = IdLeases(spark, str(tmp_path / "log"), seconds=60, clock=clock)
+    with pytest.raises(Crash):
+        _sink(leases, "dead", _crash_at("written"))(_batch(spark, "x", 2), 0)
+    _sink(leases, "b")(_batch(spark, "y", 1), 0)
+    assert leases.expire(block_ids=10) == 0 and _ids(leases, "dev") == []
+    clock.now += 61
+    assert leases.expire(block_ids=10) == 1 and leases.expire(block_ids=10) == 0
+    assert _ids(leases, "dev") == list(range(1, 7)) and leases.visible().where(F.col("val") == PAD_VALUE).count() == 8
+    assert leases.visible().where("uri LIKE '%/x/%'").count() == 0
+    _sink(leases, "dead")(_batch(spark, "x", 2), 0)  # it comes back: with ids of its own
+    assert _ids(leases, "dev") == list(range(1, 11)) and leases.visible().where("uri LIKE '%/x/%'").count() == 8
+
+
+def test_a_slow_writer_is_told(spark, tmp_path):
+    clock = Clock()
+    leases = IdLeases(spark, str(tmp_path / "log"), seconds=60, clock=clock)
+
+    def step(at):
+        if at == "written":
+            clock.now += 61
+            leases.expire(block_ids=10)
+
+    with pytest.raises(LeaseLost):
+        _sink(leases, "slow", step)(_batch(spark, "x", 2), 0)
+    _sink(leases, "slow")(_batch(spark, "x", 2), 0)
+    assert _ids(leases, "dev") == list(range(1, 9)) and leases.visible().where("uri LIKE '%/x/%'").count() == 8
+
+
+def test_empty_batches_and_logs(spark, tmp_path):
+    leases = IdLeases(spark, str(tmp_path / "log"))
+    assert leases.visible().count() == 0 and leases.open() == []
+    _sink(leases, "a")(_batch(spark, "x", 0), 0)
+    assert leases._numbers("allocations") == []
