@@ -62,12 +62,6 @@ def test_rows_go_by_their_texts_whatever_the_size_of_the_model(spark):
         assert sorted(((r.doc_id, r.text) for r in toxicity.clean(more, y, broadcast_words=bound).collect()), key=str) == want
 
 
-def test_counts_against_brute_force(spark):
-    texts = [(0, "a b a b c"), (1, "a a B"), (0, "b"), (1, None), (0, "a b a b c")]
-    got = {r.w: (r.n0, r.n1, r.c0, r.c1) for r in toxicity.count_words(spark.createDataFrame(texts, "y int, text string")).collect()}
-    assert got == {"a": (4, 2, 2, 2), "b": (5, 1, 2, 1), "c": (2, 0, 1, 0)}
-
-
 def test_copies_lend_no_weight(spark):
     """A word of one toxic text that is copied often has few contexts, and stays with the shared backoff."""
     docs, labels = _corpus(300)
@@ -75,7 +69,7 @@ def test_copies_lend_no_weight(spark):
     labels += [(5000 + i, 1) for i in range(60)]
     d, y = _tables(spark, docs, labels)
     known = toxicity.training_labels(y, "doc_id", "toxic")
-    model = toxicity.expressions(toxicity.count_words(d.join(known, d.doc_id == known.label_id)))
+    model = toxicity.expressions(toxicity.count_texts(d.join(known, d.doc_id == known.label_id).select("y", "text")))
     assert "qwertyuiop" not in {r.w for r in model.collect()}
 
 
