@@ -14,9 +14,10 @@ from ..session import scratch_path
 from ..sources.labels import save_setting
 from ..sources.replay import label_replay
 from ..sources import posts as src
-from ..streaming import control
+from ..streaming import control, latest
 from ..streaming import label_stream as ls
-from ..streaming.leases import IdLeases, LeasedLogSink
+from ..streaming.leases import LOG, IdLeases, LeasedLogSink
+from ..streaming.live_series import live_series
 from ..streaming.stalls import GAP, stall_alarms
 from . import fixtures as fx
 from .fixtures import DOMAIN, LABELER_DID
@@ -173,6 +174,28 @@ def q_stall_alarms_stream(spark, sf_dir):
     return gaps.select("feed", reports.iso(F.col("since")).alias("gap_start"), reports.iso(F.col("until")).alias("gap_end"), F.col("seconds").alias("gap_seconds"))
 
 
+def q_throughput_last40_stream(spark, sf_dir):
+    """A9 as the seconds pass: of every tick of each environment's feed its count, the sum of its last 40 and where they lie."""
+    root, lines = _topic(spark, sf_dir)
+    found = live_series(src.commit_posts(src.parse_messages(lines)), fx.environment_of(F.col("author_did")), watermark="0 seconds")
+    (found.writeStream.format("parquet").option("path", f"{root}/ticks").option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True)
+     .start().awaitTermination())
+    ticks = spark.read.schema(found.schema).parquet(f"{root}/ticks").where(F.col("tick") < F.lit(STALLS_UNTIL).cast("timestamp"))
+    moment = F.aggregate(F.transform("series", lambda n, k: n * k), F.lit(0).cast("long"), lambda a, b: a + b)
+    return ticks.select("feed", reports.iso(F.col("tick")).alias("tick"), "n", F.aggregate("series", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_last40"), moment.alias("offsets_sum"))
+
+
+def q_latest_label_stream(spark, sf_dir):
+    """A6 kept up by a stream over the label log."""
+    root, sink = _run_labels(spark, sf_dir)
+    log = spark.readStream.schema(f"{LOG}, batch_id long, block long").option("maxFilesPerTrigger", "4").parquet(sink.log_path)
+    table = latest.latest_table(spark, f"{root}/latest")
+    # a slice spans ten days, and its files come in any order
+    latest.start_latest_stream(log.drop("batch_id", "block"), table, f"{root}/_latest", watermark="15 days").awaitTermination()
+    found = latest.read_latest(table)
+    return found.select("environment", "uri", "val", "latest_id", reports.iso(F.col("latest_cts")).alias("latest_cts"), F.col("n_emitted").cast("long").alias("n_emitted"))
+
+
 def q_label_posts_stream(spark, sf_dir):
     from .queries import _entries_out
     _, sink = _run_labels(spark, sf_dir)
@@ -275,6 +298,8 @@ STREAM_QUERIES = {
     "replay_stream": q_replay_stream,
     "label_sequence_leased": q_label_sequence_leased,
     "stall_alarms_stream": q_stall_alarms_stream,
+    "throughput_last40_stream": q_throughput_last40_stream,
+    "latest_label_stream": q_latest_label_stream,
     "stream_counters_stream": q_stream_counters_stream,
     "throughput_1s_stream": q_throughput_1s_stream,
 }
@@ -287,6 +312,7 @@ ORACLE_TWINS = {
     "unmatched_links_stream": "unmatched_links",
     "label_sequence_stream": "label_sequence",
     "label_posts_versions_stream": "label_posts_versions",
+    "latest_label_stream": "latest_label",
     "label_posts_switched_stream": "label_posts",
     "stream_counters_stream": "stream_counters",
     "throughput_1s_stream": "throughput_1s",
