@@ -13,11 +13,12 @@ whole-stage codegen. The rules follow the WHATWG URL parser for the cases that o
 * a domain host is percent-decoded before it is checked (``ex%61mple.com`` is ``example.com``); a
   malformed escape or invalid UTF-8 makes the URL invalid; compatibility characters that map onto one
   ASCII host character (fullwidth letters, ideographic full stops, …) are mapped, as domain-to-ASCII does;
-* a host ending in a number must be a dotted-quad IPv4 address; IP hosts (v4 and v6) keep no ``www.``
-  prefix (the hostname setter rejects ``www.`` + an address).
+* other labels with letters beyond ASCII are lower-cased and take their ``xn--`` form (``functions/hosts.py``);
+* a host ending in a number is an IPv4 address of one to four decimal, octal or hexadecimal numbers, or invalid; IP hosts
+  (v4 and v6) keep no ``www.`` prefix (the hostname setter rejects ``www.`` + an address).
 
-Not modelled (documented in README): punycode of other non-ASCII hosts and multi-character mappings, the
-hex/octal/short IPv4 spellings (treated as invalid), and ``file:`` URLs.
+Not modelled (documented in README): composition of separate accents and mappings to several characters
+before the ``xn--`` form, the check of labels that come as ``xn--``, and ``file:`` URLs.
 
 The parser is generated as one Spark SQL expression (a chain of ``transform`` steps over an array of
 structs): each field is computed once and later steps reference it cheaply, and the whole expression is
@@ -33,6 +34,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import IGNORED, ascii_host_sql, ipv4_parts_sql, ipv4_sql
+
 # JavaScript whitespace (the set used by String.prototype.trim and by RegExp \s),
 # written in the \x{...} form that both Java regex and RE2 accept.
 JS_SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -45,7 +48,7 @@ HOST_OK_RE = r"^(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#%/:<>?@\[\\\]^|\x7F]+)$"
 IPV6_RE = r"^\[[0-9A-Fa-f:.]+\]$"
 # forbidden domain code points (checked after percent-decoding the host)
 DOMAIN_OK_RE = r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7F]+$"
-# a host whose last label is a number is an IPv4 address (dotted-quad decimal here) or invalid
+# a host whose last label is a number is an IPv4 address or invalid
 ENDS_IN_NUMBER_RE = r"(^|\.)(0[xX][0-9A-Fa-f]*|[0-9]+)\.?$"
 IPV4_RE = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 # Characters that never need percent-encoding in a path (printable ASCII minus the path encode set).
@@ -139,6 +142,14 @@ def parse_urls_sql(arr: str) -> str:
                host_dec=("translate(CASE WHEN instr(x.host_raw, '%') > 0 "
                          "THEN try_url_decode(replace(x.host_raw, '+', '%2B')) ELSE x.host_raw END, "
                          f"{raw(host_ascii_table()[0])}, {raw(host_ascii_table()[1])})"))
+    # international labels in their ASCII form; a host that ends in a number as the address it spells
+    kept = ["raw", "scheme", "path", "userinfo", "host_raw", "port_raw", "port_digits"]
+    spaced = r"'[\p{Z}\p{C}&&[^\x00-\x7F]]'"
+    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE {raw(r'^[\x00-\x7F]*$')} THEN x.host_dec ELSE regexp_replace(lower(x.host_dec), {raw(IGNORED)}, '') END")
+    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE r{spaced} THEN CAST(NULL AS STRING) ELSE {ascii_host_sql('x.host_dec')} END")
+    numeric = f"x.host_dec RLIKE {raw(ENDS_IN_NUMBER_RE)}"
+    a = _stage(a, [*kept, "host_dec"], v4=f"CASE WHEN {numeric} THEN {ipv4_parts_sql('x.host_dec')} END")
+    a = _stage(a, kept, host_dec=f"CASE WHEN x.v4 IS NOT NULL THEN {ipv4_sql('x.v4')} ELSE x.host_dec END")
     small = "coalesce(try_cast(nullif(x.port_digits, '') AS INT), 0) <= 65535"
     port_ok = (f"(x.port_raw = '' OR (x.port_raw RLIKE {raw('^[0-9]+$')} AND length(x.port_digits) <= 5 "
                f"AND {small}))")
@@ -146,8 +157,7 @@ def parse_urls_sql(arr: str) -> str:
     ipv6 = f"startswith(x.host_raw, '[')"
     host_ok = (f"CASE WHEN {ipv6} THEN x.host_raw RLIKE {raw(IPV6_RE)} "
                f"ELSE x.host_dec IS NOT NULL AND x.host_dec != '' AND x.host_dec RLIKE {raw(DOMAIN_OK_RE)} "
-               f"AND instr(x.host_dec, '\uFFFD') = 0 "
-               f"AND (NOT x.host_dec RLIKE {raw(ENDS_IN_NUMBER_RE)} OR x.host_dec RLIKE {raw(IPV4_RE)}) END")
+               f"AND instr(x.host_dec, '\uFFFD') = 0 END")
     valid = f"coalesce(x.scheme IN ({special}) AND {host_ok} AND {port_ok}, false)"
     port = ("CASE WHEN x.port_raw = '' THEN CAST(NULL AS INT) WHEN x.port_digits = '' THEN 0 "
             "ELSE try_cast(x.port_digits AS INT) END")
