@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -45,6 +46,65 @@ def test_limits_follow_language_and_source(spark):
     assert got[1000].broken == "symbol_share_max" and "upper_share_max" in got[2000].broken
 
 
+def _verdicts(rows):
+    """The rules said again: rows (id, text, lang, source) to the broken limits of every id."""
+    gamma, shares = (1 + quality.ACCURACY) / (1 - quality.ACCURACY), {}
+    sound = []
+    for i, text, lang, source in rows:
+        words, chars, symbols, dups, repeats, lines, upper, marks = quality.measure_text(text or "")
+        shares[i] = dict(zip(quality.MEASURES, (symbols / max(chars, 1), dups / max(lines, 1), repeats / max(words, 1), upper / max(chars, 1), marks / max(words, 1), (chars - symbols) / max(words, 1))))
+        if words >= 10 and 100 * repeats <= 20 * words:
+            sound.append((i, lang, source))
+
+    def rounded(v):
+        return 2 * gamma ** math.ceil(math.log(v) / math.log(gamma)) / (gamma + 1) if v > 0 else 0.0
+
+    def limits(ids, m):
+        low, high, factor = quality.MEASURES[m]
+        v = sorted(rounded(shares[i][m]) for i in ids)
+        if not v:
+            return None
+        at = lambda v, q: v[max(math.ceil(q * len(v)) - 1, 0)]
+        tail = [x for x in v if x > 0]
+        up = max(quality.FLOORS[m], factor * (at(v, high) - at(v, 0.5)), 0.5 * at(tail, quality.TAIL) if tail and at(v, high) == 0 else 0)
+        return len(v), at(v, 0.5), up, max(quality.FLOORS[m], factor * (at(v, 0.5) - at(v, low))) if low else None
+
+    def drawn(own, to):
+        if own is None:
+            return to
+        w = own[0] / (own[0] + quality.DRAWN)
+        return own[0], w * own[1] + (1 - w) * to[1], *(None if x is None else x ** w * y ** (1 - w) for x, y in zip(own[2:], to[2:]))
+
+    out = {}
+    for i, text, lang, source in rows:
+        broken = set()
+        for m in quality.MEASURES:
+            every, ofl, own = ([j for j, a, b in sound if test(a, b)] for test in (lambda a, b: True, lambda a, b: a == lang, lambda a, b: (a, b) == (lang, source)))
+            _, mid, up, down = drawn(limits(own, m), drawn(limits(ofl, m), limits(every, m)))
+            broken |= {f"{m}_max"} if shares[i][m] > mid + up else set()
+            broken |= {f"{m}_min"} if down is not None and shares[i][m] < mid - down else set()
+        out[i] = broken
+    return out
+
+
+def test_verdicts_equal_the_rules_said_again(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    # groups of one, groups without a sound document, null keys
+    rows += [(9000, "word " * 9, "xx", "s"), (9001, "one two three four five six seven eight nine ten", None, None), (9002, "$ " * 40, "yy", None), (9003, None, None, "s")]
+    got = quality.adaptive_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3))
+    want = _verdicts(rows)
+    for r in got.collect():
+        assert set(filter(None, r.broken.split(","))) == want[r.doc_id] and r.kept == (not r.base_failed and not want[r.doc_id])
+
+
+def test_sketches_merge_and_rerun_alike(spark):
+    values = spark.range(200_000).selectExpr("pmod(xxhash64(id), 1000003) / 1e6 AS value", "'m' AS measure", "CAST(id % 7 AS STRING) AS source")
+    parts = quality.sketched(values, ["source"])
+    assert sorted(quality.merged(parts, []).collect()) == sorted(quality.sketched(values, []).collect())
+    assert sorted(parts.collect()) == sorted(quality.sketched(values.repartition(9), ["source"]).collect())
+
+
 def test_held_labels(spark, sf_small):
     rules = quality.adaptive_rules(spark.read.parquet(f"{sf_small}/documents.parquet"))
     labelled = rules.join(spark.read.parquet(f"{sf_small}/labels.parquet"), "doc_id").collect()
