@@ -67,6 +67,18 @@ def small_batches(spark: SparkSession, rows: int = 500):  # noqa: ANN201
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: int):  # noqa: ANN201
+    """As ``small_batches``, by bytes instead of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def limit_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """From now on, this session hands at most ``size`` bytes at a time to Python workers. Spark's default of 64 MB is held several times over, on
     both sides of the pipe and in each of an executor's tasks, and a worker keeps what it once took. For jobs whose plan is made later

@@ -48,7 +48,7 @@ MEASURES = {
 #: The least distance of a limit from the median: 5 in 1,000, of words' length a twentieth of a letter.
 FLOORS = dict.fromkeys(MEASURES, 0.005) | {"word_length": 0.05}
 #: Documents at which a group's own limits and its language's weigh alike.
-DRAWN = 50
+DRAWN = 100
 #: Of what is not zero, the quantile that bounds the tail from below.
 TAIL = 0.05
 #: Relative error of a sketched value.

@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm.common import release, ship, written
 
@@ -332,8 +333,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, doc (the id as a number that orders like it), dup (number among rows of the same id, in order of texts), text."""
-    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc"), docs[text_col].cast("string").alias("text"))
+    """id, doc (a number that orders like the id), dup (number among rows of the same id, in order of texts), text. Integers are their own numbers (null
+    before any); rows of other ids are sorted by (id, text) once and numbered in that order, null ids first."""
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    if not isinstance(own.schema["id"].dataType, T.IntegralType):
+        # ranges of ids go to tasks in order, and the number counts up within a task: written, so that no rerun numbers anew
+        listed = own.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+        return written(listed.select("id", F.monotonically_increasing_id().alias("doc"), F.lit(0).alias("dup"), "text"), "suffix-rows")
+    own = own.select("id", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
     repeated = own.groupBy("doc").count().where("count > 1").head(1)
     if not repeated:
         return own.withColumn("dup", F.lit(0))

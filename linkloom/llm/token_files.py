@@ -27,13 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ship
+from linkloom.llm.common import bounded_batches, ship
+from linkloom.operators.asof import asof_join
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SHARD_IDS = 1 << 20
 #: Ids are put together for so many documents at a time.
 GATHER_DOCS = 256
+#: Texts go to a Python worker in batches of so many bytes.
+BATCH_BYTES = 16 << 20
 
 
 class Dac:
@@ -214,20 +217,26 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
 
     placed = (docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
               .repartitionByRange("id").sortWithinPartitions("id", "text"))
-    placed.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
+    with bounded_batches(docs.sparkSession, BATCH_BYTES):
+        placed.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
-    ship(spark)
-    files = spark.read.schema(_FILES.format(id=id_type)).parquet(path)
+def _shard_starts(files: DataFrame) -> DataFrame:
+    """part, shard, shard_start: the number of ids before each shard."""
     sizes = files.select("part", "shard", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row per file part: as many as the writer had partitions, however many documents there are
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sizes.join(before, "part")
-              .select("part", "shard", (F.col("before_part") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("shard_start")))
+    return (sizes.join(before, "part")
+            .select("part", "shard", (F.col("before_part") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("shard_start")))
+
+
+def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
+    ship(spark)
+    files = spark.read.schema(_FILES.format(id=id_type)).parquet(path)
+    starts = _shard_starts(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,3 +267,18 @@ def token_at(files: DataFrame, positions: DataFrame) -> DataFrame:
 
     return files.join(positions, ["part", "shard"]).select(
         "part", "shard", "position", get("levels", "bitmaps", "ranks", "n_ids", "position").alias("token"))
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """Ids by their number in the whole corpus, counted from 0 over all documents in order: from rows (position) to (position, token), null behind the
+    last id. The shards, in order of their first ids, are met by an as-of join; of a shard only the codes asked for are read."""
+    files = spark.read.schema(_FILES.format(id=id_type)).parquet(path)
+    asked = positions.select(F.lit(0).alias("one"), F.col("position").cast("long").alias("position"))
+    shards = _shard_starts(files).select(F.lit(0).alias("one"), "part", "shard", "shard_start")
+    met = asof_join(asked, shards, "one", "position", "shard_start").select("position", "found.part", "found.shard", (F.col("position") - F.col("found.shard_start")).alias("at"))
+    sizes = files.select(F.col("part").alias("s_part"), F.col("shard").alias("s_shard"), "n_ids")
+    inside = met.join(sizes, (met["part"] == sizes["s_part"]) & (met["shard"] == sizes["s_shard"]), "left").select(
+        F.col("position").alias("asked"), "part", "shard", F.when((F.col("at") >= 0) & (F.col("at") < F.col("n_ids")), F.col("at")).alias("position"))
+    read = token_at(files, inside.where("position IS NOT NULL").select("part", "shard", "position").distinct())
+    keys = ["part", "shard", "position"]
+    return inside.join(read, keys, "left").select(F.col("asked").alias("position"), "token")

@@ -81,27 +81,18 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame, body_col: str = "body") -> DataFrame:
-    """The rows of ``resolve_revisits`` with ``body_col`` of their responses (null unless resolved). Only bodies of needed responses are moved, each
-    once, however many revisits it answers; a revisit row moves without its headers."""
+    """The rows of ``resolve_revisits`` with ``body_col`` of their responses (null unless resolved). Bodies are moved once, and once more only where a
+    capture is there several times; a caller that needs something made of the bodies makes it first and names that column."""
     names = ["response_id", "url_key", "response_ts", "response_digest"]
     keys = [fresh(n) for n in names]
-    own = records.where(F.col("type") == "response").select(F.col("record_id").alias(keys[0]), canonical_url(F.col("url").cast("string")).alias(keys[1]),
-                                                            F.col("ts").cast("long").alias(keys[2]), F.col("digest").alias(keys[3]), F.col(body_col).alias(body_col))
-
-    def same(left: DataFrame, right: DataFrame, a: list[str], b: list[str]) -> Column:
-        met = left[a[0]].eqNullSafe(right[b[0]])
-        for x, y in zip(a[1:], b[1:]):
-            met = met & left[x].eqNullSafe(right[y])
-        return met
-
-    # null unless resolved: such a row meets no response, as responses have a time
-    asked = resolved.withColumns({n: F.when(F.col("status") == "resolved", F.col(n)) for n in names[2:3]}).withColumnRenamed("response_ts", keys[2] + "_asked")
-    needed = asked.where(F.col(keys[2] + "_asked").isNotNull()).select("response_id", "url_key", keys[2] + "_asked", "response_digest").distinct()
-    wanted = ["response_id", "url_key", keys[2] + "_asked", "response_digest"]
-    bodies = own.join(needed, same(own, needed, keys, wanted), "left_semi").dropDuplicates(keys)
-    met = asked.join(bodies, same(asked, bodies, wanted, keys), "left")
-    seen = resolved.columns
-    return met.withColumn("response_ts", F.coalesce(keys[2] + "_asked", F.col("ts") - F.col("age"))).select(*seen, body_col)
+    found = [F.col("record_id"), canonical_url(F.col("url").cast("string")), F.col("ts").cast("long"), F.col("digest")]
+    own = records.where(F.col("type") == "response").select(*[c.alias(k) for c, k in zip(found, keys)], F.col(body_col))
+    if own.groupBy(*keys).count().where("count > 1").head(1):
+        own = own.dropDuplicates(keys)
+    same = resolved["status"] == "resolved"
+    for name, key in zip(names, keys):
+        same = same & resolved[name].eqNullSafe(own[key])
+    return resolved.join(own, same, "left").select(*resolved.columns, body_col)
 
 
 def header_lines(headers: Column) -> Column:
@@ -142,9 +133,10 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def resolved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = page_records(table(spark, sf_dir, "pages"))
-    found = with_bodies(resolve_revisits(records), records)
+    # of the bodies only their sums are asked for, so only those are moved
+    found = with_bodies(resolve_revisits(records), records.withColumn("body_sha256", F.sha2("body", 256)), "body_sha256")
     return found.select("record_id", "url_key", "ts", "response_id", "response_ts", "age", "status", F.sha2(header_lines(F.col("headers")), 256).alias("headers_sha256"),
-                        F.sha2("body", 256).alias("body_sha256"))
+                        "body_sha256")
 
 
 ORACLE = r"""

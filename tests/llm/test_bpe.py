@@ -81,6 +81,18 @@ def test_token_files(spark, monkeypatch):
     assert [r.token for r in token_files.token_at(files, at).orderBy("position").collect()] == ids
 
 
+def test_tokens_by_their_number_in_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 40)
+    library = Tokenizer.from_file(WORDS)
+    rows = [(i * 7 % 64, ODD[i % len(ODD)]) for i in range(64)]
+    path = scratch_path(spark, "test-tokens")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, path, 2)
+    ids = [i for _, text in sorted(rows) for i in library.encode(text or "", add_special_tokens=False).ids + [2]]
+    asked = [*range(len(ids)), 5, 5, -1, len(ids), len(ids) + 1000]
+    got = token_files.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((p, ids[p] if 0 <= p < len(ids) else None) for p in asked), key=str)
+
+
 def test_token_files_hard_rows(spark, hard, nothing, hard_rows):
     path = scratch_path(spark, "test-tokens")
     token_files.write_tokens(hard, WORDS, path, 2)

@@ -215,3 +215,13 @@ def test_near_copies_go_row_by_row(spark, rows):
     ids, groups = _stay(rows)
     assert sorted(str(i) for i, _ in got) == sorted(map(str, ids))
     assert all(sum(got.count(r) for r in set(g)) == 1 for k, g in groups.items() if not isinstance(k, tuple))
+
+
+def test_repeated_passages_under_text_ids(spark):
+    """Ids of any kind order as they sort: the first in that order keeps the passage; null ids come first, and rows that share an id stay apart."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(160))
+    rows = [("b9", "x" + passage), ("b10", passage + "y"), ("b10", "z" + passage + "!"), (None, None), ("a", "nothing that comes again"), ("ü", passage)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), keep_text=True).collect()
+    kept = sorted((str(r.doc_id), r.kept.decode(), r.n_removed) for r in got)
+    assert kept == sorted([("b9", "x", 160), ("b10", passage + "y", 0), ("b10", "z!", 160), ("None", "", 0), ("a", "nothing that comes again", 0), ("ü", "", 160)])

@@ -41,6 +41,17 @@ def test_base_spans(spark):
         assert set(want) <= set(r.spans.split(","))
 
 
+def test_ibans_end_where_their_country_says(spark):
+    valid = {"DE": "DE89370400440532013000", "GB": "GB82WEST12345698765432", "FR": "FR1420041010050500013M02606", "NO": "NO9386011117947", "BE": "BE68539007547034", "MT": "MT84MALT011000012345MTLCAST001S"}
+    spaced = lambda x: " ".join(x[i:i + 4] for i in range(0, len(x), 4))
+    texts = [form(x) + tail for x in valid.values() for form in (str, spaced) for tail in (" BIC COBADEFF", " AND SO ON", " 12 34", ", B", "")]
+    found = {r.doc_id: [texts[r.doc_id][s.start:s.end].replace(" ", "") for s in r.spans if s.kind == "iban"]
+             for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[i] == [x] for i, x in enumerate(x for x in valid.values() for _ in range(10)))
+    wrong = ["DE8937040044053201300", "DE893704004405320130001", "ZZ89370400440532013000", "xDE89370400440532013000", "DE88370400440532013000"]
+    assert not any(s.kind == "iban" for r in pii.find_pii(spark.createDataFrame(list(enumerate(wrong)), "doc_id long, text string")).collect() for s in r.spans)
+
+
 def test_added_kinds_need_checksum_or_context(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     kinds = {r.doc_id: [TEXTS[r.doc_id][s.start:s.end] for s in r.spans if s.kind not in pii.BASE] for r in pii.find_pii(docs).collect()}
