@@ -1,5 +1,11 @@
+import functools
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
+
+import xxhash
 
 from linkloom.llm import toxicity
 
@@ -105,3 +111,62 @@ def test_texts_with_words_against_brute_force(spark):
     texts = [(0, "abcde ab"), (0, "abcde ab"), (1, "abcdx AB ab"), (1, None)]
     got = {r.w: (r.c0, r.c1) for r in toxicity.count_texts(spark.createDataFrame(texts, "y int, text string")).collect()}
     assert got == {"*": (1, 2), "ab": (1, 1), "abcde": (1, 0), "abcdx": (0, 1), "abcde*": (1, 0), "abcdx*": (0, 1), "abcd*": (1, 1)}
+
+
+def _signed(text):
+    return xxhash.xxh64_intdigest(text.encode(), seed=42)
+
+
+def _model(train):
+    """The models said again: rows (y, text) to a function that gives a word's log-likelihood ratio by all parts, and by all but one."""
+    counts = defaultdict(Counter)
+    for y, text in {(y, t) for y, t in train}:
+        part = ((_signed(text) + (1 << 63)) % (1 << 64) - (1 << 63)) % toxicity.FOLDS
+        words = set(re.findall(r"[^\W_]+", text.lower()))
+        for key in words | {"*"} | {w[:k] + "*" for w in words for k in toxicity.BEGINNINGS if len(w) >= k}:
+            counts[key][y, part] += 1
+
+    def contexts(key, y, without):
+        return sum(n for (z, p), n in counts[key].items() if z == y and p != without)
+
+    def ratio(word, without=None):
+        n0, n1 = contexts("*", 0, without), contexts("*", 1, without)
+        if not n0 or not n1:
+            return 0.0
+        root = u = n1 / (n0 + n1)
+        for key in [word[:k] + "*" for k in sorted(toxicity.BEGINNINGS) if len(word) >= k] + [word]:
+            x, y = contexts(key, 0, without), contexts(key, 1, without)
+            a = x + y
+            if a >= 2:
+                over = y - a * u
+                excess = max(abs(over) - toxicity.DISCOUNT - toxicity.ERRORS * math.sqrt(a * u * (1 - u)), 0.0)
+                if excess:
+                    u = min(max((a * u + math.copysign(excess, over) + toxicity.PRIOR * u) / (a + toxicity.PRIOR), 1e-4), 1 - 1e-4)
+        return math.log(u / (1 - u)) - math.log(root / (1 - root))
+
+    return functools.lru_cache(None)(ratio)
+
+
+def _scores(docs, labels):
+    train = [(t, docs[i] or "") for i, t in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1]
+    ratio = _model(train)
+
+    def z(text, without=None):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        return math.fsum(ratio(w, without) for w in words) / max(len(words), 1)
+
+    bins = Counter()
+    for y, text in train:
+        part = ((_signed(text) + (1 << 63)) % (1 << 64) - (1 << 63)) % toxicity.FOLDS
+        bins[math.floor(z(text, part) / toxicity.BIN + 0.5) if z(text, part) >= 0 else -math.floor(-z(text, part) / toxicity.BIN + 0.5), y] += 1
+    a, b = toxicity.fit_curve(sorted((k * toxicity.BIN, y, n) for (k, y), n in bins.items()))
+    return {i: 1 / (1 + math.exp(-(a * z(t) + b))) for i, t in docs.items()}
+
+
+def test_scores_equal_the_models_said_again(spark, sf_small):
+    docs, labels = _corpus(500, 7)
+    for d, y in ((dict(docs), labels), ({r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()},
+                                        [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_small}/labels.parquet").collect()])):
+        want = _scores(d, y)
+        got = toxicity.score_toxicity(*_tables(spark, list(d.items()), y)).collect()
+        assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
