@@ -160,9 +160,9 @@ def q_extract_links(spark, sf_dir):
 
 def url_variants(spark, sf_dir) -> DataFrame:
     """Spellings of every page URL: as is, upper case, padded, with userinfo, with a port, with a space in
-    the path, a suffix spoof and a userinfo spoof."""
+    the path, a suffix spoof, a userinfo spoof, other schemes, a numeric host and an international one."""
     p = fx.read(spark, sf_dir, "pages", parallel=True).select("page_id", "url")
-    u = F.col("url")
+    u, pid = F.col("url"), F.col("page_id")
     host = r"^([A-Za-z]+://[^/?#]+)"
     forms = [
         (0, u),
@@ -175,6 +175,8 @@ def url_variants(spark, sf_dir) -> DataFrame:
         (7, F.regexp_replace(u, r"^([A-Za-z]+)://", f"$1://{DOMAIN}@")),
         (8, F.concat(F.lit("MailTo:"), F.regexp_replace(u, r"^[A-Za-z]+://", ""), F.lit("?subject=x#y"))),
         (9, F.concat(F.regexp_replace(u, r"^[A-Za-z]+://", "foo://"), F.lit("?q#f"))),
+        (10, F.concat(F.lit("http://0x7f."), (pid % 65536).cast("string"), F.lit("/n"))),
+        (11, F.concat(F.lit("https://"), F.when(pid % 3 == 0, F.lit("Bücher")).when(pid % 3 == 1, F.lit("münchen")).otherwise(F.lit("例え")), F.lit(".example/"), pid.cast("string"))),
     ]
     parts = [p.select("page_id", F.lit(v).alias("variant"), expr.alias("raw")) for v, expr in forms]
     out = parts[0]
