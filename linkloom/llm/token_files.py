@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ SHARD_IDS = 1 << 20
 #: Ids are put together for so many documents at a time.
 GATHER_DOCS = 256
 #: Texts go to a Python worker in batches of so many bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+CACHE_WORDS = 1_000_000
 
 
 class Dac:
@@ -105,6 +107,7 @@ class Words:
     are encoded, those of plain letters in one go: the pre-tokenizer leaves them whole, and the vocabulary marks their ends."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,13 +118,32 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         # lower-case Latin letters that normalisation leaves as they are, and a full stop or comma behind them
+        self._forget()
         self.plain = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+[.,]?$" if suffix else "^$"
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of distinct words: one array, and where each word's ids start and how many they are."""
+        """The ids of distinct words: one array, and where each word's ids start and how many they are. Words are encoded once and kept, up
+        to ``CACHE_WORDS`` of them."""
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        names = words.to_pylist()
+        new = [w for w in names if w not in self.known]
+        if new:
+            pool, starts, sizes = self._encoded(pa.array(new, words.type))
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.starts = np.concatenate([self.starts, starts + len(self.pool)])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, pool])
+        code = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return self.pool, self.starts[code], self.sizes[code]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = pc.match_substring_regex(words, self.plain)
         mask = plain.to_numpy(zero_copy_only=False)
         whole = words.filter(plain)
