@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import labels
+from linkloom.operators import labels, reports
+from linkloom.plans import fixtures as fx
+from linkloom.plans import stream_queries
 from linkloom.plans.queries import Flow, QUERIES
+from linkloom.session import list_names
 
 
 def executed(df):
@@ -50,3 +53,35 @@ def test_match_without_broadcast_gives_same_rows(spark, sf_small):
     assert "strategy=broadcast" in hinted
     assert "strategy=broadcast" not in plain           # no hint: the join strategy is left to the planner / AQE
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+
+
+def _event_scans(plan):
+    return sum("FileScan parquet" in line and "event_id" in line for line in plan.split("\n"))
+
+
+def test_reports_read_and_parse_the_events_once(spark, sf_small):
+    plan = executed(QUERIES["throughput_last40"](spark, sf_small))
+    final = plan.split("Initial Plan")[0]
+    assert _event_scans(final) == 1 and final.count("from_json(") == 1
+    buckets = executed(reports.stall_buckets(Flow(spark, sf_small).posts)).split("Initial Plan")[0]
+    assert _event_scans(buckets) == 1 and buckets.count("from_json(") == 1
+    assert _event_scans(executed(QUERIES["stall_gaps"](spark, sf_small))) == 0  # the gaps are read off the written buckets
+
+
+def test_a_page_is_parsed_once_and_not_per_event(spark, sf_small):
+    """URLs of the fixture are made canonical below the join with the events."""
+    plan = fx.post_lines(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    sides = plan.split("Join LeftOuter")[1].split(":- ", 1)[1]
+    events, pages = sides.split("\n   +- ", 1)[0], sides
+    assert "url_decode" in pages and plan.count("try_url_decode") == pages.count("try_url_decode") and "url_decode" not in events.split("+- Project [page_id")[0]
+
+
+def test_a_topic_has_files_by_its_size(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 100)
+    root, lines = stream_queries._topic(spark, sf_small)
+    files = [len([f for f in list_names(spark, f"{root}/topic/slice{k}") if f.startswith("part-")]) for k in range(stream_queries.SLICES)]
+    assert min(files) == max(files) >= 3
+    batches = []
+    (lines.writeStream.foreachBatch(lambda b, i: batches.append((b.count(), b.rdd.getNumPartitions()))).option("checkpointLocation", f"{root}/c").trigger(availableNow=True)
+     .start().awaitTermination())
+    assert len(batches) == stream_queries.SLICES and all(n > 200 and tasks > 1 for n, tasks in batches)
