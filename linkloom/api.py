@@ -22,7 +22,13 @@ from .sources.versions import MirrorSink, VersionedTable  # noqa: F401
 from .streaming.control import FeedStates, Gate, Switch, run_feed, switched_intervals  # noqa: F401
 from .streaming.label_stream import (LabelSink, LineSink, RejectSink, counter_stream, labelled_stream,  # noqa: F401
                                      message_stream, start_label_stream, start_line_stream, throughput_stream)
+from .streaming.leases import IdLeases, LeasedLogSink  # noqa: F401
+from .streaming.live_series import live_series  # noqa: F401
+from .streaming.latest import latest_table, read_latest, start_latest_stream  # noqa: F401
 from .streaming.padding import pad_log  # noqa: F401
+from .streaming.stalls import stall_alarms  # noqa: F401
+from .operators.search_index import build_index, indexed_search  # noqa: F401
+from .sources.replay import label_replay  # noqa: F401
 
 
 def label_posts(posts, articles, bridge, authors, domain: str, dedupe_articles: bool = False,

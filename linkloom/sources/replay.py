@@ -7,7 +7,7 @@ A subscriber starts behind its cursor: the first batch is the snapshot, later on
 that each label comes once across restarts. What may be given out is bounded by the high-water marks, which the label stream writes after
 the log of a batch, and by open reservations of padding (``streaming/padding.py``): an id becomes visible only when all ids before it are.
 
-A micro-batch reads the files that hold its ids, one task each: of the batches whose marks lie behind the offset, walked back from the newest, the
+A micro-batch reads the files that hold its ids, one task each: of the batches whose marks lie behind the offset, found by bisection, the
 blocks between the two offsets; inside a file the ids are a filter on its row groups. Neither the age nor the length of the log matters.
 
 The same name reads the snapshot as a table (``spark.read.format("label_replay")``). The files are opened by pyarrow: local and shared folders, and
@@ -90,13 +90,18 @@ def label_replay() -> type[DataSource]:
 
         def files(self, after: int, upto: int) -> list[Files]:
             """The files that may hold ids behind ``after`` up to ``upto``."""
-            folders = []
-            for batch in self.batches():
-                mark = self.mark(batch)
-                if mark is not None:
-                    if mark <= after:
-                        break
-                    folders.append(batch)
+            numbers = self.batches()[::-1]
+            while numbers and self.mark(numbers[-1]) is None:
+                numbers.pop()
+            # marks only grow: the first batch behind the offset by bisection
+            low, high = 0, len(numbers)
+            while low < high:
+                middle = (low + high) // 2
+                if (self.mark(numbers[middle]) or 0) > after:
+                    high = middle
+                else:
+                    low = middle + 1
+            folders = numbers[low:]
             folders += [-to for since, to, closed in self.pads() if closed and to > after]
             out = []
             for batch in folders:

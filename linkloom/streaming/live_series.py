@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ def counted(events: DataFrame) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.table([batch.column(0), pa.array([u // 1_000_000 for u in batch.column(1).to_pylist()], pa.int64()), batch.column(1)], names=["feed", "second", "us"])
+            table = pa.table([batch.column(0), pa.array(np.floor_divide(batch.column(1).to_numpy(), 1_000_000)), batch.column(1)], names=["feed", "second", "us"])
             found = table.group_by(["feed", "second"], use_threads=False).aggregate([("us", "count"), ("us", "max")])
             yield from found.select(["feed", "second", "us_count", "us_max"]).rename_columns(["feed", "second", "n", "last_us"]).to_batches()
 

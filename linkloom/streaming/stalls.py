@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ def buckets_of(events: DataFrame, threshold_seconds: int) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.table([batch.column(0), pa.array([u // width for u in batch.column(1).to_pylist()], pa.int64()), batch.column(1)], names=["feed", "bucket", "us"])
+            table = pa.table([batch.column(0), pa.array(np.floor_divide(batch.column(1).to_numpy(), width)), batch.column(1)], names=["feed", "bucket", "us"])
             found = table.group_by(["feed", "bucket"], use_threads=False).aggregate([("us", "min"), ("us", "max")])
             yield from found.select(["feed", "bucket", "us_min", "us_max"]).rename_columns(["feed", "bucket", "first_us", "last_us"]).to_batches()
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from linkloom.operators import labels, reports
-from linkloom.plans import fixtures as fx
 from linkloom.plans import stream_queries
 from linkloom.plans.queries import Flow, QUERIES
 from linkloom.session import list_names
@@ -68,14 +67,6 @@ def test_reports_read_and_parse_the_events_once(spark, sf_small):
     assert _event_scans(executed(QUERIES["stall_gaps"](spark, sf_small))) == 0  # the gaps are read off the written buckets
 
 
-def test_a_page_is_parsed_once_and_not_per_event(spark, sf_small):
-    """URLs of the fixture are made canonical below the join with the events."""
-    plan = fx.post_lines(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
-    sides = plan.split("Join LeftOuter")[1].split(":- ", 1)[1]
-    events, pages = sides.split("\n   +- ", 1)[0], sides
-    assert "url_decode" in pages and plan.count("try_url_decode") == pages.count("try_url_decode") and "url_decode" not in events.split("+- Project [page_id")[0]
-
-
 def test_a_topic_has_files_by_its_size(spark, sf_small, monkeypatch):
     monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 100)
     root, lines = stream_queries._topic(spark, sf_small)
