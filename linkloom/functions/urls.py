@@ -122,6 +122,11 @@ def _stage(arr: str, keep: list[str], **new: str) -> str:
     return f"transform({arr}, x -> named_struct({', '.join(fields)}))"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def parse_urls_sql(arr: str) -> str:
     """array<string> SQL → array<struct<raw, scheme, path, userinfo, host, port, valid>> SQL."""
     strip = (f"regexp_replace(regexp_replace(u, {raw(r'[\t\n\r]')}, ''), "
@@ -145,11 +150,11 @@ def parse_urls_sql(arr: str) -> str:
     # international labels in their ASCII form; a host that ends in a number as the address it spells
     kept = ["raw", "scheme", "path", "userinfo", "host_raw", "port_raw", "port_digits"]
     spaced = r"'[\p{Z}\p{C}&&[^\x00-\x7F]]'"
-    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE {raw(r'^[\x00-\x7F]*$')} THEN x.host_dec ELSE regexp_replace(lower(x.host_dec), {raw(IGNORED)}, '') END")
-    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE r{spaced} THEN CAST(NULL AS STRING) ELSE {ascii_host_sql('x.host_dec')} END")
-    numeric = f"x.host_dec RLIKE {raw(ENDS_IN_NUMBER_RE)}"
-    a = _stage(a, [*kept, "host_dec"], v4=f"CASE WHEN {numeric} THEN {ipv4_parts_sql('x.host_dec')} END")
-    a = _stage(a, kept, host_dec=f"CASE WHEN x.v4 IS NOT NULL THEN {ipv4_sql('x.v4')} ELSE x.host_dec END")
+    mapped = f"regexp_replace(lower(x.host_dec), {raw(IGNORED)}, '')"
+    international = _let(mapped, "h", f"CASE WHEN h RLIKE r{spaced} THEN CAST(NULL AS STRING) ELSE {ascii_host_sql('h')} END")
+    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE {raw(r'^[\x00-\x7F]*$')} THEN x.host_dec ELSE {international} END")
+    address = _let(ipv4_parts_sql("x.host_dec"), "v4", ipv4_sql("v4"))
+    a = _stage(a, kept, host_dec=f"CASE WHEN x.host_dec RLIKE {raw(ENDS_IN_NUMBER_RE)} THEN {address} ELSE x.host_dec END")
     small = "coalesce(try_cast(nullif(x.port_digits, '') AS INT), 0) <= 65535"
     port_ok = (f"(x.port_raw = '' OR (x.port_raw RLIKE {raw('^[0-9]+$')} AND length(x.port_digits) <= 5 "
                f"AND {small}))")
