@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.sequence import latest_label
 from linkloom.streaming import latest
-from linkloom.streaming.live_series import live_series, ticks
+from linkloom.streaming.live_series import STRETCH, live_series, ticks
 
 BASE = 1_700_000_000
 
@@ -53,6 +53,39 @@ def test_ticks_stop_at_a_series_of_zeros():
     assert ticks(done, counts, 300, 3) == (300, [(300, [1, 0, 0])])
 
 
+def test_ticks_take_time_in_proportion():
+    class Counted(dict):
+        seen = 0
+
+        def __iter__(self):
+            for s in super().__iter__():
+                Counted.seen += 1
+                yield s
+
+    counts = Counted({7 * k: 1 for k in range(2_000)})
+    done, out = ticks(None, counts, 14_100, 40)
+    assert [t for t, _ in out] == list(range(7 * 1_999 + 41)) and all(s == [int((t - k) % 7 == 0 and 0 <= t - k <= 7 * 1_999) for k in range(40)] for t, s in out)
+    assert (done, counts, Counted.seen <= 20_000) == (7 * 1_999 + 40, {}, True)
+
+
+def test_series_across_stretches(spark, tmp_path):
+    """Ticks go on where a stretch of the state ends, with messages on both sides, on one side only and none for a whole stretch."""
+    root, start = str(tmp_path), BASE // STRETCH * STRETCH
+    events = [("a", float(start + t)) for t in (3_590.5, 3_599.9, 3_600.0, 7_199.25, 4 * 3_600 - 40, 5 * 3_600 - 41, 6 * 3_600 - 1)] + [("clock", start + 30_000.0)]
+    for k, part in enumerate((events[:1], events[1:4], events[4:6], events[6:])):
+        spark.createDataFrame(part, "feed string, t double").coalesce(1).write.json(f"{root}/topic/{k:04d}")
+        time.sleep(0.02)
+    stream = spark.readStream.schema("feed string, t double").option("maxFilesPerTrigger", "1").json(f"{root}/topic/*")
+    posts = stream.select("feed", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"))
+    found = live_series(posts, F.col("feed"), 40, "0 seconds")
+    query = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{root}/out").where("feed <> 'clock'").select("feed", F.unix_seconds("tick").alias("t"), "series").collect()
+    assert len({(r.feed, r.t) for r in rows}) == len(rows)
+    assert {(r.feed, r.t): list(r.series) for r in rows} == _series(events[:-1], 40, start + 29_999)
+    assert latest.state_rows(query) == 1  # stretches that are over leave the state
+
+
 def test_latest_labels_after_every_batch(spark, tmp_path):
     root, rng = str(tmp_path), random.Random(5)
     schema = "environment string, id long, uri string, val string, cts timestamp"
