@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from linkloom.operators import labels, reports
+from linkloom.plans import fixtures as fx
 from linkloom.plans import stream_queries
 from linkloom.plans.queries import Flow, QUERIES
 from linkloom.session import list_names
+from linkloom.sources import posts as src
 
 
 def executed(df):
@@ -67,6 +69,24 @@ def test_reports_read_and_parse_the_events_once(spark, sf_small):
     assert _event_scans(executed(QUERIES["stall_gaps"](spark, sf_small))) == 0  # the gaps are read off the written buckets
 
 
+def test_messages_are_tested_once_below_all_filters(spark):
+    lines = spark.createDataFrame([('{"kind":"commit"}',), ("{bad",), ("{} {}",), ("[]]",), (None,)], "value string")
+    messages = src.parse_messages(lines)
+    plan = executed(src.commit_posts(messages).where("is_create"))
+    assert [plan.count(f) for f in ("from_json(", "lengthOfJsonArray(", "jsonObjectKeys(")] == [1, 1, 1]
+    assert [(r.raw, r.malformed, r.kind) for r in messages.collect()] == [('{"kind":"commit"}', False, "commit"), ("{bad", True, None), ("{} {}", True, None),
+                                                                          ("[]]", True, None), (None, True, None)]
+
+
+def test_topic_is_cut_in_one_plain_pass(spark, sf_small, monkeypatch):
+    reads, read = [], fx.read
+    monkeypatch.setattr(fx, "read", lambda s, d, name, parallel=False: reads.append((name, parallel)) or read(s, d, name, parallel))
+    slices, files = stream_queries._slices(spark, sf_small)
+    assert ("events", False) in reads and files == 1
+    counts = [df.count() for df in slices]
+    assert sum(counts) == read(spark, sf_small, "events").count() and max(counts) < 1.2 * min(counts)
+
+
 def test_a_topic_has_files_by_its_size(spark, sf_small, monkeypatch):
     monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 100)
     root, lines = stream_queries._topic(spark, sf_small)
