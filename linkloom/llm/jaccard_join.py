@@ -19,7 +19,8 @@ exact and proceeds from coarse regions to fine ones:
    ``ROUNDS`` pivots is joined block against block.
 
 Equal sets are one node from the start, whatever their number. Cells are placed by range over (cell, node), so that a crowded cell
-is spread over tasks. Shingles are told apart by 64-bit hashes; a collision of the 64-bit hashes of two sets is
+is spread over tasks. They are shuffled in ``PASSES`` passes, each with the cells of one remainder by ``PASSES``; a pass's shuffle files go before the next
+begins, so that no more than one part of all (cell, node) rows lies in shuffle files at a time. Shingles are told apart by 64-bit hashes; a collision of the 64-bit hashes of two sets is
 detected by a second hash and answered by another seed.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; fewer words than ``SHINGLE`` make one shingle; rows that
@@ -29,6 +30,7 @@ no part.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,9 @@ PARTS = 1.25
 MORE_PARTS = 24
 BUFFER = 1_000_000
 CACHE_WORDS = 150_000
+#: Passes over the cells; a table of at most so many shingles takes one.
+PASSES = 4
+PASS_SHINGLES = 1_000_000
 #: A region of more documents or shingles is split by Spark jobs.
 REGION_DOCS = 8_000
 REGION_SHINGLES = 1_500_000
@@ -179,12 +184,13 @@ def describe(texts: list[bytes], seed: int, sizes: Sizes, seen: set[int], width:
 
 
 _CELLS = "array<struct<region:int,need:int,cells:array<bigint>>>"
+_PASS_COLUMNS = [f"cells_{k}" for k in range(PASSES)]
 
 
 def _described(docs: DataFrame, seed: int, percent: int, width: int) -> DataFrame:
-    """From rows (id, text): id, n, node, check, cells."""
+    """From rows (id, text): id, n, node, check, and the cells in a column for each pass."""
     id_field = docs.schema["id"]
-    schema = T.StructType([id_field, *T._parse_datatype_string(f"n long, node long, check long, cells {_CELLS}").fields])
+    schema = T.StructType([id_field, *T._parse_datatype_string(", ".join(["n long, node long, check long", *(f"{c} {_CELLS}" for c in _PASS_COLUMNS)])).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
@@ -193,11 +199,17 @@ def _described(docs: DataFrame, seed: int, percent: int, width: int) -> DataFram
         def out(ids: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
             rows = describe(texts, seed, sizes, seen, width)
             flat = [c for r in rows for c in r["cells"]]
-            cells = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c["cells"]) for c in flat)]), pa.int32()), pa.array(np.concatenate([c["cells"] for c in flat]) if flat else [], pa.int64()))
-            regions = pa.StructArray.from_arrays([pa.array([c["region"] for c in flat], pa.int32()), pa.array([c["need"] for c in flat], pa.int32()), cells], ["region", "need", "cells"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r["cells"]) for r in rows)]), pa.int32()), regions)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("n", "node", "check")), lists.cast(cell_type)],
-                                              names=["id", "n", "node", "check", "cells"])
+            cells = np.concatenate([c["cells"] for c in flat]) if flat else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(flat)), np.array([len(c["cells"]) for c in flat], np.int64))
+            sides = [pa.array([c[k] for c in flat], pa.int32()) for k in ("region", "need")]
+            ends = pa.array(np.cumsum([0, *(len(r["cells"]) for r in rows)]), pa.int32())
+            columns = []
+            for k in range(PASSES):
+                own = cells % PASSES == k
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[own], minlength=len(flat)))]), pa.int32()), pa.array(cells[own], pa.int64()))
+                columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([*sides, lists], ["region", "need", "cells"])).cast(cell_type))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("n", "node", "check")), *columns],
+                                              names=["id", "n", "node", "check", *_PASS_COLUMNS])
 
         for batch in batches:
             ids, texts, size = [], [], 0
@@ -370,22 +382,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seed += 1
 
     # cells that several documents share
-    cells = described.select("node", F.explode("cells").alias("c")).select("node", "c.region", "c.need", F.explode("c.cells").alias("cell"))
-    cells = cells.select("cell", "node", (F.col("region").cast("long") * (1 << 40) + F.col("need")).alias("side"))
     order = ["cell", "node"]
-    # cells are small rows: they go in batches of Spark's own size
-    found_cells, cell_folder = written_at(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "cell long, node long, side long"), "jaccard-cells")
+    passes = PASSES if members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] > PASS_SHINGLES else 1
+    found_cells, cell_folders = [], []
+    for k in range(passes):
+        cells = described.select("node", F.explode(F.concat(*_PASS_COLUMNS[k::passes])).alias("c")).select("node", "c.region", "c.need", F.explode("c.cells").alias("cell"))
+        cells = cells.select("cell", "node", (F.col("region").cast("long") * (1 << 40) + F.col("need")).alias("side"))
+        # cells are small rows: they go in batches of Spark's own size
+        found, cell_folder = written_at(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "cell long, node long, side long"), f"jaccard-cells-{k}")
+        found_cells.append(found)
+        cell_folders.append(cell_folder)
+        del cells
+        release(spark)
     drop_scratch(spark, folder)
-    del cells, described
-    release(spark)
-    shared = found_cells.distinct()
+    del described
+    shared = functools.reduce(DataFrame.unionByName, found_cells).distinct()
     for step in range(2):
         several = shared.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("cell")
         shared = shared.join(several, "cell")
         enough = shared.groupBy("node", "side").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.col("side") % (1 << 40)).select("node", "side")
         shared, last_folder = written_at(shared.join(enough, ["node", "side"]), f"jaccard-shared-{step}")
-        drop_scratch(spark, cell_folder)
-        cell_folder = last_folder
+        for cell_folder in cell_folders:
+            drop_scratch(spark, cell_folder)
+        cell_folders = [last_folder]
         release(spark)
     # a document is a place of its own in each of its size regions, so that families of different sizes don't grow together
     place = F.xxhash64("node", F.shiftright("side", 40))

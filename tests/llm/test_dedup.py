@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -102,6 +103,38 @@ def test_jaccard_cells_are_never_too_few():
         assert best >= 0
 
 
+def test_near_cells_are_shuffled_in_passes(spark, monkeypatch):
+    """No write of cells leaves more than a part of all their rows in shuffle files at once, and the result is that of all pairs."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for family in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 40, 400]))]
+        for _ in range(rng.choice([1, 3])):
+            text = list(base)
+            text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    shuffled, write = [], jaccard_join.written_at
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in found if f.endswith(".data") and os.path.exists(f)}
+
+    def measured(df, name):
+        before = files()
+        out = write(df, name)
+        if name.startswith("jaccard-cells"):
+            shuffled.append(sum(size for f, size in files().items() if f not in before))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written_at", measured)
+    monkeypatch.setattr(jaccard_join, "PASS_SHINGLES", 0, raising=False)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(shuffled) > 100_000 and max(shuffled) < 0.4 * sum(shuffled)
+    sizes, comp = _near(rows, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], comp[i]) for i in sizes}
+
+
 def test_region_join_skips_only_what_the_triangle_inequality_allows():
     rng = np.random.default_rng(4)
     for _ in range(60):
